@@ -1,0 +1,25 @@
+"""Size-checked broadcast.
+
+A side is broadcast only after a bounded probe proves it small: the probe
+reads at most ``max_rows + 1`` rows (a ``limit`` job stops early), so it
+costs little even when the side is huge.  Above the bound the side is left
+to the planner: a shuffle join, which AQE may still turn into a broadcast
+once the real shuffle size is known.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of a narrow key relation that fit comfortably in every executor.
+DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+
+
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` when the probe proves ``df`` has <= max_rows rows."""
+    return F.broadcast(df) if has_at_most(df, max_rows) else df
