@@ -30,12 +30,12 @@ def _digits(rate: Column) -> Column:
 
 def perc_com(rate: Column) -> Column:
     first4 = F.left(_digits(rate), F.lit(4))
-    return (F.try_cast(first4, "decimal(10,0)") * F.lit(0.0001).cast(PERC_TYPE)).cast(PERC_TYPE)
+    return (first4.try_cast("decimal(10,0)") * F.lit(0.0001).cast(PERC_TYPE)).cast(PERC_TYPE)
 
 
 def fixed_com(rate: Column) -> Column:
     last3 = F.right(_digits(rate), F.lit(3))
-    return (F.try_cast(last3, "decimal(10,0)") * F.lit(0.01).cast(FIXED_TYPE)).cast(FIXED_TYPE)
+    return (last3.try_cast("decimal(10,0)") * F.lit(0.01).cast(FIXED_TYPE)).cast(FIXED_TYPE)
 
 
 def perc_com_sql(rate: str) -> str:
