@@ -18,8 +18,9 @@ pair inside a key, quadratic for a busy key.  Instead:
    nearest point in earlier and later partitions.
 4. Query rows take the local neighbour, else the carried one.
 
-Cost: one range shuffle and one hash shuffle of the narrow union, plus
-small summary shuffles.  No Python, no pairs, no per-key task.
+Cost: one range shuffle and one hash shuffle of the narrow union, one
+checkpoint write of it, plus small summary shuffles.  No Python, no pairs,
+no per-key task.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from careops.functions.materialize import checkpoint
+
 _POINT, _QUERY = 0, 1
 
 
@@ -42,34 +45,41 @@ def nearest_points(
     point_payload: str,
     query_id: str,
     query_value: str,
+    carry: Sequence[str] = (),
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Return ``query_id, keys..., query_value, prev, next`` per query row.
+    """Return ``query_id, keys..., query_value, carry..., prev, next`` per query.
 
     ``prev``/``next`` are structs ``(value, payload)`` (NULL when the key has
     no such point).  ``points`` must be unique on ``(keys, point_value)``;
-    rows with a NULL key or value on either side never match and are dropped.
+    points with a NULL key or value are ignored.  Every query row is
+    returned once; one with a NULL key or value gets NULL neighbours.
+    ``carry`` names extra query columns passed through unchanged.
     """
-    keys = list(keys)
+    keys, carry = list(keys), list(carry)
     spark = points.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    qid_type = dict(queries.dtypes)[query_id]
+    qtypes = dict(queries.dtypes)
     pay_type = dict(points.dtypes)[point_payload]
     not_null = lambda cols: F.expr(" and ".join(f"`{c}` is not null" for c in cols))
+    nulls = lambda cols: [F.lit(None).cast(qtypes[c]).alias(c) for c in cols]
 
     p = points.filter(not_null(keys + [point_value])).select(
         *keys,
         F.col(point_value).alias("_x"),
         F.lit(_POINT).alias("_kind"),
-        F.lit(None).cast(qid_type).alias("_qid"),
+        F.lit(None).cast(qtypes[query_id]).alias("_qid"),
         F.col(point_payload).alias("_pay"),
+        *nulls(carry),
     )
-    q = queries.filter(not_null(keys + [query_value])).select(
+    askable = not_null(keys + [query_value])
+    q = queries.filter(askable).select(
         *keys,
         F.col(query_value).alias("_x"),
         F.lit(_QUERY).alias("_kind"),
         F.col(query_id).alias("_qid"),
         F.lit(None).cast(pay_type).alias("_pay"),
+        *carry,
     )
     ranged = (
         p.unionByName(q)
@@ -87,15 +97,21 @@ def nearest_points(
     after = Window.partitionBy(*part).orderBy(F.desc("_x"), F.desc("_kind")).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    local = ranged.select(
+    # The partition id means "range i" only for the one range exchange that
+    # assigned it.  Two branches read it (the boundary summary and the query
+    # rows); if each ran its own exchange, the sampled range bounds and the
+    # filters the optimizer pushes into each branch could differ.  Write it
+    # once (reliable checkpoint) and let both branches read the same rows.
+    local = checkpoint(ranged.select(
         *part,
         "_kind",
         "_qid",
         "_x",
+        *carry,
         F.last(point, ignorenulls=True).over(upto).alias("_lprev"),
         F.last(point, ignorenulls=True).over(after).alias("_lnext"),
         point.alias("_pt"),
-    )
+    ))
 
     # Per (partition, key): its first and last point (NULL if none).
     bounds = local.groupBy(*part).agg(
@@ -103,20 +119,27 @@ def nearest_points(
     )
     earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(F.desc("_pid")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = bounds.select(
+    carried = bounds.select(
         *part,
         F.last("_last", ignorenulls=True).over(earlier).alias("_cprev"),
         F.last("_first", ignorenulls=True).over(later).alias("_cnext"),
     )
 
-    return (
+    neighbour = points.select(F.struct(F.col(point_value).alias("value"), F.col(point_payload).alias("payload"))).schema[0].dataType
+    answered = (
         local.filter(F.col("_kind") == _QUERY)
-        .join(carry, part, "left")
+        .join(carried, part, "left")
         .select(
             F.col("_qid").alias(query_id),
             *keys,
             F.col("_x").alias(query_value),
-            F.coalesce("_lprev", "_cprev").alias("prev"),
-            F.coalesce("_lnext", "_cnext").alias("next"),
+            *carry,
+            F.coalesce("_lprev", "_cprev").cast(neighbour).alias("prev"),
+            F.coalesce("_lnext", "_cnext").cast(neighbour).alias("next"),
         )
     )
+    unaskable = queries.filter(~askable).select(
+        query_id, *keys, query_value, *carry,
+        F.lit(None).cast(neighbour).alias("prev"), F.lit(None).cast(neighbour).alias("next"),
+    )
+    return answered.unionByName(unaskable)

@@ -38,6 +38,7 @@ from careops.functions.commission import (
     fixed_com,
     perc_com,
 )
+from careops.functions.materialize import checkpoint
 from careops.functions.nearest import nearest_points
 from careops.functions.predicates import not_in
 
@@ -69,67 +70,65 @@ def _choice(s: Column, hit: str) -> Column:
     return F.when(c.isNotNull(), F.struct(F.abs(c["value"] - s).alias("diff"), c["payload"].alias("rate")))
 
 
-def commission_match(orders_alcohol: DataFrame, ledger: DataFrame) -> DataFrame:
-    """``orders, commission_rate, commission_rank`` (rank '1'..'4') per order."""
+def commission_match(orders_alcohol: DataFrame, ledger: DataFrame, materialize: bool = True) -> DataFrame:
+    """``orders, commission_rate, commission_rank`` (rank '1'..'4') per order.
+
+    ``materialize`` checkpoints the narrow per-order input, which four
+    branches of the plan read.
+    """
     lines = usable_ledger(ledger)
     orders = orders_alcohol.select(
         "orders", "restaurant_id", F.to_date("created_at").alias("day"), "subtotal"
     ).distinct()
+    if materialize:
+        orders = checkpoint(orders)
 
-    by_day = lines.filter(F.col("net").isNotNull()).groupBy("restaurant_id", "day", "net").agg(
-        F.min("commission_rate").alias("rate")
-    )
-    by_rest = lines.filter(F.col("net").isNotNull()).groupBy("restaurant_id", "net").agg(
-        F.min("commission_rate").alias("rate")
-    )
+    with_net = lines.filter(F.col("net").isNotNull())
+    by_day = with_net.groupBy("restaurant_id", "day", "net").agg(F.min("commission_rate").alias("rate"))
+    by_rest = with_net.groupBy("restaurant_id", "net").agg(F.min("commission_rate").alias("rate"))
     # Any usable line per key (NULL amounts included) and its smallest rate:
-    # decides tier membership and the all-NULL-diff fallback.
+    # decides tier membership and the all-NULL-diff fallback.  One row per
+    # key, so joining on it never multiplies rows.
     any_day = lines.filter(F.col("day").isNotNull()).groupBy("restaurant_id", "day").agg(
         F.min("commission_rate").alias("any_rate")
     )
     any_rest = lines.groupBy("restaurant_id").agg(F.min("commission_rate").alias("any_rate"))
 
-    # 15 day-keys per order: offset 0 is tier 1, all of them tier 2.
-    asks = orders.select(
-        "orders", "restaurant_id", "subtotal",
-        F.explode(F.sequence(F.lit(-WEEK_DAYS), F.lit(WEEK_DAYS))).alias("offset"),
-        "day",
-    ).select(
-        F.concat_ws(":", F.col("orders").cast("string"), F.col("offset").cast("string")).alias("ask"),
-        "orders", "offset", "restaurant_id", F.date_add("day", F.col("offset")).alias("day"), "subtotal",
+    # 15 day-keys per order (offset 0 is tier 1, all of them tier 2), kept
+    # only where the restaurant has a usable line that day.
+    asks = (
+        orders.select(
+            "orders", "restaurant_id", "subtotal", "day",
+            F.explode(F.sequence(F.lit(-WEEK_DAYS), F.lit(WEEK_DAYS))).alias("offset"),
+        )
+        .select(
+            F.concat_ws(":", F.col("orders").cast("string"), F.col("offset").cast("string")).alias("ask"),
+            "orders", "offset", "restaurant_id", F.date_add("day", F.col("offset")).alias("day"), "subtotal",
+        )
+        .join(any_day, ["restaurant_id", "day"])
     )
     day_near = nearest_points(
-        by_day, asks.select("ask", "restaurant_id", "day", "subtotal"), ["restaurant_id", "day"],
+        by_day, asks, ["restaurant_id", "day"],
         point_value="net", point_payload="rate", query_id="ask", query_value="subtotal",
+        carry=["orders", "offset", "any_rate"],
     )
     s = F.col("subtotal")
-    day_cand = (
-        asks.join(any_day, ["restaurant_id", "day"])
-        .join(day_near.select("ask", "prev", "next"), "ask", "left")
-        .select("orders", "offset", "any_rate", _best([_choice(s, "prev"), _choice(s, "next")]).alias("near"))
-    )
+    near = _best([_choice(s, "prev"), _choice(s, "next")])
     # Structs compare field by field: the smallest (diff, rate) is the match.
-    day_best = day_cand.groupBy("orders").agg(
-        F.min(F.when(F.col("offset") == 0, F.col("near"))).alias("t1_near"),
+    day_best = day_near.groupBy("orders").agg(
+        F.min(F.when(F.col("offset") == 0, near)).alias("t1_near"),
         F.min(F.when(F.col("offset") == 0, F.col("any_rate"))).alias("t1_any"),
-        F.min("near").alias("t2_near"),
+        F.min(near).alias("t2_near"),
         F.min("any_rate").alias("t2_any"),
     )
 
     rest_near = nearest_points(
-        by_rest, orders.select("orders", "restaurant_id", "subtotal"), ["restaurant_id"],
+        by_rest, orders.join(any_rest, "restaurant_id"), ["restaurant_id"],
         point_value="net", point_payload="rate", query_id="orders", query_value="subtotal",
+        carry=["any_rate"],
     )
-    rest_best = (
-        orders.join(any_rest, "restaurant_id")
-        .join(rest_near.select("orders", "prev", "next"), "orders", "left")
-        .select(
-            "orders",
-            _best([_choice(s, "prev"), _choice(s, "next")]).alias("t3_near"),
-            F.col("any_rate").alias("t3_any"),
-        )
-        .groupBy("orders")
-        .agg(F.min("t3_near").alias("t3_near"), F.min("t3_any").alias("t3_any"))
+    rest_best = rest_near.groupBy("orders").agg(
+        F.min(near).alias("t3_near"), F.min("any_rate").alias("t3_any")
     )
 
     ids = orders.select("orders").distinct()
@@ -164,9 +163,9 @@ def with_rates(match: DataFrame) -> DataFrame:
     )
 
 
-def commission_combined(orders_alcohol: DataFrame, ledger: DataFrame) -> DataFrame:
+def commission_combined(orders_alcohol: DataFrame, ledger: DataFrame, materialize: bool = True) -> DataFrame:
     """One commission row per order with its tier (B20–B23 together)."""
-    return with_rates(commission_match(orders_alcohol, ledger))
+    return with_rates(commission_match(orders_alcohol, ledger, materialize))
 
 
 def commission_tier(orders_alcohol: DataFrame, ledger: DataFrame, tier: int) -> DataFrame:
