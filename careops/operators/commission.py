@@ -73,8 +73,8 @@ def _choice(s: Column, hit: str) -> Column:
 def commission_match(orders_alcohol: DataFrame, ledger: DataFrame, materialize: bool = True) -> DataFrame:
     """``orders, commission_rate, commission_rank`` (rank '1'..'4') per order.
 
-    ``materialize`` checkpoints the narrow per-order input, which four
-    branches of the plan read.
+    ``materialize`` checkpoints the narrow per-order input and the ledger
+    summary, each read by several branches of the plan.
     """
     lines = usable_ledger(ledger)
     orders = orders_alcohol.select(
@@ -83,16 +83,22 @@ def commission_match(orders_alcohol: DataFrame, ledger: DataFrame, materialize:
     if materialize:
         orders = checkpoint(orders)
 
-    with_net = lines.filter(F.col("net").isNotNull())
-    by_day = with_net.groupBy("restaurant_id", "day", "net").agg(F.min("commission_rate").alias("rate"))
-    by_rest = with_net.groupBy("restaurant_id", "net").agg(F.min("commission_rate").alias("rate"))
+    # One pass over the ledger: the smallest rate per (restaurant, day, net),
+    # NULL day / net kept.  The four lookups below are small aggregates of it.
+    summary = lines.groupBy("restaurant_id", "day", "net").agg(F.min("commission_rate").alias("rate"))
+    if materialize:
+        summary = checkpoint(summary)
+    by_day = summary.filter(F.col("net").isNotNull() & F.col("day").isNotNull())
+    by_rest = summary.filter(F.col("net").isNotNull()).groupBy("restaurant_id", "net").agg(
+        F.min("rate").alias("rate")
+    )
     # Any usable line per key (NULL amounts included) and its smallest rate:
     # decides tier membership and the all-NULL-diff fallback.  One row per
     # key, so joining on it never multiplies rows.
-    any_day = lines.filter(F.col("day").isNotNull()).groupBy("restaurant_id", "day").agg(
-        F.min("commission_rate").alias("any_rate")
+    any_day = summary.filter(F.col("day").isNotNull()).groupBy("restaurant_id", "day").agg(
+        F.min("rate").alias("any_rate")
     )
-    any_rest = lines.groupBy("restaurant_id").agg(F.min("commission_rate").alias("any_rate"))
+    any_rest = summary.groupBy("restaurant_id").agg(F.min("rate").alias("any_rate"))
 
     # 15 day-keys per order (offset 0 is tier 1, all of them tier 2), kept
     # only where the restaurant has a usable line that day.
