@@ -4,8 +4,8 @@ Scale notes:
 * the extracts are filter + projection: the date window and flags reach
   the Parquet scan as pushed filters, only the projected columns are read;
 * the transcript joins the event log to the selected chats on ``chat_id``
-  and numbers messages with a window on the same key, so the join's
-  partitioning is reused by the window (one shuffle per side);
+  and numbers messages with a range-partitioned row number, so one chat
+  with a third of all messages is still spread over many tasks;
 * ``multi_message_chats`` counts messages per chat with a partial
   aggregate and expands the chat row afterwards instead of joining the
   chat row to every message.
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from careops.functions.ordering import row_number_within
 from careops.functions.predicates import exclude_dates, is_false, is_true, ts_between
 from careops.functions.rows import replicate_rows
 
@@ -77,24 +78,32 @@ def chat_extract(
     ).select(*[F.col(renames.get(c, c)).alias(c) for c in CHAT_COLUMNS])
 
 
-def chat_transcript(event_log: DataFrame, chats: DataFrame) -> DataFrame:
+MESSAGE_ORDER = ("event_timestamp", "message_body", "is_visitor_event", "is_agent_event")
+
+
+def chat_transcript(event_log: DataFrame, chats: DataFrame, split_large_chats: bool = True) -> DataFrame:
     """Messages of the selected chats, split by speaker, numbered in time.
 
     Only ``chat.msg`` events are kept, before numbering.  Ties on the event
     time are broken by the message text, then the speaker flags, so the
-    numbering is deterministic.
+    numbering is deterministic.  ``split_large_chats`` numbers with
+    ``row_number_within`` (a chat may span many tasks); ``False`` uses one
+    window per chat, which reuses the join's partitioning but puts each chat
+    in a single task.
     """
-    msgs = event_log.filter(F.col("event_type") == "chat.msg")
+    msgs = event_log.filter(F.col("event_type") == "chat.msg").select("chat_id", *MESSAGE_ORDER)
     ids = chats.select(F.col("chat_id").alias("_chat"))
-    joined = msgs.join(ids, msgs["chat_id"] == ids["_chat"])
-    order = Window.partitionBy("chat_id").orderBy(
-        "event_timestamp", "message_body", "is_visitor_event", "is_agent_event"
-    )
-    return joined.select(
+    joined = msgs.join(ids, msgs["chat_id"] == ids["_chat"]).drop("_chat")
+    if split_large_chats:
+        numbered = row_number_within(joined, ["chat_id"], MESSAGE_ORDER, out="chat_cum")
+    else:
+        order = Window.partitionBy("chat_id").orderBy(*MESSAGE_ORDER)
+        numbered = joined.withColumn("chat_cum", F.row_number().over(order))
+    return numbered.select(
         "chat_id",
         F.when(is_true("is_visitor_event"), F.col("message_body")).alias("customer_chat"),
         F.when(is_true("is_agent_event"), F.col("message_body")).alias("agent_chat"),
-        F.row_number().over(order).alias("chat_cum"),
+        "chat_cum",
     )
 
 

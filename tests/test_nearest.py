@@ -78,3 +78,19 @@ def test_nearest_matches_brute_force(spark, n, filtered):
         for r in res.collect()
     }
     assert got == expect
+
+
+@pytest.mark.parametrize("n", [1, 4, 8])
+def test_row_number_within_matches_window(spark, n):
+    from pyspark.sql.window import Window
+
+    from careops.functions.ordering import row_number_within
+
+    rnd = random.Random(n)
+    data = [(0 if i % 3 == 0 else rnd.randrange(1, 40), rnd.randrange(0, 50), f"m{rnd.randrange(5)}") for i in range(1500)]
+    data += [(None, 1, "x"), (7, None, "y")]
+    df = spark.createDataFrame(data, "g long, t long, m string")
+    got = row_number_within(df, ["g"], ["t", "m"], out="rn", num_partitions=n)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("t", "m")))
+    key = lambda r: (repr(r.g), repr(r.t), r.m, r.rn)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
