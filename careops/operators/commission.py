@@ -43,6 +43,9 @@ from careops.functions.nearest import nearest_points
 from careops.functions.predicates import not_in
 
 WEEK_DAYS = 7
+# The day key of restaurant-level (any date) lookups; the level column keeps
+# it apart from real dates.
+ANY_DAY = "1900-01-01"
 OUTPUT = ("orders", "commission_rate", "perc_com", "fixed_com", "commission_rank")
 
 
@@ -100,45 +103,52 @@ def commission_match(orders_alcohol: DataFrame, ledger: DataFrame, materialize:
     )
     any_rest = summary.groupBy("restaurant_id").agg(F.min("rate").alias("any_rate"))
 
-    # 15 day-keys per order (offset 0 is tier 1, all of them tier 2), kept
-    # only where the restaurant has a usable line that day.
+    # One nearest-value pass answers every tier.  Keys carry a level:
+    # level 0 is (restaurant, day) — 15 day-keys per order, offset 0 is
+    # tier 1, all of them tier 2, kept only where the restaurant has a usable
+    # line that day; level 1 is (restaurant) with a constant day — tier 3.
+    level_day = F.lit(ANY_DAY).cast("date")
     asks = (
         orders.select(
             "orders", "restaurant_id", "subtotal", "day",
             F.explode(F.sequence(F.lit(-WEEK_DAYS), F.lit(WEEK_DAYS))).alias("offset"),
         )
         .select(
-            F.concat_ws(":", F.col("orders").cast("string"), F.col("offset").cast("string")).alias("ask"),
             "orders", "offset", "restaurant_id", F.date_add("day", F.col("offset")).alias("day"), "subtotal",
         )
         .join(any_day, ["restaurant_id", "day"])
+        .select(F.lit(0).alias("level"), "restaurant_id", "day", "orders", "offset", "subtotal", "any_rate")
     )
-    day_near = nearest_points(
-        by_day, asks, ["restaurant_id", "day"],
+    rest_asks = orders.join(any_rest, "restaurant_id").select(
+        F.lit(1).alias("level"), "restaurant_id", level_day.alias("day"), "orders",
+        F.lit(None).cast("int").alias("offset"), "subtotal", "any_rate",
+    )
+    queries = asks.unionByName(rest_asks).withColumn(
+        "ask", F.concat_ws(":", F.col("orders").cast("string"), F.col("level").cast("string"), F.col("offset").cast("string"))
+    )
+    points = by_day.select(F.lit(0).alias("level"), "restaurant_id", "day", "net", "rate").unionByName(
+        by_rest.select(F.lit(1).alias("level"), "restaurant_id", level_day.alias("day"), "net", "rate")
+    )
+    near_all = nearest_points(
+        points, queries, ["level", "restaurant_id", "day"],
         point_value="net", point_payload="rate", query_id="ask", query_value="subtotal",
         carry=["orders", "offset", "any_rate"],
     )
     s = F.col("subtotal")
     near = _best([_choice(s, "prev"), _choice(s, "next")])
+    lvl, same_day = F.col("level"), F.col("offset") == 0
     # Structs compare field by field: the smallest (diff, rate) is the match.
-    day_best = day_near.groupBy("orders").agg(
-        F.min(F.when(F.col("offset") == 0, near)).alias("t1_near"),
-        F.min(F.when(F.col("offset") == 0, F.col("any_rate"))).alias("t1_any"),
-        F.min(near).alias("t2_near"),
-        F.min("any_rate").alias("t2_any"),
-    )
-
-    rest_near = nearest_points(
-        by_rest, orders.join(any_rest, "restaurant_id"), ["restaurant_id"],
-        point_value="net", point_payload="rate", query_id="orders", query_value="subtotal",
-        carry=["any_rate"],
-    )
-    rest_best = rest_near.groupBy("orders").agg(
-        F.min(near).alias("t3_near"), F.min("any_rate").alias("t3_any")
+    best = near_all.groupBy("orders").agg(
+        F.min(F.when((lvl == 0) & same_day, near)).alias("t1_near"),
+        F.min(F.when((lvl == 0) & same_day, F.col("any_rate"))).alias("t1_any"),
+        F.min(F.when(lvl == 0, near)).alias("t2_near"),
+        F.min(F.when(lvl == 0, F.col("any_rate"))).alias("t2_any"),
+        F.min(F.when(lvl == 1, near)).alias("t3_near"),
+        F.min(F.when(lvl == 1, F.col("any_rate"))).alias("t3_any"),
     )
 
     ids = orders.select("orders").distinct()
-    m = ids.join(day_best, "orders", "left").join(rest_best, "orders", "left")
+    m = ids.join(best, "orders", "left")
     rate1 = F.coalesce(F.col("t1_near.rate"), F.col("t1_any"))
     rate2 = F.coalesce(F.col("t2_near.rate"), F.col("t2_any"))
     rate3 = F.coalesce(F.col("t3_near.rate"), F.col("t3_any"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from careops.functions.materialize import checkpoint
 from careops.operators import alcohol, commission, contacts, payments, retention, service
 from careops.plans.params import Params
 from careops.sources.catalog import Sources
@@ -154,5 +155,6 @@ def commission_tier(src: Sources, p: Params, tier: int) -> DataFrame:
 
 
 def payment_adjustment(src: Sources, p: Params) -> DataFrame:
-    oa = orders_alcohol(src, p)
+    # Read by the commission match and by the final join: write it once.
+    oa = checkpoint(orders_alcohol(src, p))
     return payments.payment_adjustment(commission.commission_combined(oa, src.ledger), oa)
