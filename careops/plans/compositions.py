@@ -1,7 +1,8 @@
 """End-to-end analyses built from the operators.
 
-Each function takes ``Sources`` and ``Params`` and returns a lazy DataFrame;
-nothing here triggers a job.
+Each function takes ``Sources`` and ``Params`` and returns a DataFrame.  Only
+the commission path runs jobs while building: it checkpoints relations that
+several branches read (see ``careops.functions.materialize``).
 """
 
 from __future__ import annotations
