@@ -190,7 +190,7 @@ def retention_activity(
         "user_id",
         "cohort",
         *flag_cols,
-        ((gap + 6) / 7).cast("bigint").alias("week_round"),
+        F.ceil(gap / F.lit(7)).cast("bigint").alias("week_round"),
     ).distinct()
 
 

@@ -49,7 +49,17 @@ def _reason(event_id: str) -> Column:
 
 
 def testdata_sources(spark: SparkSession, sf_dir: str) -> Sources:
-    t = lambda name: _table(spark, sf_dir, name)
+    read: dict[str, DataFrame] = {}
+
+    def t(name: str) -> DataFrame:
+        # One reader per table resolves each file schema once.  lineitem
+        # feeds several relations that later meet in one join; separate
+        # readers keep those self-joins plain.
+        if name == "lineitem":
+            return _table(spark, sf_dir, name)
+        if name not in read:
+            read[name] = _table(spark, sf_dir, name)
+        return read[name]
 
     def orders() -> DataFrame:
         o = t("orders").select(
