@@ -46,7 +46,6 @@ WEEK_DAYS = 7
 # The day key of restaurant-level (any date) lookups; the level column keeps
 # it apart from real dates.
 ANY_DAY = "1900-01-01"
-OUTPUT = ("orders", "commission_rate", "perc_com", "fixed_com", "commission_rank")
 
 
 def usable_ledger(ledger: DataFrame) -> DataFrame:

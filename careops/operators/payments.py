@@ -21,11 +21,6 @@ SETTLED_STATUSES = ("CANCELLED", "CONFIRMED_BY_RESTAURANT")
 
 MONEY = "decimal(18,2)"
 
-ORDERS_ALCOHOL_COLUMNS = (
-    "orders", "created_at", "adjustment_cost", "adjustment_flag", "restaurant_id",
-    "restaurant_name", "restaurant_company", "subtotal", "alcohol_cost",
-)
-
 PAYMENT_COLUMNS = (
     "orders", "order_date", "adjustment_cost", "adjustment_flag", "restaurant_id",
     "restaurant_name", "restaurant_company", "subtotal", "alcohol_cost",
