@@ -57,8 +57,6 @@ def nearest_points(
     ``carry`` names extra query columns passed through unchanged.
     """
     keys, carry = list(keys), list(carry)
-    spark = points.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     qtypes = dict(queries.dtypes)
     pay_type = dict(points.dtypes)[point_payload]
     not_null = lambda cols: F.expr(" and ".join(f"`{c}` is not null" for c in cols))
@@ -81,13 +79,15 @@ def nearest_points(
         F.lit(None).cast(pay_type).alias("_pay"),
         *carry,
     )
+    # Without an explicit count AQE sizes the range exchange from the data
+    # (coalesced ranges stay contiguous and ordered); the partition id is
+    # read in the same tasks and pinned by the checkpoint below.
+    sort_key = [*keys, "_x", "_kind", "_qid"]
+    union = p.unionByName(q)
     ranged = (
-        p.unionByName(q)
-        # An explicit partition count keeps AQE from coalescing this
-        # exchange, so partition ids stay aligned with the ranges.
-        .repartitionByRange(n, *keys, "_x", "_kind", "_qid")
-        .withColumn("_pid", F.spark_partition_id())
-    )
+        union.repartitionByRange(num_partitions, *sort_key) if num_partitions
+        else union.repartitionByRange(*sort_key)
+    ).withColumn("_pid", F.spark_partition_id())
 
     point = F.when(F.col("_kind") == _POINT, F.struct(F.col("_x").alias("value"), F.col("_pay").alias("payload")))
     part = ["_pid", *keys]

@@ -41,13 +41,12 @@ def row_number_within(
     """
     group = list(group)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
-
-    ranged = df.repartitionByRange(n, *[F.col(g) for g in group], *order_cols).withColumn(
-        "_pid", F.spark_partition_id()
-    )
+    sort_key = [*[F.col(g) for g in group], *order_cols]
+    # AQE sizes the range exchange unless a count is given (see nearest.py).
+    ranged = (
+        df.repartitionByRange(num_partitions, *sort_key) if num_partitions else df.repartitionByRange(*sort_key)
+    ).withColumn("_pid", F.spark_partition_id())
     piece = ["_pid", *group]
     local = checkpoint(
         ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*piece).orderBy(*order_cols)))

@@ -58,10 +58,10 @@ def _brute(pts, qs):
     return out
 
 
-@pytest.mark.parametrize("n", [1, 3, 8])
+@pytest.mark.parametrize("n", [None, 1, 3, 8])
 @pytest.mark.parametrize("filtered", [False, True])
 def test_nearest_matches_brute_force(spark, n, filtered):
-    pts, qs = _data(seed=n)
+    pts, qs = _data(seed=n or 0)
     expect = _brute(pts, qs)
     res = nearest_points(
         spark.createDataFrame(pts, PTS), spark.createDataFrame(qs, QS), ["k"],
@@ -80,13 +80,13 @@ def test_nearest_matches_brute_force(spark, n, filtered):
     assert got == expect
 
 
-@pytest.mark.parametrize("n", [1, 4, 8])
+@pytest.mark.parametrize("n", [None, 1, 4, 8])
 def test_row_number_within_matches_window(spark, n):
     from pyspark.sql.window import Window
 
     from careops.functions.ordering import row_number_within
 
-    rnd = random.Random(n)
+    rnd = random.Random(n or 0)
     data = [(0 if i % 3 == 0 else rnd.randrange(1, 40), rnd.randrange(0, 50), f"m{rnd.randrange(5)}") for i in range(1500)]
     data += [(None, 1, "x"), (7, None, "y")]
     df = spark.createDataFrame(data, "g long, t long, m string")
