@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from careops.sources.catalog import Sources
@@ -24,8 +25,18 @@ def _plus(ts: str, unit: str, amount: Column) -> Column:
     return F.timestamp_add(unit, amount, F.col(ts))
 
 
+# File schemas seen so far: later reads pass the schema and skip inference
+# (a small job per read otherwise).
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path in _SCHEMAS:
+        return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[path] = df.schema
+    return df
 
 
 def _lob(user_id: str) -> Column:
