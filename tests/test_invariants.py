@@ -92,3 +92,47 @@ def test_same_result_with_one_and_many_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert before == after
+
+
+def test_first_orders_limit_before_shuffle(spark):
+    plan = _plan(E.queries()["first_order_cohort_week"](spark, SF_SMALL))
+    assert "row_number(), 1, Partial" in plan  # top-1 per customer before the exchange
+
+
+def test_distinct_count_expands_before_grouping(spark):
+    plan = _plan(E.queries()["retained_users"](spark, SF_SMALL))
+    assert "partial_count(distinct user_id" in plan
+    assert "keys=[cohort#" in plan and "week_round#" in plan and "user_id#" in plan
+
+
+def _nodes(node):
+    yield node
+    kids = node.children()
+    for i in range(kids.size()):
+        yield from _nodes(kids.apply(i))
+
+
+def _unique_side(node) -> bool:
+    """The side is an aggregate (one row per key) under projections/filters."""
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.child()
+    return node.nodeName() == "Aggregate"
+
+
+def test_commission_plan_has_no_order_ledger_pairing(spark):
+    # A join on the restaurant key alone would pair every order with every
+    # ledger line of its restaurant.  Every restaurant-keyed join must also
+    # be keyed by day/level/partition id, or have a one-row-per-key side.
+    df = E.queries()["commission_combined"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    checked = 0
+    for node in _nodes(plan):
+        if node.nodeName() != "Join" or not node.condition().isDefined():
+            continue
+        cond = node.condition().get().toString()
+        if "restaurant_id" not in cond:
+            continue
+        checked += 1
+        narrow = any(k in cond for k in ("day#", "level#", "_pid#"))
+        assert narrow or _unique_side(node.left()) or _unique_side(node.right()), cond
+    assert checked > 0
