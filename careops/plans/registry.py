@@ -7,6 +7,7 @@ Every query reads whole test tables (through ``testdata_sources``).
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +15,27 @@ from pyspark.sql import DataFrame, SparkSession
 from careops.plans import compositions as C
 from careops.plans.oracle import OracleSQL, full
 from careops.plans.params import TESTDATA, Params
+from careops.sources.catalog import Sources
 from careops.sources.testdata import testdata_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# One Sources (lazy plans, no data) per session and data folder, as a
+# deployment would build it once; every query still reads all its data.
+_SOURCES: "weakref.WeakKeyDictionary[SparkSession, dict[str, Sources]]" = weakref.WeakKeyDictionary()
+
+
+def sources_for(spark: SparkSession, sf_dir: str) -> Sources:
+    per_session = _SOURCES.setdefault(spark, {})
+    if sf_dir not in per_session:
+        per_session[sf_dir] = testdata_sources(spark, sf_dir)
+    return per_session[sf_dir]
+
+
 def _bind(fn: Callable, p: Params = TESTDATA) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(testdata_sources(spark, sf_dir), p)
+        return fn(sources_for(spark, sf_dir), p)
 
     run.__name__ = getattr(fn, "__name__", "query")
     return run
