@@ -42,3 +42,27 @@ def test_sinks_round_trip(spark):
     sinks.replace_table(calls.withColumn("day", F.to_date("local_start_timestamp")), path, ["day"], as_path=True)
     back = spark.read.parquet(path).drop("day")
     assert rows(back, calls.columns) == rows(calls)
+
+
+def test_command_line_runner(spark):
+    import json as _json
+
+    from careops.__main__ import main
+
+    base = tempfile.mkdtemp(prefix="careops-cli-", dir="/tmp")
+    main(["--analysis", "claim_cost_summary", "--testdata", SF_SMALL, "--params", "testdata",
+          "--out", f"{base}/claims"])
+    got = rows(spark.read.parquet(f"{base}/claims"))
+    want = rows(C.claim_costs(testdata_sources(spark, SF_SMALL), TESTDATA))
+    assert got == want
+    # relation mapping form: Parquet paths written from the derived relations
+    src = testdata_sources(spark, SF_SMALL)
+    mapping = {}
+    for name in ("calls",):
+        src[name].write.parquet(f"{base}/in/{name}")
+        mapping[name] = f"{base}/in/{name}"
+    with open(f"{base}/sources.json", "w") as fh:
+        _json.dump(mapping, fh)
+    main(["--analysis", "call_extract", "--sources", f"{base}/sources.json", "--params", "testdata",
+          "--out", f"{base}/calls_out"])
+    assert rows(spark.read.parquet(f"{base}/calls_out")) == rows(C.calls_extract(src, TESTDATA))
