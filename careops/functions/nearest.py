@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from careops.functions.materialize import checkpoint
+from careops.functions.ranges import range_pieces
 
 _POINT, _QUERY = 0, 1
 
@@ -79,15 +80,9 @@ def nearest_points(
         F.lit(None).cast(pay_type).alias("_pay"),
         *carry,
     )
-    # Without an explicit count AQE sizes the range exchange from the data
-    # (coalesced ranges stay contiguous and ordered); the partition id is
-    # read in the same tasks and pinned by the checkpoint below.
-    sort_key = [*keys, "_x", "_kind", "_qid"]
-    union = p.unionByName(q)
-    ranged = (
-        union.repartitionByRange(num_partitions, *sort_key) if num_partitions
-        else union.repartitionByRange(*sort_key)
-    ).withColumn("_pid", F.spark_partition_id())
+    # The sort key is unique per row (points are unique per key and value,
+    # queries carry their id), so a hot key is cut into many ranges.
+    ranged = range_pieces(p.unionByName(q), [*keys, "_x", "_kind", "_qid"], num_partitions)
 
     point = F.when(F.col("_kind") == _POINT, F.struct(F.col("_x").alias("value"), F.col("_pay").alias("payload")))
     part = ["_pid", *keys]

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from careops.functions.materialize import checkpoint
+from careops.functions.ranges import range_pieces
 
 
 def row_number_within(
@@ -42,11 +43,7 @@ def row_number_within(
     group = list(group)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     cols = df.columns
-    sort_key = [*[F.col(g) for g in group], *order_cols]
-    # AQE sizes the range exchange unless a count is given (see nearest.py).
-    ranged = (
-        df.repartitionByRange(num_partitions, *sort_key) if num_partitions else df.repartitionByRange(*sort_key)
-    ).withColumn("_pid", F.spark_partition_id())
+    ranged = range_pieces(df, [*group, *order_cols], num_partitions)
     piece = ["_pid", *group]
     local = checkpoint(
         ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*piece).orderBy(*order_cols)))

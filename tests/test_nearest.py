@@ -94,3 +94,16 @@ def test_row_number_within_matches_window(spark, n):
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("t", "m")))
     key = lambda r: (repr(r.g), repr(r.t), r.m, r.rn)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_hot_key_is_split_across_ranges(spark):
+    from careops.functions.ranges import range_pieces
+
+    rnd = random.Random(5)
+    data = [(0 if i % 3 == 0 else rnd.randrange(1, 200), rnd.random()) for i in range(30_000)]
+    df = spark.createDataFrame(data, "k long, x double")
+    pieces = range_pieces(df, ["k", "x"], 16)
+    per_pid = {r._pid: r.n for r in pieces.filter("k = 0").groupBy("_pid").agg(F.count("*").alias("n")).collect()}
+    hot = sum(per_pid.values())
+    assert hot == 10_000
+    assert len(per_pid) >= 4 and max(per_pid.values()) < 0.5 * hot
