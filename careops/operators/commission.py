@@ -118,15 +118,28 @@ def commission_match(orders_alcohol: DataFrame, ledger: DataFrame, materialize:
         .join(any_day, ["restaurant_id", "day"])
         .select(F.lit(0).alias("level"), "restaurant_id", "day", "orders", "offset", "subtotal", "any_rate")
     )
-    rest_asks = orders.join(any_rest, "restaurant_id").select(
-        F.lit(1).alias("level"), "restaurant_id", level_day.alias("day"), "orders",
-        F.lit(None).cast("int").alias("offset"), "subtotal", "any_rate",
+    if materialize:
+        asks = checkpoint(asks)  # read by the queries, the tier-3 split and the point filter
+    # Tier 3 only decides orders with no usable line within a week (the
+    # cascade never looks further for the others), so only those ask at
+    # restaurant level.
+    rest_asks = (
+        orders.join(asks.select("orders"), "orders", "left_anti")
+        .join(any_rest, "restaurant_id")
+        .select(
+            F.lit(1).alias("level"), "restaurant_id", level_day.alias("day"), "orders",
+            F.lit(None).cast("int").alias("offset"), "subtotal", "any_rate",
+        )
     )
     queries = asks.unionByName(rest_asks).withColumn(
         "ask", F.concat_ws(":", F.col("orders").cast("string"), F.col("level").cast("string"), F.col("offset").cast("string"))
     )
-    points = by_day.select(F.lit(0).alias("level"), "restaurant_id", "day", "net", "rate").unionByName(
-        by_rest.select(F.lit(1).alias("level"), "restaurant_id", level_day.alias("day"), "net", "rate")
+    # Only ledger points some order asks about enter the range sort: the
+    # ledger is far larger than the list of cancelled orders.
+    day_points = by_day.join(asks.select("restaurant_id", "day").distinct(), ["restaurant_id", "day"], "left_semi")
+    rest_points = by_rest.join(rest_asks.select("restaurant_id").distinct(), "restaurant_id", "left_semi")
+    points = day_points.select(F.lit(0).alias("level"), "restaurant_id", "day", "net", "rate").unionByName(
+        rest_points.select(F.lit(1).alias("level"), "restaurant_id", level_day.alias("day"), "net", "rate")
     )
     near_all = nearest_points(
         points, queries, ["level", "restaurant_id", "day"],
