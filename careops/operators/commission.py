@@ -11,14 +11,16 @@ a NULL net amount are used only when no line with an amount exists.
 All tiers are computed in one pass, without pairing orders with ledger
 lines (see ``careops.functions.nearest``):
 
-* ledger lines are reduced to one row per ``(restaurant, day, net)`` and per
-  ``(restaurant, net)`` keeping the smallest rate (partial aggregates, so a
-  busy restaurant is combined map-side);
+* the ledger is reduced once to one row per ``(restaurant, day, net)``
+  keeping the smallest rate (partial aggregates, so a busy restaurant is
+  combined map-side); the per-key lookups below are small aggregates of it;
 * every order asks for its nearest line under key ``(restaurant, day)`` for
-  the 15 days ``d−7 … d+7`` (tier 1 is the ``d`` answer) and under key
-  ``restaurant`` (tier 3);
-* tier membership and the NULL-amount fallback come from
-  ``(restaurant, day)`` / ``restaurant`` summaries joined on unique keys.
+  the 15 days ``d−7 … d+7`` that hold a usable line (tier 1 is the ``d``
+  answer); orders with no such day ask under key ``restaurant`` (tier 3);
+* only ledger points under an asked key enter the range sort, so the sort
+  grows with the cancelled orders, not with the whole ledger;
+* tier membership and the NULL-amount fallback come from per-key summaries
+  joined on unique keys.
 
 ``commission_tier(k)`` exposes one tier as the warehouse's per-tier table.
 """
