@@ -115,7 +115,7 @@ def multi_message_chats(chats: DataFrame, transcript: DataFrame, mode: str = "ro
     ``distinct``: each such chat once.
     """
     if mode == "distinct":
-        multi = transcript.filter(F.col("chat_cum") > 1).select("chat_id").distinct()
+        multi = transcript.filter(F.col("chat_cum") > 1).select("chat_id")
         return chats.join(multi, "chat_id", "left_semi")
     if mode != "rows":
         raise ValueError(f"unknown mode {mode!r}")

@@ -55,7 +55,7 @@ def orders_with_alcohol(
     ``alcohol_cost`` is 0 for orders without alcohol; ``subtotal`` is the
     order's text subtotal as ``decimal(10,2)``.
     """
-    listed = order_list.select("orders").distinct()
+    listed = order_list.select("orders")  # a semi-join: repeated ids change nothing
     sub = orders.filter(F.col("status").isin(list(statuses))).select(
         F.col("id").alias("orders"), "created_at", "restaurant_id", "subtotal"
     )
