@@ -77,8 +77,9 @@ def _choice(s: Column, hit: str) -> Column:
 def commission_match(orders_alcohol: DataFrame, ledger: DataFrame, materialize: bool = True) -> DataFrame:
     """``orders, commission_rate, commission_rank`` (rank '1'..'4') per order.
 
-    ``materialize`` checkpoints the narrow per-order input and the ledger
-    summary, each read by several branches of the plan.
+    ``materialize`` checkpoints the narrow per-order input, the ledger
+    summary and the day-level asks, each read by several branches of the
+    plan (the nearest-value pass always pins its own ranges).
     """
     lines = usable_ledger(ledger)
     orders = orders_alcohol.select(

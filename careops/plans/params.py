@@ -129,7 +129,9 @@ class Params:
     extras: dict = field(default_factory=dict)
 
 
-# The original analyses (each used the cohort window for its contacts too).
+# The original analyses' windows, week offsets, geographies,
+# excluded dates and countries, claim look-back and amount (each analysis
+# used its cohort window for its contacts too).
 WAREHOUSE = Params(
     day_window=("2018-06-01", "2018-06-30"),
     week_window=("2018-04-02", "2018-07-01"),
