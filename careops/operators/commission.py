@@ -14,9 +14,10 @@ lines (see ``careops.functions.nearest``):
 * the ledger is reduced once to one row per ``(restaurant, day, net)``
   keeping the smallest rate (partial aggregates, so a busy restaurant is
   combined map-side); the per-key lookups below are small aggregates of it;
-* every order asks for its nearest line under key ``(restaurant, day)`` for
-  the 15 days ``d−7 … d+7`` that hold a usable line (tier 1 is the ``d``
-  answer); orders with no such day ask under key ``restaurant`` (tier 3);
+* membership comes first: an order with a usable line on its own day is
+  tier 1, else one within a week is tier 2, else any line is tier 3, else
+  tier 4 (a plain anti-join); each order then asks only what decides its
+  tier — its own day, the week's days, or the restaurant;
 * only ledger points under an asked key enter the range sort, so the sort
   grows with the cancelled orders, not with the whole ledger;
 * tier membership and the NULL-amount fallback come from per-key summaries
@@ -27,6 +28,8 @@ lines (see ``careops.functions.nearest``):
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,13 +77,21 @@ def _choice(s: Column, hit: str) -> Column:
     return F.when(c.isNotNull(), F.struct(F.abs(c["value"] - s).alias("diff"), c["payload"].alias("rate")))
 
 
-def commission_match(orders_alcohol: DataFrame, ledger: DataFrame, materialize: bool = True) -> DataFrame:
+def commission_match(
+    orders_alcohol: DataFrame,
+    ledger: DataFrame,
+    materialize: bool = True,
+    tiers: Sequence[int] = (1, 2, 3, 4),
+) -> DataFrame:
     """``orders, commission_rate, commission_rank`` (rank '1'..'4') per order.
 
-    ``materialize`` checkpoints the narrow per-order input, the ledger
-    summary and the day-level asks, each read by several branches of the
-    plan (the nearest-value pass always pins its own ranges).
+    Only orders settled at one of ``tiers`` are returned; tiers not asked
+    for skip their nearest-value work (tier 4 needs none).  ``materialize``
+    checkpoints the narrow per-order input, the ledger summary and the
+    day-level asks, each read by several branches of the plan (the
+    nearest-value pass always pins its own ranges).
     """
+    tiers = set(tiers)
     lines = usable_ledger(ledger)
     orders = orders_alcohol.select(
         "orders", "restaurant_id", F.to_date("created_at").alias("day"), "subtotal"
@@ -89,14 +100,10 @@ def commission_match(orders_alcohol: DataFrame, ledger: DataFrame, materialize:
         orders = checkpoint(orders)
 
     # One pass over the ledger: the smallest rate per (restaurant, day, net),
-    # NULL day / net kept.  The four lookups below are small aggregates of it.
+    # NULL day / net kept.  The lookups below are small aggregates of it.
     summary = lines.groupBy("restaurant_id", "day", "net").agg(F.min("commission_rate").alias("rate"))
     if materialize:
         summary = checkpoint(summary)
-    by_day = summary.filter(F.col("net").isNotNull() & F.col("day").isNotNull())
-    by_rest = summary.filter(F.col("net").isNotNull()).groupBy("restaurant_id", "net").agg(
-        F.min("rate").alias("rate")
-    )
     # Any usable line per key (NULL amounts included) and its smallest rate:
     # decides tier membership and the all-NULL-diff fallback.  One row per
     # key, so joining on it never multiplies rows.
@@ -104,11 +111,16 @@ def commission_match(orders_alcohol: DataFrame, ledger: DataFrame, materialize:
         F.min("rate").alias("any_rate")
     )
     any_rest = summary.groupBy("restaurant_id").agg(F.min("rate").alias("any_rate"))
+    ids = orders.select("orders").distinct()
 
-    # One nearest-value pass answers every tier.  Keys carry a level:
-    # level 0 is (restaurant, day) — 15 day-keys per order, offset 0 is
-    # tier 1, all of them tier 2, kept only where the restaurant has a usable
-    # line that day; level 1 is (restaurant) with a constant day — tier 3.
+    if tiers <= {4}:
+        # No usable line at all for the restaurant: nothing to match.
+        default = orders.join(any_rest, "restaurant_id", "left_anti").select("orders").distinct()
+        return default.select("orders", F.lit(DEFAULT_RATE_TEXT).alias("commission_rate"), F.lit("4").alias("commission_rank"))
+
+    # Day-level asks: (restaurant, d + offset) for offsets −7 … 7, kept only
+    # where the restaurant has a usable line that day.  An order with an
+    # offset-0 ask is settled at tier 1, one with only other asks at tier 2.
     level_day = F.lit(ANY_DAY).cast("date")
     asks = (
         orders.select(
@@ -122,63 +134,101 @@ def commission_match(orders_alcohol: DataFrame, ledger: DataFrame, materialize:
         .select(F.lit(0).alias("level"), "restaurant_id", "day", "orders", "offset", "subtotal", "any_rate")
     )
     if materialize:
-        asks = checkpoint(asks)  # read by the queries, the tier-3 split and the point filter
+        asks = checkpoint(asks)  # read for membership, the queries and the point filter
+    same_day = F.col("offset") == 0
+    member = asks.groupBy("orders").agg(
+        F.max(same_day).alias("_tier1"),
+        F.min(F.when(same_day, F.col("any_rate"))).alias("t1_any"),
+        F.min("any_rate").alias("t2_any"),
+    )
     # Tier 3 only decides orders with no usable line within a week (the
-    # cascade never looks further for the others), so only those ask at
-    # restaurant level.
+    # cascade never looks further for the others).
     rest_asks = (
-        orders.join(asks.select("orders"), "orders", "left_anti")
+        orders.join(member.select("orders"), "orders", "left_anti")
         .join(any_rest, "restaurant_id")
         .select(
             F.lit(1).alias("level"), "restaurant_id", level_day.alias("day"), "orders",
             F.lit(None).cast("int").alias("offset"), "subtotal", "any_rate",
         )
     )
-    queries = asks.unionByName(rest_asks).withColumn(
-        "ask", F.concat_ws(":", F.col("orders").cast("string"), F.col("level").cast("string"), F.col("offset").cast("string"))
-    )
-    # Only ledger points some order asks about enter the range sort: the
-    # ledger is far larger than the list of cancelled orders.
-    day_points = by_day.join(asks.select("restaurant_id", "day").distinct(), ["restaurant_id", "day"], "left_semi")
-    rest_points = by_rest.join(rest_asks.select("restaurant_id").distinct(), "restaurant_id", "left_semi")
-    points = day_points.select(F.lit(0).alias("level"), "restaurant_id", "day", "net", "rate").unionByName(
-        rest_points.select(F.lit(1).alias("level"), "restaurant_id", level_day.alias("day"), "net", "rate")
+    third = rest_asks.select("orders", F.col("any_rate").alias("t3_any"))
+
+    # Each order asks only what decides its own tier: tier-1 orders their
+    # same-day key, tier-2 orders the week's keys, tier-3 orders the
+    # restaurant key.
+    deciding = asks.join(member.select("orders", "_tier1"), "orders")
+    parts = []
+    if 1 in tiers:
+        parts.append(deciding.filter(F.col("_tier1") & same_day))
+    if 2 in tiers:
+        parts.append(deciding.filter(~F.col("_tier1")))
+    day_asks = None
+    for part in parts:
+        part = part.drop("_tier1")
+        day_asks = part if day_asks is None else day_asks.unionByName(part)
+    queries = None
+    if day_asks is not None:
+        queries = day_asks
+    if 3 in tiers:
+        queries = rest_asks if queries is None else queries.unionByName(rest_asks)
+
+    m = ids.join(member, "orders", "left").join(third, "orders", "left")
+    rank = (
+        F.when(F.col("t1_any").isNotNull(), "1")
+        .when(F.col("t2_any").isNotNull(), "2")
+        .when(F.col("t3_any").isNotNull(), "3")
+        .otherwise("4")
     )
-    near_all = nearest_points(
-        points, queries, ["level", "restaurant_id", "day"],
-        point_value="net", point_payload="rate", query_id="ask", query_value="subtotal",
-        carry=["orders", "offset", "any_rate"],
+    fallback = (
+        F.when(F.col("t1_any").isNotNull(), F.col("t1_any"))
+        .when(F.col("t2_any").isNotNull(), F.col("t2_any"))
+        .otherwise(F.col("t3_any"))
     )
-    s = F.col("subtotal")
-    near = _best([_choice(s, "prev"), _choice(s, "next")])
-    lvl, same_day = F.col("level"), F.col("offset") == 0
-    # Structs compare field by field: the smallest (diff, rate) is the match.
-    best = near_all.groupBy("orders").agg(
-        F.min(F.when((lvl == 0) & same_day, near)).alias("t1_near"),
-        F.min(F.when((lvl == 0) & same_day, F.col("any_rate"))).alias("t1_any"),
-        F.min(F.when(lvl == 0, near)).alias("t2_near"),
-        F.min(F.when(lvl == 0, F.col("any_rate"))).alias("t2_any"),
-        F.min(F.when(lvl == 1, near)).alias("t3_near"),
-        F.min(F.when(lvl == 1, F.col("any_rate"))).alias("t3_any"),
+    m = m.select("orders", rank.alias("commission_rank"), fallback.alias("_any")).filter(
+        F.col("commission_rank").isin([str(t) for t in sorted(tiers)])
     )
+    if queries is None:  # only tier 4 among the requested ones needs no match
+        near_best = None
+    else:
+        queries = queries.withColumn(
+            "ask", F.concat_ws(":", F.col("orders").cast("string"), F.col("level").cast("string"), F.col("offset").cast("string"))
+        )
+        # Only ledger points some order asks about enter the range sort: the
+        # ledger is far larger than the list of cancelled orders.
+        point_sets = []
+        if day_asks is not None:
+            by_day = summary.filter(F.col("net").isNotNull() & F.col("day").isNotNull())
+            keys = day_asks.select("restaurant_id", "day").distinct()
+            point_sets.append(
+                by_day.join(keys, ["restaurant_id", "day"], "left_semi")
+                .select(F.lit(0).alias("level"), "restaurant_id", "day", "net", "rate")
+            )
+        if 3 in tiers:
+            by_rest = summary.filter(F.col("net").isNotNull()).groupBy("restaurant_id", "net").agg(
+                F.min("rate").alias("rate")
+            )
+            point_sets.append(
+                by_rest.join(rest_asks.select("restaurant_id").distinct(), "restaurant_id", "left_semi")
+                .select(F.lit(1).alias("level"), "restaurant_id", level_day.alias("day"), "net", "rate")
+            )
+        points = point_sets[0] if len(point_sets) == 1 else point_sets[0].unionByName(point_sets[1])
+        near_all = nearest_points(
+            points, queries, ["level", "restaurant_id", "day"],
+            point_value="net", point_payload="rate", query_id="ask", query_value="subtotal",
+            carry=["orders"],
+        )
+        s = F.col("subtotal")
+        # Structs compare field by field: the smallest (diff, rate) is the match.
+        near_best = near_all.groupBy("orders").agg(
+            F.min(_best([_choice(s, "prev"), _choice(s, "next")])).alias("_near")
+        )
+        m = m.join(near_best, "orders", "left")
 
-    ids = orders.select("orders").distinct()
-    m = ids.join(best, "orders", "left")
-    rate1 = F.coalesce(F.col("t1_near.rate"), F.col("t1_any"))
-    rate2 = F.coalesce(F.col("t2_near.rate"), F.col("t2_any"))
-    rate3 = F.coalesce(F.col("t3_near.rate"), F.col("t3_any"))
+    rate = F.coalesce(F.col("_near.rate"), F.col("_any")) if near_best is not None else F.col("_any")
     return m.select(
         "orders",
-        F.when(F.col("t1_any").isNotNull(), rate1)
-        .when(F.col("t2_any").isNotNull(), rate2)
-        .when(F.col("t3_any").isNotNull(), rate3)
-        .otherwise(F.lit(DEFAULT_RATE_TEXT))
-        .alias("commission_rate"),
-        F.when(F.col("t1_any").isNotNull(), "1")
-        .when(F.col("t2_any").isNotNull(), "2")
-        .when(F.col("t3_any").isNotNull(), "3")
-        .otherwise("4")
-        .alias("commission_rank"),
+        F.when(F.col("commission_rank") == "4", F.lit(DEFAULT_RATE_TEXT)).otherwise(rate).alias("commission_rate"),
+        "commission_rank",
     )
 
 
@@ -199,6 +249,9 @@ def commission_combined(orders_alcohol: DataFrame, ledger: DataFrame, materializ
     return with_rates(commission_match(orders_alcohol, ledger, materialize))
 
 
-def commission_tier(orders_alcohol: DataFrame, ledger: DataFrame, tier: int) -> DataFrame:
-    """B20 (tier 1), B21 (2), B22 (3), B23 (4): the orders settled at one tier."""
-    return commission_combined(orders_alcohol, ledger).filter(F.col("commission_rank") == str(tier))
+def commission_tier(orders_alcohol: DataFrame, ledger: DataFrame, tier: int, materialize: bool = True) -> DataFrame:
+    """B20 (tier 1), B21 (2), B22 (3), B23 (4): the orders settled at one tier.
+
+    Computes only what that tier needs (tier 4 is a plain anti-join).
+    """
+    return with_rates(commission_match(orders_alcohol, ledger, materialize, tiers=(tier,)))
