@@ -1,8 +1,9 @@
 """End-to-end analyses built from the operators.
 
-Each function takes ``Sources`` and ``Params`` and returns a DataFrame.  Only
-the commission path runs jobs while building: it checkpoints relations that
-several branches read (see ``careops.functions.materialize``).
+Each function takes ``Sources`` and ``Params`` and returns a DataFrame.  A few
+run small jobs while building: bounded size probes before a broadcast
+(``careops.functions.sizing``) and checkpoints of relations that several
+branches read (``careops.functions.materialize``); everything else is lazy.
 """
 
 from __future__ import annotations
