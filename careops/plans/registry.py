@@ -11,6 +11,8 @@ import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from careops.plans import compositions as C
 from careops.plans.oracle import OracleSQL, full
@@ -33,9 +35,22 @@ def sources_for(spark: SparkSession, sf_dir: str) -> Sources:
     return per_session[sf_dir]
 
 
+def present(df: DataFrame) -> DataFrame:
+    """Money and rates leave the registered queries as double.
+
+    Arithmetic stays exact decimal inside the operators; one final,
+    correctly rounded conversion makes the compared values independent of
+    how a consumer renders decimals.  The oracle SQL does the same.
+    """
+    return df.select(
+        *[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, DecimalType) else F.col(f.name)
+          for f in df.schema.fields]
+    )
+
+
 def _bind(fn: Callable, p: Params = TESTDATA) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(sources_for(spark, sf_dir), p)
+        return present(fn(sources_for(spark, sf_dir), p))
 
     run.__name__ = getattr(fn, "__name__", "query")
     return run
@@ -150,4 +165,37 @@ def oracle_sql(p: Params = TESTDATA) -> dict[str, str]:
         "commission_combined": o.commission("combined"),
         "payment_adjustment": o.payment(),
     }
-    return {k: full(v) for k, v in sql.items()}
+    return present_sql({k: full(v) for k, v in sql.items()})
+
+
+# Any folder of the test tables will do: only column types are read.
+_TYPE_DIRS = ("/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations")
+
+
+def present_sql(statements: dict[str, str]) -> dict[str, str]:
+    """Wrap each statement so its DECIMAL columns come out as DOUBLE (see ``present``).
+
+    The decimal columns are found with DuckDB's ``DESCRIBE``, which plans the
+    statement without running it.
+    """
+    import os
+
+    import duckdb
+
+    folder = next((d for d in _TYPE_DIRS if os.path.exists(f"{d}/orders.parquet")), None)
+    if folder is None:
+        raise FileNotFoundError("no test-table folder to read column types from")
+    con = duckdb.connect()
+    for t in _TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+    out = {}
+    for name, sql in statements.items():
+        cols = con.execute(f"describe {sql}").fetchall()
+        exprs = [
+            f'cast("{c}" as double) as "{c}"' if str(t).upper().startswith("DECIMAL") else f'"{c}"'
+            for c, t, *_ in cols
+        ]
+        out[name] = f"select {', '.join(exprs)}\nfrom (\n{sql}\n) presented"
+    con.close()
+    return out
