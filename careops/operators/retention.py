@@ -167,7 +167,8 @@ def retention_activity(
     """
     flag_cols = [c for c in FLAGS if c in flags.columns]
     horizon_days = 7 * horizon_weeks
-    cc = flags.select("user_id", "cohort", *flag_cols, "first_order_date").distinct()
+    # Partitioned by user once: the distinct and the join both reuse it.
+    cc = flags.select("user_id", "cohort", *flag_cols, "first_order_date").repartition("user_id").distinct()
     if exclusive:
         cc = cc.filter(sum(F.col(c) for c in flag_cols) < 2)
 
