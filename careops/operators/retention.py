@@ -167,8 +167,9 @@ def retention_activity(
     """
     flag_cols = [c for c in FLAGS if c in flags.columns]
     horizon_days = 7 * horizon_weeks
-    # Partitioned by user once: the distinct and the join both reuse it.
-    cc = flags.select("user_id", "cohort", *flag_cols, "first_order_date").repartition("user_id").distinct()
+    # Deduplicated before any shuffle (partial aggregate), so a flag row
+    # repeated many times (B05 keeps claim multiplicity) never moves as copies.
+    cc = flags.select("user_id", "cohort", *flag_cols, "first_order_date").distinct()
     if exclusive:
         cc = cc.filter(sum(F.col(c) for c in flag_cols) < 2)
 
