@@ -4,13 +4,15 @@
 to one task.  ``row_number_within`` gives the same numbers with the work
 spread by sort key:
 
-1. range-partition on ``(g, o)``: a group holding a third of all rows spans
-   many partitions (rows with equal ``(g, o)`` stay together, so ties are
-   numbered as a plain ``row_number`` would number them);
-2. number rows inside each ``(partition, group)`` piece with a window;
-3. count rows per piece; a running sum over the pieces of a group (at most
-   one row per partition per group) gives each piece its offset;
-4. number = local number + offset.
+1. identical rows collapse to ``(row, copies)`` with a map-side aggregate;
+2. range-partition on ``(g, o, other columns)`` — unique per row — so a
+   group holding a third of all rows spans many partitions;
+3. inside each ``(partition, group)`` piece a running sum of copies gives
+   each row its last number within the piece;
+4. copies per piece, summed over the earlier pieces of the group (at most
+   one row per partition per group), give each piece its offset;
+5. each row expands back to its copies with consecutive numbers (large
+   copy counts are split across tasks).
 
 The partition id is pinned with a checkpoint before two branches read it
 (see ``careops.functions.nearest`` for why).
@@ -26,6 +28,7 @@ from pyspark.sql.window import Window
 
 from careops.functions.materialize import checkpoint
 from careops.functions.ranges import range_pieces
+from careops.functions.rows import replicate_rows
 
 
 def row_number_within(
@@ -38,17 +41,27 @@ def row_number_within(
     """``df`` plus ``out`` = 1-based position of the row in its group by ``order``.
 
     ``order`` is ascending with NULLs first (Spark's default); give Column
-    expressions such as ``F.col("t").desc()`` for other directions.
+    expressions such as ``F.col("t").desc()`` for other directions.  Rows
+    tied on ``order`` are ordered by their remaining columns; identical rows
+    get consecutive numbers, as any ``row_number`` would give them.
     """
     group = list(group)
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     cols = df.columns
-    ranged = range_pieces(df, [*group, *order_cols], num_partitions)
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    named = set(group) | {c for c in order if isinstance(c, str)}
+    rest = [F.col(c) for c in cols if c not in named]
+
+    # Identical rows collapse to one row and a count before any shuffle, so a
+    # group of copies never travels as copies; the sort key is then unique.
+    distinct_rows = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
+    sort_key = [*[F.col(g) for g in group], *order_cols, *rest]
+    ranged = range_pieces(distinct_rows, sort_key, num_partitions)
     piece = ["_pid", *group]
-    local = checkpoint(
-        ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*piece).orderBy(*order_cols)))
+    upto = Window.partitionBy(*piece).orderBy(*order_cols, *rest).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    sizes = local.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"))
+    local = checkpoint(ranged.withColumn("_last", F.sum("_copies").over(upto)))
+    sizes = local.groupBy(*piece).agg(F.sum("_copies").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(piece)],
@@ -59,4 +72,7 @@ def row_number_within(
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
-    return local.join(offsets, cond).select(*cols, (F.col("_local") + F.col("_offset")).cast("int").alias(out))
+    first = (F.col("_last") + F.col("_offset") - F.col("_copies") + 1).alias("_first")
+    numbered = local.join(offsets, cond).select(*cols, "_copies", first)
+    copies = replicate_rows(numbered, "_copies", index_col="_k")
+    return copies.select(*cols, (F.col("_first") + F.col("_k")).cast("int").alias(out))

@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 DEFAULT_CHUNK = 4096
 
 
-def replicate_rows(df: DataFrame, count_col: str, chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """Emit each row ``count_col`` times (0 or NULL: dropped); drops the column."""
+def replicate_rows(
+    df: DataFrame, count_col: str, chunk: int = DEFAULT_CHUNK, index_col: str | None = None
+) -> DataFrame:
+    """Emit each row ``count_col`` times (0 or NULL: dropped); drops the column.
+
+    ``index_col``, if given, numbers the copies of a row 0, 1, …, n−1.
+    """
     n = F.col(count_col)
     rest = [c for c in df.columns if c != count_col]
 
     small = df.filter(n <= chunk).select(
-        *rest, F.explode(F.array_repeat(F.lit(0), n.cast("int"))).alias("_copy")
+        *rest, F.posexplode(F.array_repeat(F.lit(0), n.cast("int"))).alias("_copy", "_zero")
     )
     # Large counts: one row per chunk, spread by a hash of the chunk number,
     # then each chunk is expanded in its own task.
@@ -32,5 +37,10 @@ def replicate_rows(df: DataFrame, count_col: str, chunk: int = DEFAULT_CHUNK) ->
         .repartition("_chunk", *rest)
     )
     copies = F.least(F.lit(chunk).cast("long"), F.col("_n") - F.col("_chunk") * chunk)
-    big = chunks.select(*rest, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy"))
-    return small.unionByName(big).drop("_copy")
+    big = chunks.select(
+        *rest, "_chunk", F.posexplode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_pos", "_zero")
+    ).select(*rest, (F.col("_chunk") * chunk + F.col("_pos")).cast("int").alias("_copy"), "_zero")
+    out = small.unionByName(big).drop("_zero")
+    if index_col is None:
+        return out.drop("_copy")
+    return out.withColumnRenamed("_copy", index_col)

@@ -107,3 +107,16 @@ def test_hot_key_is_split_across_ranges(spark):
     hot = sum(per_pid.values())
     assert hot == 10_000
     assert len(per_pid) >= 4 and max(per_pid.values()) < 0.5 * hot
+
+
+def test_row_number_within_many_identical_rows(spark):
+    from pyspark.sql.window import Window
+
+    from careops.functions.ordering import row_number_within
+
+    data = [(1, 5, "same")] * 5000 + [(1, 3, "before"), (1, 9, "after"), (2, 1, "other")]
+    df = spark.createDataFrame(data, "g long, t long, m string")
+    got = row_number_within(df, ["g"], ["t"], out="rn", num_partitions=4)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("t", "m")))
+    key = lambda r: (r.g, r.t, r.m, r.rn)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
