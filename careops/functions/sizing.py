@@ -29,6 +29,13 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return seen[max_rows]
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` when the probe proves ``df`` has <= max_rows rows."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+def broadcast_if_small(
+    side: DataFrame, probe: DataFrame | None = None, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """``F.broadcast(side)`` when the bounded probe proves ``probe`` small.
+
+    ``probe`` (default: ``side``) is the relation ``side`` is derived from
+    without adding rows; probing the source keeps the probe remembered
+    across the projections made from it.
+    """
+    return F.broadcast(side) if has_at_most(side if probe is None else probe, max_rows) else side

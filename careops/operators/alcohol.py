@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from careops.functions.predicates import is_false, is_true, not_in
-from careops.functions.sizing import DEFAULT_MAX_BROADCAST_ROWS, has_at_most
+from careops.functions.sizing import broadcast_if_small
 
 ITEM_COLUMNS = (
     "mi_menu_category_name", "mi_name", "mi_description", "mi_alcohol",
@@ -28,9 +28,7 @@ ITEM_COLUMNS = (
 
 
 def listed_items(items: DataFrame, order_list: DataFrame) -> DataFrame:
-    ids = order_list.select(F.col("orders").alias("order_id"))
-    if has_at_most(order_list, DEFAULT_MAX_BROADCAST_ROWS):
-        ids = F.broadcast(ids)
+    ids = broadcast_if_small(order_list.select(F.col("orders").alias("order_id")), probe=order_list)
     return items.join(ids, "order_id", "left_semi")
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careops.functions.sizing import DEFAULT_MAX_BROADCAST_ROWS, has_at_most
+from careops.functions.sizing import broadcast_if_small
 
 # Order states whose cancellation is settled with the restaurant.
 SETTLED_STATUSES = ("CANCELLED", "CONFIRMED_BY_RESTAURANT")
@@ -59,9 +59,9 @@ def orders_with_alcohol(
     sub = orders.filter(F.col("status").isin(list(statuses))).select(
         F.col("id").alias("orders"), "created_at", "restaurant_id", "subtotal"
     )
-    rm = restaurants.select("restaurant_id", "restaurant_name", "restaurant_company")
-    if has_at_most(restaurants, DEFAULT_MAX_BROADCAST_ROWS):
-        rm = F.broadcast(rm)
+    rm = broadcast_if_small(
+        restaurants.select("restaurant_id", "restaurant_name", "restaurant_company"), probe=restaurants
+    )
     df = (
         sub.join(listed, "orders", "left_semi")
         .join(order_adj.select("orders", "adjustment_cost"), "orders", "left")

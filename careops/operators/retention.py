@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from careops.functions.predicates import is_true, ts_between
 from careops.functions.rows import replicate_rows
-from careops.functions.sizing import DEFAULT_MAX_BROADCAST_ROWS, has_at_most
+from careops.functions.sizing import broadcast_if_small
 
 FLAGS = ("cs_contact", "self_serve")
 
@@ -64,9 +64,7 @@ def first_order_cohort_week(
     if zones is not None:
         # Zones are a reference table (one row per delivery zone); broadcast
         # after the bounded probe confirms it.
-        core = zones.filter(F.col("core_zone") == 1).select("zone_id")
-        if has_at_most(zones, DEFAULT_MAX_BROADCAST_ROWS):
-            core = F.broadcast(core)
+        core = broadcast_if_small(zones.filter(F.col("core_zone") == 1).select("zone_id"), probe=zones)
         df = df.join(core, "zone_id")
     if countries is not None or cities is not None:
         df = df.filter(
