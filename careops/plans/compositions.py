@@ -134,26 +134,37 @@ def false_negatives(src: Sources, p: Params) -> DataFrame:
     )
 
 
-def alcohol_totals(src: Sources, p: Params) -> DataFrame:
-    return alcohol.alcohol_order_totals(true_positives(src, p), false_negatives(src, p))
+def alcohol_totals(src: Sources, p: Params, materialize: bool = True) -> DataFrame:
+    # The true positives (alcohol lines only: small) feed both the category
+    # set of the false negatives and the totals; writing them once saves a
+    # second scan of the items table.
+    tp = true_positives(src, p)
+    if materialize:
+        tp = checkpoint(tp)
+    fn = alcohol.alcohol_false_negatives(
+        src.items, src.order_list, tp, p.not_alcohol_categories, p.not_alcohol_prefix
+    )
+    return alcohol.alcohol_order_totals(tp, fn)
 
 
 def adjustments(src: Sources, p: Params) -> DataFrame:
     return payments.order_adjustments(src.adjustments, src.order_list)
 
 
-def orders_alcohol(src: Sources, p: Params) -> DataFrame:
+def orders_alcohol(src: Sources, p: Params, materialize: bool = True) -> DataFrame:
     return payments.orders_with_alcohol(
-        src.order_list, adjustments(src, p), src.orders, alcohol_totals(src, p), src.restaurants
+        src.order_list, adjustments(src, p), src.orders, alcohol_totals(src, p, materialize), src.restaurants
     )
 
 
+# The commission match reads four columns of the enriched orders; Catalyst
+# prunes the alcohol and adjustment branches, so they stay lazy here.
 def commission_combined(src: Sources, p: Params) -> DataFrame:
-    return commission.commission_combined(orders_alcohol(src, p), src.ledger)
+    return commission.commission_combined(orders_alcohol(src, p, materialize=False), src.ledger)
 
 
 def commission_tier(src: Sources, p: Params, tier: int) -> DataFrame:
-    return commission.commission_tier(orders_alcohol(src, p), src.ledger, tier)
+    return commission.commission_tier(orders_alcohol(src, p, materialize=False), src.ledger, tier)
 
 
 def payment_adjustment(src: Sources, p: Params) -> DataFrame:
