@@ -36,3 +36,14 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["cohort", "retained_users", "week_round"]
     assert df.count() > 0
+
+
+def test_no_decimal_columns_leave_the_registry(spark, duck_small):
+    from pyspark.sql.types import DecimalType
+
+    sql = E.oracle_sql()
+    for name, fn in E.queries().items():
+        df = fn(spark, SF_SMALL)
+        assert not any(isinstance(f.dataType, DecimalType) for f in df.schema.fields), name
+        types = [str(t) for _, t, *_ in duck_small.execute(f"describe {sql[name]}").fetchall()]
+        assert not any(t.upper().startswith("DECIMAL") for t in types), name
