@@ -41,34 +41,56 @@ def _bucket_flags() -> dict[str, Column]:
     return out
 
 
-def answer_time_buckets(
+BUCKETS = ("answered_15", "answered_30", "answered_45", "answered_60",
+           "answered_90", "answered_120", "answered_300", "answered_over_300")
+
+
+def good_csat_calls(
     calls: DataFrame,
     start: str,
     end: str,
     excluded_countries: Sequence[str] = (),
+    event_time: str | None = None,
 ) -> DataFrame:
-    """Call count and exclusive answer-time bucket sums for good-CSAT calls."""
+    """Answered good-CSAT calls in the window with their bucket flags (not deduplicated).
+
+    ``event_time`` adds the call start as a column of that name (streaming
+    watermarks need it).
+    """
     buckets = _bucket_flags()
     good = F.when(is_true("csat_good"), 1).otherwise(0).alias("good")
     bad = F.when(is_true("csat_bad"), 1).otherwise(0).alias("bad")
-    per_call = (
-        calls.filter(
-            not_in("origin_country_name", excluded_countries)
-            & is_true("csat_good")
-            & is_true("was_answered")
-            & ts_between("start_timestamp", start, end)
-        )
-        .select("call_guid", *[c.alias(n) for n, c in buckets.items()], good, bad)
-        .distinct()
-    )
-    order = ["answered_15", "answered_30", "answered_45", "answered_60",
-             "answered_90", "answered_120", "answered_300", "answered_over_300"]
+    extra = [F.col("start_timestamp").cast("timestamp").alias(event_time)] if event_time else []
+    return calls.filter(
+        not_in("origin_country_name", excluded_countries)
+        & is_true("csat_good")
+        & is_true("was_answered")
+        & ts_between("start_timestamp", start, end)
+    ).select("call_guid", *[c.alias(n) for n, c in buckets.items()], good, bad, *extra)
+
+
+def bucket_totals(per_call: DataFrame) -> DataFrame:
+    """``call_count`` and the bucket sums over deduplicated per-call rows."""
     return per_call.agg(
         F.count("call_guid").alias("call_count"),
-        *[F.sum(n).cast("bigint").alias(n) for n in order],
+        *[F.sum(n).cast("bigint").alias(n) for n in BUCKETS],
     )
 
 
+def answer_time_buckets(
+    calls: DataFrame,
+    start: str,
+    end: str,
+    excluded_countries: Sequence[str] = (),
+) -> DataFrame:
+    """Call count and exclusive answer-time bucket sums for good-CSAT calls.
+
+    Per-call rows are deduplicated over the call id and all flags (a call
+    with two flag sets counts twice, as in the warehouse).
+    """
+    return bucket_totals(good_csat_calls(calls, start, end, excluded_countries).distinct())
+
+
 def claim_cost_summary(
     claims: DataFrame,
     as_of: str | None,

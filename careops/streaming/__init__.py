@@ -1 +1 @@
-"""Structured Streaming forms of the stateless extracts and the contact set."""
+"""Structured Streaming forms: the extracts, the contact set and the B13 totals."""

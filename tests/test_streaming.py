@@ -35,3 +35,18 @@ def test_streamed_extracts_equal_batch(spark):
     q.awaitTermination(180)
     got = rows(spark.read.parquet(f"{base}/out/contacts"))
     assert got == rows(C.contacted(src, p))
+
+
+def test_streamed_answer_buckets_equal_batch(spark):
+    from careops.streaming.service import answer_time_buckets_stream
+
+    src = testdata_sources(spark, SF_SMALL)
+    base = tempfile.mkdtemp(prefix="careops-stream-", dir="/tmp")
+    src.calls.repartition(3).write.parquet(f"{base}/in/calls")
+    p = TESTDATA
+    calls = S.read_stream(spark, f"{base}/in/calls", src.calls.schema, max_files=1)
+    totals = answer_time_buckets_stream(calls, *p.csat_window, p.csat_excluded_countries)
+    q = (totals.writeStream.outputMode("complete").format("memory").queryName("csat_running_test")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination(180)
+    assert rows(spark.table("csat_running_test")) == rows(C.answer_buckets(src, p))
