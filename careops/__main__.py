@@ -1,7 +1,10 @@
 """Run one analysis and write its result.
 
-    spark-submit -m careops --sources sources.json --analysis payment_adjustment \\
-        --params warehouse --out scratch.payment_adjustment
+    PYTHONPATH=. spark-submit careops/__main__.py --sources sources.json \\
+        --analysis payment_adjustment --params warehouse --out scratch.payment_adjustment
+
+(on a cluster ship the package with ``--py-files``; locally ``python -m
+careops …`` works too).
 
 ``sources.json`` maps relation names (see ``careops.sources.schemas``) to a
 catalog table name or a Parquet path (anything containing ``/``).  With
