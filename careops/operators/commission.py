@@ -32,6 +32,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from careops.functions.commission import (
     DEFAULT_FIXED,
@@ -136,8 +137,12 @@ def commission_match(
     if materialize:
         asks = checkpoint(asks)  # read for membership, the queries and the point filter
     same_day = F.col("offset") == 0
+    # Per order (at most 15 asks): is any ask on its own day?  A window keeps
+    # the asks and their order-level flag in one partitioning.
+    per_order = Window.partitionBy("orders")
+    asks = asks.withColumn("_tier1", F.max(same_day).over(per_order))
     member = asks.groupBy("orders").agg(
-        F.max(same_day).alias("_tier1"),
+        F.max("_tier1").alias("_tier1"),
         F.min(F.when(same_day, F.col("any_rate"))).alias("t1_any"),
         F.min("any_rate").alias("t2_any"),
     )
@@ -156,7 +161,7 @@ def commission_match(
     # Each order asks only what decides its own tier: tier-1 orders their
     # same-day key, tier-2 orders the week's keys, tier-3 orders the
     # restaurant key.
-    deciding = asks.join(member.select("orders", "_tier1"), "orders")
+    deciding = asks
     parts = []
     if 1 in tiers:
         parts.append(deciding.filter(F.col("_tier1") & same_day))
