@@ -66,3 +66,16 @@ def test_command_line_runner(spark):
     main(["--analysis", "call_extract", "--sources", f"{base}/sources.json", "--params", "testdata",
           "--out", f"{base}/calls_out"])
     assert rows(spark.read.parquet(f"{base}/calls_out")) == rows(C.calls_extract(src, TESTDATA))
+
+
+def test_sources_from_catalog_tables(spark):
+    from careops.sources.catalog import Sources
+
+    derived = testdata_sources(spark, SF_SMALL)
+    names = {}
+    for rel in ("calls", "chats", "emails", "claims", "orders"):
+        sinks.temp_view(derived[rel], f"wh_{rel}")
+        names[rel] = f"wh_{rel}"
+    src = Sources.from_tables(spark, names)
+    assert rows(C.calls_extract(src, TESTDATA)) == rows(C.calls_extract(derived, TESTDATA))
+    assert rows(C.retention_geo(src, TESTDATA)[0]) == rows(C.retention_geo(derived, TESTDATA)[0])
