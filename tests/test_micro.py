@@ -280,3 +280,14 @@ def test_m18_null_adjustment_flag_n_and_duplicate_list(spark):
     alc = spark.createDataFrame([], "order_id long, order_total decimal(18,2)")
     oa = payments.orders_with_alcohol(olist, payments.order_adjustments(adj, olist), orders, alc, rest).collect()
     assert [(r.orders, r.adjustment_flag, r.alcohol_cost, r.subtotal) for r in oa] == [(1, "N", D("0.00"), D("10.00"))]
+
+
+def test_m2_call_extract_day_mode(spark):
+    from careops.plans.params import TESTDATA as P
+    from careops.sources.testdata import testdata_sources
+
+    calls = testdata_sources(spark, "/root/testdata/sf0.001").calls
+    inst = contacts.call_extract(calls, *P.extract_window, P.extract_excluded_dates, P.lob, exclude="instant")
+    day = contacts.call_extract(calls, *P.extract_window, P.extract_excluded_dates, P.lob, exclude="day")
+    on_day = inst.filter(F.to_date("local_start_timestamp") == F.lit("2024-01-16").cast("date")).count()
+    assert on_day > 0 and day.count() == inst.count() - on_day
