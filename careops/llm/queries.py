@@ -22,6 +22,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from careops.llm.suffix_dedup import dedup_digest
+
+    return dedup_digest(_table(spark, sf_dir, "documents"), length=400, keep="none")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from careops.llm.mixing import mix
 
