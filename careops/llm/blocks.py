@@ -8,13 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careops.llm.common import checkpoint  # noqa: F401  (kept for callers)
 
-
-def block_pairs(rows: DataFrame, keys: list[str], spread: list[str], block: int) -> DataFrame:
+def block_pairs(rows: DataFrame, keys: list[str], spread: list[str], block: int,
+                having: str = "count(*) > 1") -> DataFrame:
     """Lay out each bucket (equal ``keys``) as pairs of blocks of about ``block`` rows.
 
-    A bucket of one row goes.  One of at most ``block`` rows is one group; a
+    A bucket of one row goes, and one for which the aggregate condition ``having`` fails.  One of at most ``block`` rows is one group; a
     larger one is dealt to ceil(n / block) blocks by a hash of ``spread``, and
     every pair of blocks forms a group, so no group holds much more than two
     blocks however hot the bucket is and every pair of rows meets in a group.
@@ -22,7 +21,8 @@ def block_pairs(rows: DataFrame, keys: list[str], spread: list[str], block: int)
     The counts are combined before their shuffle and joined back, a join
     whose hot keys adaptive execution can split.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.expr(having).alias("__ok")).filter(
+        "__n > 1 and __ok").drop("__ok")
     dealt = rows.join(counts, keys).withColumn("__b", F.ceil(F.col("__n") / block).cast("int"))
     dealt = dealt.withColumn("blk", F.pmod(F.xxhash64(*spread), F.col("__b")).cast("int"))
     dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))

@@ -15,6 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from careops.llm.lattice_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from careops.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, multiplier=64.0)
+
+
 def tokenizer(name: str) -> str:
     """Path of a public tokenizer file (the same on every machine that runs Python)."""
     import public_tokenizers
