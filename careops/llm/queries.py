@@ -53,6 +53,21 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), Capacity(tokens=2048))
 
 
+def op6_pair_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from careops.llm.ngram_lm import score_texts, train_split
+
+    return score_texts(_table(spark, sf_dir, "documents"), train_split())
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from careops.llm.common import id_remainder
+    from careops.llm.langid import fit_languages, predict_languages, train_split
+
+    docs = _table(spark, sf_dir, "documents")
+    found = predict_languages(docs, fit_languages(docs, train_split()))
+    return found.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from careops.llm.simhash import near_duplicates
 
