@@ -21,7 +21,7 @@ from careops.llm.common import checkpoint
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
-CHUNK_ROWS = 16384
+CHUNK_ROWS = 4096
 MAX_PASSES = 3
 # Primes for the index permutations (fixed values).
 PRIMES = (1000003, 1299709)

@@ -47,16 +47,18 @@ _PLACE = np.uint64((1 << 28) - 1)
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Segments of a buffer of texts: (text, lo, span, rel, key, digest) arrays.
+    """Segments of a buffer of texts: (text, lo, span, rel, key, digest, times) arrays.
 
     ``lo`` is the first window start in its text, ``span`` the last one's
     distance from it, ``rel`` the anchor's; ``key`` hashes the gram at the
-    anchor and ``digest`` all bytes of the segment's windows.
+    anchor and ``digest`` all bytes of the segment's windows.  Where a text
+    repeats itself at once (one word or line again and again) equal segments
+    follow each other every span + 1 bytes; they come once, with their number.
     """
     n = len(data)
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, none
+        return none, none, none, none, none, none, none
     rolling = Rolling(data)
     hashes = rolling.grams(gram)
     width = length - gram + 1
@@ -79,7 +81,14 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     text = np.searchsorted(offsets, first, "right") - 1
     key = hashes[at[first]].view(np.int64)
     digest = Rolling(data, _SECOND_BASE).spans(first, last + length).view(np.int64)
-    return text, first - offsets[text], last - first, at[first] - first, key, digest
+    span = last - first
+    again = np.zeros(len(first), bool)
+    again[1:] = (text[1:] == text[:-1]) & (key[1:] == key[:-1]) & (digest[1:] == digest[:-1]) & (
+        first[1:] == first[:-1] + span[:-1] + 1)
+    own = np.flatnonzero(~again)
+    times = np.diff(np.append(own, len(first)))
+    return (text[own], first[own] - offsets[text[own]], span[own], at[first[own]] - first[own], key[own], digest[own],
+            times)
 
 
 def suffix_classes(group: np.ndarray, bodies: np.ndarray, begin: np.ndarray, rel: np.ndarray, span: np.ndarray,
@@ -156,17 +165,17 @@ def _all_segments(keyed: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             data, offsets = byte_column(batch.column(1))
             for i, j in slices(offsets, 1 << 21):
-                text, lo, span, rel, key, digest = segments(
+                text, lo, span, rel, key, digest, times = segments(
                     data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], length, gram)
                 take = pa.array(text + i)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(take), batch.column(2).take(take), pa.array(key), pa.array(digest),
-                    pa.array(lo, pa.int32()), pa.array(span, pa.int32()), pa.array(rel, pa.int32())],
-                    names=["id", "h", "key", "digest", "lo", "span", "rel"])
+                    pa.array(lo, pa.int32()), pa.array(span, pa.int16()), pa.array(rel, pa.int16()),
+                    pa.array(times, pa.int32())], names=["id", "h", "key", "digest", "lo", "span", "rel", "times"])
 
     kind = dict(keyed.dtypes)["id"]
     return keyed.select("id", "text", "h").mapInArrow(
-        run, f"id {kind}, h long, key long, digest long, lo int, span int, rel int")
+        run, f"id {kind}, h long, key long, digest long, lo int, span short, rel short, times int")
 
 
 def _bodies(keyed: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
@@ -186,7 +195,8 @@ def _bodies(keyed: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
             _, offsets = byte_column(batch.column(2))
             lo, span = field["lo"].to_numpy(), field["span"].to_numpy()
             texts = batch.column(2).to_pylist()
-            body = [texts[o][a:b] for o, a, b in zip(owner.tolist(), lo.tolist(), (lo + span + length).tolist())]
+            end = lo.astype(np.int64) + span + length
+            body = [texts[o][a:b] for o, a, b in zip(owner.tolist(), lo.tolist(), end.tolist())]
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), *field.values(), pa.array(body, pa.binary())],
@@ -194,7 +204,7 @@ def _bodies(keyed: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
 
     kind = dict(keyed.dtypes)["id"]
     return joined.mapInArrow(run, f"id {kind}, h long, key long, digest long, weight long, distinct long, "
-                                  "lo int, span int, rel int, body binary")
+                                  "lo int, span short, rel short, body binary")
 
 
 def _sorted_matches(bodies: DataFrame, length: int, gram: int, keep_first: bool) -> DataFrame:
@@ -273,10 +283,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "first", id_c
     python_batches(docs.sparkSession)
     keyed = _text_key(docs, id_col, text_col)
     every = stored(_all_segments(keyed, length, gram), "segments")
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # Stored, so that both sides of the join are shuffled for it and a hot key can be split.
+    shared = stored(every.groupBy("key").agg(F.sum("times").alias("n")).filter("n > 1").select("key"), "shared-keys")
     occ = stored(every.join(shared, "key"), "shared-segments")
     alike = occ.groupBy("key", "digest").agg(
-        F.count("*").alias("weight"), F.min(F.struct("id", "h", "lo")).alias("at"),
+        F.sum("times").alias("weight"), F.min(F.struct("id", "h", "lo")).alias("at"),
         F.first("span").alias("span"), F.first("rel").alias("rel"))
     per_key = alike.groupBy("key").agg(F.count("*").alias("distinct"))
     firsts = alike.join(per_key, "key").select(
@@ -288,19 +299,20 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "first", id_c
         bodies = stored(bodies, "bodies")
         matches = _sorted_matches(bodies.filter(F.col("distinct") <= group), length, gram, first).union(
             _counted_matches(bodies.filter(F.col("distinct") > group), length, first))
+    lo, step = F.col("lo").cast("long"), F.col("span") + 1
+    end = lo + (F.col("times") - 1) * step + F.col("span") + length  # of the last of equal segments in a row
     if first:
         # Later occurrences of a segment go as a whole, its first one where it matches something earlier.
-        lead = alike.select("key", "digest", "at")
-        here = occ.join(lead, ["key", "digest"])
-        is_first = F.struct("id", "h", "lo").eqNullSafe(F.col("at"))
-        whole = here.filter(~is_first).select(
-            "id", "h", F.col("lo").cast("long").alias("s"), (F.col("lo") + F.col("span") + length).cast("long").alias("e"))
-        part = here.filter(is_first).join(matches, ["key", "digest"]).select(
-            "id", "h", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
+        here = occ.join(alike.select("key", "digest", "at"), ["key", "digest"])
+        lead = F.struct("id", "h", "lo").eqNullSafe(F.col("at"))
+        whole = here.filter(~lead | (F.col("times") > 1)).select(
+            "id", "h", F.when(lead, lo + step).otherwise(lo).alias("s"), end.alias("e"))
+        part = here.filter(lead).join(matches, ["key", "digest"]).select(
+            "id", "h", (lo + F.col("s")).alias("s"), (lo + F.col("e")).alias("e"))
         spans = whole.union(part)
     else:
         spans = occ.join(matches, ["key", "digest"]).select(
-            "id", "h", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
+            "id", "h", (lo + F.col("s")).alias("s"), F.when(F.col("times") > 1, end).otherwise(lo + F.col("e")).alias("e"))
     return spans.distinct().groupBy("id", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
