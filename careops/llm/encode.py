@@ -9,15 +9,20 @@ tokenizer's own pre-tokenizer; any other tokenizer encodes whole texts.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
 CACHE_CHUNKS = 300_000
+LEARN_CHUNKS = 16_384
 
-# A cut before a space is safe only between two non-space characters.
-_IRREGULAR = re.compile(r"\A\s|\s\Z|\s | \s")
-_SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-_ASCII_SPACE = str.maketrans("\t\n\r", "   ")
+# Every white-space character of Python's str (a superset of the tokenizers'), space left out.
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+# A private character marks cuts; texts that hold it are cut at spaces only.
+_CUT = "\ue000"
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
+_MARK = re.compile("(?<=[a-z\u00df-\u00ff])(?=[.,])")
+_MARK_END = re.compile(r"(?<=[a-z\u00df-\u00ff])(?=[.,](?:\s|\Z))")
 
 
 class Encoder:
@@ -54,47 +59,82 @@ class Encoder:
 
     @staticmethod
     def _before_spaces(text: str) -> list[str]:
-        if not text:
-            return []
-        if _IRREGULAR.search(text):
-            return _SAFE_CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        """Cut before runs of white space that start with a space, around single line ends, before . and ,
+
+        White space after a space stays with it; a space after other white
+        space is no place to cut.
+        """
+        if "  " in text or any(c + " " in text for c in _SPACES):
+            return re.split(r"(?<=\S)(?= )", text)
+        if _CUT in text:
+            first, *rest = text.split(" ")
+            return [first, *[" " + x for x in rest]]
+        text = _LINE.sub(_CUT + "\n" + _CUT, text.replace(" ", _CUT + " "))
+        return _MARK.sub(_CUT, text).split(_CUT)
 
     @staticmethod
     def _at_spaces(text: str) -> list[str]:
-        return [x for x in text.translate(_ASCII_SPACE).split(" ") if x]
+        """Cut at spaces and line ends, and before a lone . or , that ends a word; lower case first where that is safe.
+
+        Up to U+024F lower case goes character by character, so it may come
+        before the tokenizer's own normalisation.
+        """
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if text.isascii() or max(text) < "\u0250":
+            text = text.lower()
+        return _MARK_END.sub(" ", text).split(" ")
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(CACHE_CHUNKS, np.int64)
         self.sizes = np.zeros(CACHE_CHUNKS, np.int64)
+        self.hits = np.zeros(CACHE_CHUNKS, np.int64)
         self.used = 0
 
+    def _forget(self) -> None:
+        """Keep the chunks that came most often, at most half of the cache."""
+        n = len(self.index)
+        least = 2
+        while (self.hits[:n] >= least).sum() > CACHE_CHUNKS // 2:
+            least *= 2
+        keep = np.flatnonzero(self.hits[:n] >= least)
+        names = list(self.index)
+        self.index = {names[k]: i for i, k in enumerate(keep.tolist())}
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes)
+        self.used = int(ends[-1]) if len(ends) else 0
+        self.flat[:self.used] = self.flat[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(self.used)]
+        self.starts[:len(keep)], self.sizes[:len(keep)] = ends - sizes, sizes
+        self.hits[:] = 0
+
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.index) + len(chunks) > len(self.starts):
-            grown = max(CACHE_CHUNKS, len(self.index) + len(chunks))
-            self.starts = np.concatenate([self.starts, np.zeros(grown, np.int64)])
-            self.sizes = np.concatenate([self.sizes, np.zeros(grown, np.int64)])
-        for encoding, chunk in zip(self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), chunks):
-            ids, k = encoding.ids, len(self.index)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.index[chunk], self.starts[k], self.sizes[k] = k, self.used, len(ids)
-            self.used += len(ids)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        n, total = len(self.index), int(sizes.sum())
+        while n + len(ids) > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.starts[n:n + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n:n + len(ids)] = sizes
+        self.used += total
+        self.index.update(zip(chunks, range(n, n + len(ids))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each text); null counts as empty."""
         if len(self.index) > CACHE_CHUNKS:
-            self._reset()
+            self._forget()
         cut = [self.cut(t) if t else [] for t in texts]
         chunks = [c for part in cut for c in part]
-        new = set(chunks).difference(self.index)
-        if new:
-            self._learn(list(new))
+        new = list(set(chunks).difference(self.index))
+        for i in range(0, len(new), LEARN_CHUNKS):
+            self._learn(new[i:i + LEARN_CHUNKS])
         at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        self.hits[:len(self.index)] += np.bincount(at, minlength=len(self.index))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
