@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 800_000
 LEARN_CHUNKS = 16_384
 
 # Every white-space character of Python's str (a superset of the tokenizers'), space left out.
@@ -21,8 +21,8 @@ _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 # A private character marks cuts; texts that hold it are cut at spaces only.
 _CUT = "\ue000"
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
-_MARK = re.compile("(?<=[a-z\u00df-\u00ff])(?=[.,])")
-_MARK_END = re.compile(r"(?<=[a-z\u00df-\u00ff])(?=[.,](?:\s|\Z))")
+_MARK = re.compile("[.,](?<=[a-z\u00df-\u00ff].)")
+_MARKS = re.compile("[!#$%&*,.:;?|](?<=[a-z\u00df-\u00ff].)")
 
 
 class Encoder:
@@ -70,11 +70,11 @@ class Encoder:
             first, *rest = text.split(" ")
             return [first, *[" " + x for x in rest]]
         text = _LINE.sub(_CUT + "\n" + _CUT, text.replace(" ", _CUT + " "))
-        return _MARK.sub(_CUT, text).split(_CUT)
+        return _MARK.sub(_CUT + r"\g<0>", text).split(_CUT)
 
     @staticmethod
     def _at_spaces(text: str) -> list[str]:
-        """Cut at spaces and line ends, and before a lone . or , that ends a word; lower case first where that is safe.
+        """Cut at spaces and line ends, and between a letter and a mark; lower case first where that is safe.
 
         Up to U+024F lower case goes character by character, so it may come
         before the tokenizer's own normalisation.
@@ -82,7 +82,7 @@ class Encoder:
         text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
         if text.isascii() or max(text) < "\u0250":
             text = text.lower()
-        return _MARK_END.sub(" ", text).split(" ")
+        return _MARKS.sub(r" \g<0>", text).split(" ")
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
