@@ -18,11 +18,10 @@ LEARN_CHUNKS = 16_384
 
 # Every white-space character of Python's str (a superset of the tokenizers'), space left out.
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
-# A private character marks cuts; texts that hold it are cut at spaces only.
-_CUT = "\ue000"
+# A NUL marks cuts; texts that hold one are cut at spaces only.
+_CUT = "\0"
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
-_MARK = re.compile("[.,](?<=[a-z\u00df-\u00ff].)")
-_MARKS = re.compile("[!#$%&*,.:;?|](?<=[a-z\u00df-\u00ff].)")
+_MARK = re.compile("[!#$%&*,.:;?|](?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff].)")
 
 
 class Encoder:
@@ -59,18 +58,18 @@ class Encoder:
 
     @staticmethod
     def _before_spaces(text: str) -> list[str]:
-        """Cut before runs of white space that start with a space, around single line ends, before . and ,
+        """Cut before runs of white space that start with a space, around single line ends, before marks after letters.
 
         White space after a space stays with it; a space after other white
         space is no place to cut.
         """
-        if "  " in text or any(c + " " in text for c in _SPACES):
+        if "  " in text or any(c in text and c + " " in text for c in _SPACES):
             return re.split(r"(?<=\S)(?= )", text)
         if _CUT in text:
             first, *rest = text.split(" ")
             return [first, *[" " + x for x in rest]]
         text = _LINE.sub(_CUT + "\n" + _CUT, text.replace(" ", _CUT + " "))
-        return _MARK.sub(_CUT + r"\g<0>", text).split(_CUT)
+        return _MARK.sub("\0\\g<0>", text).split(_CUT)
 
     @staticmethod
     def _at_spaces(text: str) -> list[str]:
@@ -82,7 +81,7 @@ class Encoder:
         text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
         if text.isascii() or max(text) < "\u0250":
             text = text.lower()
-        return _MARKS.sub(r" \g<0>", text).split(" ")
+        return _MARK.sub(r" \g<0>", text).split(" ")
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
@@ -130,10 +129,12 @@ class Encoder:
             self._forget()
         cut = [self.cut(t) if t else [] for t in texts]
         chunks = [c for part in cut for c in part]
-        new = list(set(chunks).difference(self.index))
+        found = list(map(self.index.get, chunks))
+        new = list({c for c, k in zip(chunks, found) if k is None})
         for i in range(0, len(new), LEARN_CHUNKS):
             self._learn(new[i:i + LEARN_CHUNKS])
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        index = self.index
+        at = np.array([index[c] if k is None else k for c, k in zip(chunks, found)] if new else found, np.int64)
         self.hits[:len(self.index)] += np.bincount(at, minlength=len(self.index))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)

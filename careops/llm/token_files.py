@@ -31,8 +31,38 @@ SEGMENT_IDS = 1 << 20
 MAGIC = b"PFR1"
 
 
+def _pack_words(values: np.ndarray, width: int) -> np.ndarray:
+    """(blocks, BLOCK) numbers of ``width`` bits as (blocks, 4 * width) 64-bit words."""
+    lanes = np.ascontiguousarray(values.T.astype(np.uint64))
+    words = np.zeros((BLOCK * width // 64, lanes.shape[1]), np.uint64)
+    for j in range(BLOCK):
+        k, shift = divmod(j * width, 64)
+        words[k] |= lanes[j] << np.uint64(shift)
+        if shift + width > 64:
+            words[k + 1] |= lanes[j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T)
+
+
+def _unpack_words(words: np.ndarray, width: int) -> np.ndarray:
+    lanes = np.ascontiguousarray(words.T)
+    out = np.empty((BLOCK, lanes.shape[1]), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for j in range(BLOCK):
+        k, shift = divmod(j * width, 64)
+        value = lanes[k] >> np.uint64(shift)
+        if shift + width > 64:
+            value = value | (lanes[k + 1] << np.uint64(64 - shift))
+        out[j] = value & mask
+    return out.T
+
+
 def pack_numbers(values: np.ndarray, percentile: float = 0.9) -> bytes:
-    """Patched frame-of-reference bytes of unsigned 32-bit numbers."""
+    """Patched frame-of-reference bytes of unsigned 32-bit numbers.
+
+    Count and number of blocks; then, for each block, its start, minimum,
+    width and number of exceptions; then the blocks: packed numbers, places
+    and values of exceptions.
+    """
     n = len(values)
     blocks = -(-n // BLOCK)
     if not n:
@@ -41,30 +71,26 @@ def pack_numbers(values: np.ndarray, percentile: float = 0.9) -> bytes:
     padded[:n] = values
     grid = padded.reshape(blocks, BLOCK)
     low = grid.min(1)
-    rest = (grid - low[:, None]).astype(np.uint32)
-    bits = np.ceil(np.log2(rest.astype(np.float64) + 1)).astype(np.uint8)
-    width = np.sort(bits, 1)[:, int(percentile * (BLOCK - 1))]
+    rest = grid - low[:, None]
+    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
+    at = int(percentile * (BLOCK - 1))
+    width = np.partition(bits, at, axis=1)[:, at]
     out = bits > width[:, None]
     counts = out.sum(1)
+    rest_kept = np.where(out, np.uint32(0), rest)
     packed: list[bytes] = [b""] * blocks
-    for w in np.unique(width):
+    for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
-        if w == 0:
-            continue
-        kept = np.where(out[own], 0, rest[own])
-        planes = ((kept[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-        rows = np.packbits(planes.reshape(len(own), -1), axis=1, bitorder="little")
-        for b, row in zip(own.tolist(), rows):
-            packed[b] = row.tobytes()
-    parts, starts, at = [], np.zeros(blocks, np.uint32), 0
-    for b in range(blocks):
-        places = np.flatnonzero(out[b])
-        part = (struct.pack("<IBB", int(low[b]), int(width[b]), int(counts[b])) + packed[b]
-                + places.astype(np.uint8).tobytes() + rest[b][places].astype("<u4").tobytes())
-        starts[b] = at
-        at += len(part)
-        parts.append(part)
-    return struct.pack("<II", n, blocks) + starts.astype("<u4").tobytes() + b"".join(parts)
+        body, size = _pack_words(rest_kept[own], w).astype("<u8").tobytes(), BLOCK * w // 8
+        for i, b in enumerate(own.tolist()):
+            packed[b] = body[i * size:(i + 1) * size]
+    block, place = np.nonzero(out)
+    places, values_out = place.astype(np.uint8).tobytes(), rest[block, place].astype("<u4").tobytes()
+    edges = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    parts = [packed[b] + places[edges[b]:edges[b + 1]] + values_out[4 * edges[b]:4 * edges[b + 1]] for b in range(blocks)]
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
+    return b"".join([struct.pack("<II", n, blocks), starts.astype("<u4").tobytes(), low.astype("<u4").tobytes(),
+                     width.tobytes(), counts.astype(np.uint8).tobytes(), *parts])
 
 
 def unpack_numbers(body: memoryview) -> tuple[np.ndarray, int]:
@@ -72,27 +98,26 @@ def unpack_numbers(body: memoryview) -> tuple[np.ndarray, int]:
     n, blocks = struct.unpack_from("<II", body)
     if not n:
         return np.zeros(0, np.uint32), 8
-    starts = np.frombuffer(body, "<u4", blocks, 8).astype(np.int64) + 8 + 4 * blocks
+    head = 8 + 10 * blocks
+    starts = np.frombuffer(body, "<u4", blocks, 8).astype(np.int64) + head
+    low = np.frombuffer(body, "<u4", blocks, 8 + 4 * blocks)
+    width = np.frombuffer(body, np.uint8, blocks, 8 + 8 * blocks).astype(np.int64)
+    counts = np.frombuffer(body, np.uint8, blocks, 8 + 9 * blocks).astype(np.int64)
     raw = np.frombuffer(body, np.uint8)
-    low = np.zeros(blocks, np.uint32)
-    for k in range(4):
-        low |= raw[starts + k].astype(np.uint32) << np.uint32(8 * k)
-    width, counts = raw[starts + 4].astype(np.int64), raw[starts + 5].astype(np.int64)
     grid = np.zeros((blocks, BLOCK), np.uint32)
-    for w in np.unique(width):
-        if w == 0:
-            continue
+    for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
-        size = BLOCK * int(w) // 8
-        rows = raw[(starts[own] + 6)[:, None] + np.arange(size)]
-        planes = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(own), BLOCK, int(w))
-        grid[own] = planes.astype(np.uint32) @ (np.uint32(1) << np.arange(int(w), dtype=np.uint32))
-    at = starts + 6 + BLOCK * width // 8
-    for b in np.flatnonzero(counts).tolist():
-        k, p = int(counts[b]), int(at[b])
-        grid[b, raw[p:p + k]] = np.frombuffer(body, "<u4", k, p + k)
+        size = BLOCK * w // 8
+        rows = raw[starts[own][:, None] + np.arange(size)]
+        grid[own] = _unpack_words(np.ascontiguousarray(rows).view("<u8"), w)
+    after = starts + BLOCK * width // 8
+    block = np.repeat(np.arange(blocks), counts)
+    k = np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = raw[after[block] + k]
+    value_at = (after + counts)[block] + 4 * k
+    grid[block, place] = np.ascontiguousarray(raw[value_at[:, None] + np.arange(4)]).view("<u4").ravel()
     grid += low[:, None]
-    return grid.ravel()[:n], int(at[-1] + 5 * counts[-1])
+    return grid.ravel()[:n], int(after[-1] + 5 * counts[-1])
 
 
 def write_segment(ids: np.ndarray, lengths: np.ndarray) -> bytes:
