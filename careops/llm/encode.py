@@ -15,12 +15,13 @@ import numpy as np
 
 CACHE_CHUNKS = 800_000
 LEARN_CHUNKS = 16_384
+JOINED = 64
 
 # Every white-space character of Python's str (a superset of the tokenizers'), space left out.
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 # A NUL marks cuts; texts that hold one are cut at spaces only.
 _CUT = "\0"
-_LINE = re.compile(r"(?<=\S)\n(?=\S)")
+_LINE = re.compile(r"\n(?<=\S\n)(?=\S)")
 _MARK = re.compile("[!#$%&*,.:;?|](?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff].)")
 
 
@@ -37,12 +38,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.line: int | None = None  # id of a line end, where it stands alone between chunks
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         whole_space = any(p.get("type") == "Split" and p.get("invert") for p in pre.get("pretokenizers", []))
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.cut = self._before_spaces
+            line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+            self.line = line[0] if len(line) == 1 else None
         elif whole_space and "\\s" not in "".join(
                 p["pattern"].get("Regex", "") for p in pre["pretokenizers"] if p.get("type") == "Split").replace("[^\\s", "["):
             self.cut = self._at_spaces  # white space is never part of a token
@@ -107,21 +111,39 @@ class Encoder:
         self.starts[:len(keep)], self.sizes[:len(keep)] = ends - sizes, sizes
         self.hits[:] = 0
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, ids of each chunk)."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self, chunks: list[str]) -> None:
+        if self.line is None:
+            flat, sizes = self._encoded(chunks)
+        else:
+            # Many chunks in one call, a line end after each: no token spans it.
+            alone = [c for c in chunks if not c or "\n" in c or c[-1].isspace() or (c[0] != " " and c[0].isspace())]
+            apart = set(alone)
+            easy = [c for c in chunks if c not in apart]
+            flat, sizes = self._encoded(alone)
+            lines = ["\n".join(easy[i:i + JOINED]) + "\n" for i in range(0, len(easy), JOINED)]
+            joined, _ = self._encoded(lines)
+            ends = np.flatnonzero(joined == self.line)
+            sizes = np.concatenate([sizes, np.diff(ends, prepend=-1) - 1])
+            flat = np.concatenate([flat, np.delete(joined, ends)])
+            chunks = alone + easy
         n, total = len(self.index), int(sizes.sum())
-        while n + len(ids) > len(self.starts):
+        while n + len(chunks) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
             self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.starts[n:n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n:n + len(ids)] = sizes
+        self.flat[self.used:self.used + total] = flat
+        self.starts[n:n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n:n + len(chunks)] = sizes
         self.used += total
-        self.index.update(zip(chunks, range(n, n + len(ids))))
+        self.index.update(zip(chunks, range(n, n + len(chunks))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each text); null counts as empty."""
