@@ -8,7 +8,7 @@ Parquet scans, prune columns and plan the shuffles.  Sub-packages:
                   how they are derived from the shared test tables.
 * ``functions`` — column expressions and small DataFrame helpers shared by
                   the operators (window predicates, commission parsing,
-                  size-checked broadcast, row replication, nearest match).
+                  row replication, nearest match).
 * ``operators`` — the user-level operators (retention, contact extracts,
                   service metrics, alcohol split, commission, payments).
 * ``plans``     — end-to-end compositions and the query registry used by

@@ -23,24 +23,18 @@ def replicate_rows(
 
     ``index_col``, if given, numbers the copies of a row 0, 1, …, n−1.
     """
-    n = F.col(count_col)
     rest = [c for c in df.columns if c != count_col]
-
-    small = df.filter(n <= chunk).select(
-        *rest, F.posexplode(F.array_repeat(F.lit(0), n.cast("int"))).alias("_copy", "_zero")
-    )
-    # Large counts: one row per chunk, spread by a hash of the chunk number,
-    # then each chunk is expanded in its own task.
-    chunks = (
-        df.filter(n > chunk)
-        .select(*rest, n.alias("_n"), F.explode(F.sequence(F.lit(0), ((n - 1) / chunk).cast("long"))).alias("_chunk"))
-        .repartition("_chunk", *rest)
-    )
+    n = F.col(count_col).cast("long")
+    # First one row for each chunk of a count (most counts are one chunk),
+    # dealt anew where adaptive execution sees large partitions, then the
+    # copies of each chunk; the input is planned once.
+    chunks = df.filter(n > 0).select(
+        *rest, n.alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / chunk))).alias("_chunk")
+    ).hint("rebalance")
     copies = F.least(F.lit(chunk).cast("long"), F.col("_n") - F.col("_chunk") * chunk)
-    big = chunks.select(
-        *rest, "_chunk", F.posexplode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_pos", "_zero")
-    ).select(*rest, (F.col("_chunk") * chunk + F.col("_pos")).cast("int").alias("_copy"), "_zero")
-    out = small.unionByName(big).drop("_zero")
+    out = chunks.select(
+        *rest, "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("_pos")
+    ).select(*rest, (F.col("_chunk") * chunk + F.col("_pos")).cast("int").alias("_copy"))
     if index_col is None:
         return out.drop("_copy")
     return out.withColumnRenamed("_copy", index_col)

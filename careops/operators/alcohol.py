@@ -7,7 +7,7 @@ negatives).  The alcohol cost of an order is the sum of quantity × unit
 price over both sets.
 
 Scale notes: the order list only filters items, so it is applied as a
-semi-join, broadcast when a bounded probe proves it small.  The category
+semi-join; the planner chooses its form from the sizes in bytes.  The category
 set of the true positives is a distinct projection (one row per category).
 """
 
@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from careops.functions.predicates import is_false, is_true, not_in
-from careops.functions.sizing import broadcast_if_small
 
 ITEM_COLUMNS = (
     "mi_menu_category_name", "mi_name", "mi_description", "mi_alcohol",
@@ -28,7 +27,7 @@ ITEM_COLUMNS = (
 
 
 def listed_items(items: DataFrame, order_list: DataFrame) -> DataFrame:
-    ids = broadcast_if_small(order_list.select(F.col("orders").alias("order_id")), probe=order_list)
+    ids = order_list.select(F.col("orders").alias("order_id"))
     return items.join(ids, "order_id", "left_semi")
 
 

@@ -107,22 +107,27 @@ def chat_transcript(event_log: DataFrame, chats: DataFrame, split_large_chats: b
     )
 
 
-def multi_message_chats(chats: DataFrame, transcript: DataFrame, mode: str = "rows") -> DataFrame:
-    """Chats whose transcript has more than one message.
+def chat_messages(event_log: DataFrame, chats: DataFrame) -> DataFrame:
+    """The chat ids of the transcript's rows, without text or numbering."""
+    msgs = event_log.filter(F.col("event_type") == "chat.msg").select("chat_id")
+    return msgs.join(chats.select(F.col("chat_id").alias("_chat")), F.col("chat_id") == F.col("_chat")).drop("_chat")
+
+
+def multi_message_chats(chats: DataFrame, messages: DataFrame, mode: str = "rows") -> DataFrame:
+    """Chats with more than one message; ``messages`` has a ``chat_id`` per transcript row.
 
     ``rows`` (faithful): the warehouse joins each chat to every transcript
-    row with ``chat_cum > 1``, so a chat with n messages appears n − 1 times.
+    row after its first, so a chat with n messages appears n − 1 times.
     ``distinct``: each such chat once.
     """
-    if mode == "distinct":
-        multi = transcript.filter(F.col("chat_cum") > 1).select("chat_id")
-        return chats.join(multi, "chat_id", "left_semi")
-    if mode != "rows":
+    if mode not in ("rows", "distinct"):
         raise ValueError(f"unknown mode {mode!r}")
     extra = (
-        transcript.filter(F.col("chat_cum") > 1)
-        .groupBy(F.col("chat_id").alias("_chat"))
-        .agg(F.count(F.lit(1)).alias("_copies"))
+        messages.groupBy(F.col("chat_id").alias("_chat"))
+        .agg((F.count(F.lit(1)) - 1).alias("_copies"))
+        .filter(F.col("_copies") > 0)
     )
+    if mode == "distinct":
+        return chats.join(extra, chats["chat_id"] == extra["_chat"], "left_semi")
     joined = chats.join(extra, chats["chat_id"] == extra["_chat"])
     return replicate_rows(joined.select(*chats.columns, "_copies"), "_copies")

@@ -4,7 +4,7 @@ Scale notes: adjustments and the order list are both reduced to one row per
 order before they meet (sum of costs, number of list copies), so the join
 is one-to-one and a hot order is combined map-side.  The enrichment joins
 are all keyed by order id and share one partitioning; the restaurant
-mapping is broadcast only after a bounded probe.
+mapping is joined in the form that the planner chooses from its size in bytes.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careops.functions.sizing import broadcast_if_small
 
 # Order states whose cancellation is settled with the restaurant.
 SETTLED_STATUSES = ("CANCELLED", "CONFIRMED_BY_RESTAURANT")
@@ -59,9 +58,7 @@ def orders_with_alcohol(
     sub = orders.filter(F.col("status").isin(list(statuses))).select(
         F.col("id").alias("orders"), "created_at", "restaurant_id", "subtotal"
     )
-    rm = broadcast_if_small(
-        restaurants.select("restaurant_id", "restaurant_name", "restaurant_company"), probe=restaurants
-    )
+    rm = restaurants.select("restaurant_id", "restaurant_name", "restaurant_company")
     df = (
         sub.join(listed, "orders", "left_semi")
         .join(order_adj.select("orders", "adjustment_cost"), "orders", "left")

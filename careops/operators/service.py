@@ -50,23 +50,17 @@ def good_csat_calls(
     start: str,
     end: str,
     excluded_countries: Sequence[str] = (),
-    event_time: str | None = None,
 ) -> DataFrame:
-    """Answered good-CSAT calls in the window with their bucket flags (not deduplicated).
-
-    ``event_time`` adds the call start as a column of that name (streaming
-    watermarks need it).
-    """
+    """Answered good-CSAT calls in the window with their bucket flags (not deduplicated)."""
     buckets = _bucket_flags()
     good = F.when(is_true("csat_good"), 1).otherwise(0).alias("good")
     bad = F.when(is_true("csat_bad"), 1).otherwise(0).alias("bad")
-    extra = [F.col("start_timestamp").cast("timestamp").alias(event_time)] if event_time else []
     return calls.filter(
         not_in("origin_country_name", excluded_countries)
         & is_true("csat_good")
         & is_true("was_answered")
         & ts_between("start_timestamp", start, end)
-    ).select("call_guid", *[c.alias(n) for n, c in buckets.items()], good, bad, *extra)
+    ).select("call_guid", *[c.alias(n) for n, c in buckets.items()], good, bad)
 
 
 def bucket_totals(per_call: DataFrame) -> DataFrame:

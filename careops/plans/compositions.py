@@ -1,8 +1,7 @@
 """End-to-end analyses built from the operators.
 
 Each function takes ``Sources`` and ``Params`` and returns a DataFrame.  A few
-run small jobs while building: bounded size probes before a broadcast
-(``careops.functions.sizing``) and checkpoints of relations that several
+run small jobs while building: checkpoints of relations that several
 branches read (``careops.functions.materialize``); everything else is lazy.
 """
 
@@ -36,27 +35,40 @@ def day_cohorts(src: Sources, p: Params) -> DataFrame:
     return retention.first_order_cohort_day(src.orders, *p.day_window)
 
 
-def contacted(src: Sources, p: Params) -> DataFrame:
-    return retention.contacted_orders(src.calls, src.chats, src.emails, *p.contact_window, lob=p.lob)
+def contacted(src: Sources, p: Params, window: tuple[str, str] | None = None) -> DataFrame:
+    return retention.contacted_orders(src.calls, src.chats, src.emails, *(window or p.contact_window), lob=p.lob)
 
 
 def self_served(src: Sources, p: Params) -> DataFrame:
     return retention.self_serve_orders(src.claims, *p.contact_window)
 
 
-def flags(src: Sources, p: Params, cohorts: DataFrame, two_flags: bool, keep_duplicates: bool = True) -> DataFrame:
+def flags(
+    src: Sources,
+    p: Params,
+    cohorts: DataFrame,
+    two_flags: bool,
+    keep_duplicates: bool = True,
+    contact_window: tuple[str, str] | None = None,
+) -> DataFrame:
     return retention.cohort_contact_flags(
         cohorts,
-        contacted(src, p),
+        contacted(src, p, contact_window),
         self_served(src, p) if two_flags else None,
         keep_duplicates=keep_duplicates,
     )
 
 
 def activity(
-    src: Sources, p: Params, cohorts: DataFrame, window: tuple[str, str], two_flags: bool, exclusive: bool = False
+    src: Sources,
+    p: Params,
+    cohorts: DataFrame,
+    window: tuple[str, str],
+    two_flags: bool,
+    exclusive: bool = False,
+    contact_window: tuple[str, str] | None = None,
 ) -> DataFrame:
-    f = flags(src, p, cohorts, two_flags, keep_duplicates=False)
+    f = flags(src, p, cohorts, two_flags, keep_duplicates=False, contact_window=contact_window)
     return retention.retention_activity(
         f, src.orders, p.horizon_weeks, exclusive=exclusive, cohort_window=window
     )
@@ -64,7 +76,9 @@ def activity(
 
 # The four original retention analyses: (retained report, totals report).
 def retention_day(src: Sources, p: Params) -> tuple[DataFrame, DataFrame]:
-    act = activity(src, p, day_cohorts(src, p), p.day_window, two_flags=False)
+    act = activity(
+        src, p, day_cohorts(src, p), p.day_window, two_flags=False, contact_window=p.day_contact_window
+    )
     return (
         retention.retained_users(act, "cs_contact", 0),
         retention.cohort_totals(act, "cs_contact", 0),
@@ -109,7 +123,8 @@ def transcript(src: Sources, p: Params) -> DataFrame:
 
 
 def multi_message(src: Sources, p: Params, mode: str = "rows") -> DataFrame:
-    return contacts.multi_message_chats(chats_extract(src, p), transcript(src, p), mode)
+    chats = chats_extract(src, p)
+    return contacts.multi_message_chats(chats, contacts.chat_messages(src.chat_event_log, chats), mode)
 
 
 # ------------------------------------------------------------------- service

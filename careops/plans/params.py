@@ -112,6 +112,7 @@ class Params:
     geo_cities: tuple[str, ...]
     # contacts / self-serve claims matched to the cohorts
     contact_window: tuple[str, str]
+    day_contact_window: tuple[str, str]  # of the day-cohort analysis
     horizon_weeks: int
     # extracts
     extract_window: tuple[str, str]
@@ -140,6 +141,7 @@ WAREHOUSE = Params(
     geo_countries=("Netherlands",),
     geo_cities=("Ghent", "Leuven", "Antwerp", "Brugge", "Hasselt", "Knokke", "Mechelen", "Kortrijk"),
     contact_window=("2018-04-02", "2018-07-01"),
+    day_contact_window=("2018-06-01", "2018-06-30"),
     horizon_weeks=12,
     extract_window=("2018-07-01", "2018-10-01"),
     extract_excluded_dates=("2018-09-16", "2018-09-26"),
@@ -154,11 +156,12 @@ WAREHOUSE = Params(
 TESTDATA = Params(
     day_window=("1995-01-02 00:00:00", "1995-01-31 00:00:00"),
     week_window=("1995-01-02 00:00:00", "1995-04-03 00:00:00"),
-    week_offset=0,
-    core_zone_week_offset=0,
+    week_offset=1,
+    core_zone_week_offset=2,
     geo_countries=("NATION_3",),
     geo_cities=("BUILDING",),
     contact_window=("2024-01-01 00:00:00", "2024-01-31 00:00:00"),
+    day_contact_window=("2024-01-04 00:00:00", "2024-01-23 00:00:00"),
     horizon_weeks=12,
     extract_window=("2024-01-01 00:00:00", "2024-01-31 00:00:00"),
     extract_excluded_dates=("2024-01-16",),

@@ -123,6 +123,7 @@ def oracle_sql(p: Params = TESTDATA) -> dict[str, str]:
     plain, zone, geo, day = (o.cohorts_week("plain"), o.cohorts_week("core_zone"),
                              o.cohorts_week("geo"), o.cohorts_day())
     act = lambda cohorts, two, excl=False: o.activity(o.flags(cohorts, two), two, excl)
+    act_day = o.activity(o.flags(day, False, p.day_contact_window), False, False)
     act2 = act(plain, True)
     act2x = act(plain, True, True)
     sql = {
@@ -138,8 +139,8 @@ def oracle_sql(p: Params = TESTDATA) -> dict[str, str]:
         "retention_activity_exclusive": act2x,
         "retained_users": o.retained(act2, "cs_contact", 0),
         "cohort_totals": o.totals(act2, "cs_contact", 0),
-        "retention_day_retained": o.retained(act(day, False), "cs_contact", 0),
-        "retention_day_totals": o.totals(act(day, False), "cs_contact", 0),
+        "retention_day_retained": o.retained(act_day, "cs_contact", 0),
+        "retention_day_totals": o.totals(act_day, "cs_contact", 0),
         "retention_core_zone_retained": o.retained(act(zone, False), "cs_contact", 1),
         "retention_core_zone_totals": o.totals(act(zone, False), "cs_contact", 0),
         "retention_self_serve_retained": o.retained(act2x, "self_serve", 1),

@@ -79,3 +79,29 @@ def test_sources_from_catalog_tables(spark):
     src = Sources.from_tables(spark, names)
     assert rows(C.calls_extract(src, TESTDATA)) == rows(C.calls_extract(derived, TESTDATA))
     assert rows(C.retention_geo(src, TESTDATA)[0]) == rows(C.retention_geo(derived, TESTDATA)[0])
+
+
+def test_june_contacts_have_their_own_window():
+    from careops.plans.params import TESTDATA, WAREHOUSE
+
+    assert WAREHOUSE.day_contact_window == ("2018-06-01", "2018-06-30")
+    assert TESTDATA.day_contact_window != TESTDATA.contact_window
+
+
+def test_june_contact_of_the_last_afternoon_does_not_count(spark):
+    """The window ends at midnight of 30 June: a call that afternoon or in July is no contact, one of 29 June is."""
+    from pyspark.sql import functions as F
+
+    from careops.plans.params import WAREHOUSE
+
+    day, week = WAREHOUSE.day_contact_window, WAREHOUSE.contact_window
+    calls = spark.createDataFrame(
+        [(1, "2018-06-30 15:00:00"), (2, "2018-06-29 15:00:00"), (3, "2018-07-01 00:00:00"), (4, "2018-05-31 10:00:00")],
+        "order_id long, ts string").select(
+        "order_id", F.lit("Customer").alias("origin_lob"), F.col("ts").cast("timestamp_ntz").alias("start_timestamp"))
+    src = type("S", (), {
+        "calls": calls,
+        "chats": calls.limit(0).select("order_id", F.col("origin_lob").alias("lob"), F.col("start_timestamp").alias("chat_timestamp")),
+        "emails": calls.limit(0).select("order_id", F.col("origin_lob").alias("lob"), F.col("start_timestamp").alias("created_at"))})
+    assert sorted(r.order_id for r in C.contacted(src, WAREHOUSE, day).collect()) == [2]
+    assert sorted(r.order_id for r in C.contacted(src, WAREHOUSE, week).collect()) == [1, 2, 3, 4]

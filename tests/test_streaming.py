@@ -71,3 +71,39 @@ def test_restarted_extract_resumes_without_duplicates(spark):
     second.write.parquet(f"{base}/in/part=b")      # more files land
     run()                                          # restart from the checkpoint
     assert rows(spark.read.parquet(f"{base}/out")) == rows(C.calls_extract(src, p))
+
+
+def test_streams_over_a_long_window_lose_and_repeat_nothing(spark):
+    """Ninety days, several files in arrival order: late contacts and contacts far apart."""
+    from careops.operators import retention, service
+    from careops.streaming.service import answer_time_buckets_stream
+
+    base = tempfile.mkdtemp(prefix="careops-stream-", dir="/tmp")
+    src = testdata_sources(spark, SF_SMALL)
+    window = ("2018-04-02 00:00:00", "2018-07-01 00:00:00")
+    arrivals = [(1, "2018-04-05"), (2, "2018-06-30"), (9, "2018-04-03"), (3, "2018-06-01"), (4, "2018-04-10"), (9, "2018-06-28")]
+    names = src.calls.columns
+    for k, (order, day) in enumerate(arrivals):  # one file each; order 4 arrives after the end of June
+        fixed = {"call_guid": str(k % 5), "order_id": str(order), "start_timestamp": f"'{day} 12:00:00'", "origin_lob": "'Customer'",
+                 "origin_country_name": "'X'", "csat_good": "true", "csat_bad": "false", "was_answered": "true"}
+        kinds = dict(src.calls.dtypes)
+        row = spark.range(1).selectExpr(*[
+            f"cast({fixed.get(c, 'false' if kinds[c] == 'boolean' else 'null')} as {kinds[c]}) as {c}" for c in names])
+        row.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    calls = spark.read.parquet(f"{base}/in")
+    none = [src[n].limit(0) for n in ("chats", "emails")]
+    for n, df in zip(("chats", "emails"), none):
+        df.write.parquet(f"{base}/{n}")
+    streams = [S.read_stream(spark, f"{base}/in", src.calls.schema, max_files=1),
+               *(S.read_stream(spark, f"{base}/{n}", df.schema) for n, df in zip(("chats", "emails"), none))]
+    q = (S.contacted_orders_stream(*streams, *window).writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination(180)
+    want = rows(retention.contacted_orders(calls, *none, *window))
+    assert [r[0] for r in want] == [1, 2, 3, 4, 9]
+    assert rows(spark.read.parquet(f"{base}/out")) == want
+    totals = answer_time_buckets_stream(S.read_stream(spark, f"{base}/in", src.calls.schema, max_files=1), *window)
+    q = (totals.writeStream.outputMode("complete").format("memory").queryName("csat_long_window")
+         .option("checkpointLocation", f"{base}/ckpt2").trigger(availableNow=True).start())
+    q.awaitTermination(180)
+    assert rows(spark.table("csat_long_window")) == rows(service.answer_time_buckets(calls, *window))
