@@ -164,7 +164,7 @@ def _all_segments(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_column(batch.column(1))
-            for i, j in slices(offsets, 1 << 21):
+            for i, j in slices(offsets, 1 << 20):
                 text, lo, span, rel, key, digest, times = segments(
                     data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], length, gram)
                 take = pa.array(text + i)
@@ -232,7 +232,7 @@ def _sorted_matches(bodies: DataFrame, length: int, gram: int, keep_first: bool)
         return pa.table({"key": keys[row], "digest": digest[row], "s": first, "e": last + length})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return grouped(batches, ["key"], handle, rows=8192)
+        return grouped(batches, ["key"], handle, rows=4096)
 
     return bodies.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, digest long, s long, e long")
 
