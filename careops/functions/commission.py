@@ -36,18 +36,3 @@ def perc_com(rate: Column) -> Column:
 def fixed_com(rate: Column) -> Column:
     last3 = F.right(_digits(rate), F.lit(3))
     return (last3.try_cast("decimal(10,0)") * F.lit(0.01).cast(FIXED_TYPE)).cast(FIXED_TYPE)
-
-
-def perc_com_sql(rate: str) -> str:
-    """The same rule as DuckDB SQL text (used by the oracle)."""
-    return (
-        f"cast(try_cast(left(regexp_replace({rate}, '[^0-9]', '', 'g'), 4) as decimal(10,0))"
-        f" * cast(0.0001 as {PERC_TYPE}) as {PERC_TYPE})"
-    )
-
-
-def fixed_com_sql(rate: str) -> str:
-    return (
-        f"cast(try_cast(right(regexp_replace({rate}, '[^0-9]', '', 'g'), 3) as decimal(10,0))"
-        f" * cast(0.01 as {FIXED_TYPE}) as {FIXED_TYPE})"
-    )

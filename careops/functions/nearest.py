@@ -16,7 +16,10 @@ pair inside a key, quadratic for a busy key.  Instead:
    #keys + #partitions rows) holds each partition's first and last point; a
    running window over partitions within a key gives every partition the
    nearest point in earlier and later partitions.
-4. Query rows take the local neighbour, else the carried one.
+4. Query rows take the local neighbour, else the carried one.  Only a key
+   that crosses a range boundary carries anything: at most two keys of a
+   range do, so these rows are bounded by twice the number of ranges and
+   are broadcast; query rows are not shuffled again.
 
 Cost: one range shuffle and one hash shuffle of the narrow union, one
 checkpoint write of it, plus small summary shuffles.  No Python, no pairs,
@@ -118,12 +121,12 @@ def nearest_points(
         *part,
         F.last("_last", ignorenulls=True).over(earlier).alias("_cprev"),
         F.last("_first", ignorenulls=True).over(later).alias("_cnext"),
-    )
+    ).filter(F.col("_cprev").isNotNull() | F.col("_cnext").isNotNull())
 
     neighbour = points.select(F.struct(F.col(point_value).alias("value"), F.col(point_payload).alias("payload"))).schema[0].dataType
     answered = (
         local.filter(F.col("_kind") == _QUERY)
-        .join(carried, part, "left")
+        .join(F.broadcast(carried), part, "left")  # at most two rows per range
         .select(
             F.col("_qid").alias(query_id),
             *keys,

@@ -9,8 +9,10 @@ spread by sort key:
    group holding a third of all rows spans many partitions;
 3. inside each ``(partition, group)`` piece a running sum of copies gives
    each row its last number within the piece;
-4. copies per piece, summed over the earlier pieces of the group (at most
-   one row per partition per group), give each piece its offset;
+4. copies per piece, summed over the earlier pieces of the group, give each
+   piece its offset.  Only a group that began in an earlier range has one,
+   and a range holds at most one such group, so the offsets are bounded by
+   the number of ranges and are broadcast; the rows do not move again;
 5. each row expands back to its copies with consecutive numbers (large
    copy counts are split across tasks).
 
@@ -65,14 +67,15 @@ def row_number_within(
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(piece)],
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-    )
+        F.sum("_n").over(before).alias("_offset"),
+    ).filter(F.col("_offset").isNotNull())
     # NULL is a group of its own, as in PARTITION BY: join null-safely.
     same = [local[c].eqNullSafe(offsets[f"_o{i}"]) for i, c in enumerate(piece)]
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
-    first = (F.col("_last") + F.col("_offset") - F.col("_copies") + 1).alias("_first")
-    numbered = local.join(offsets, cond).select(*cols, "_copies", first)
+    offset = F.coalesce(F.col("_offset"), F.lit(0))
+    first = (F.col("_last") + offset - F.col("_copies") + 1).alias("_first")
+    numbered = local.join(F.broadcast(offsets), cond, "left").select(*cols, "_copies", first)
     copies = replicate_rows(numbered, "_copies", index_col="_k")
     return copies.select(*cols, (F.col("_first") + F.col("_k")).cast("int").alias(out))

@@ -8,20 +8,24 @@ rate text is not a commission ('Free Trial', 'Redelivery', '0', NULL) are
 ignored.  Among equally near lines the smallest rate text wins; lines with
 a NULL net amount are used only when no line with an amount exists.
 
-All tiers are computed in one pass, without pairing orders with ledger
-lines (see ``careops.functions.nearest``):
-
-* the ledger is reduced once to one row per ``(restaurant, day, net)``
-  keeping the smallest rate (partial aggregates, so a busy restaurant is
-  combined map-side); the per-key lookups below are small aggregates of it;
-* membership comes first: an order with a usable line on its own day is
-  tier 1, else one within a week is tier 2, else any line is tier 3, else
-  tier 4 (a plain anti-join); each order then asks only what decides its
-  tier — its own day, the week's days, or the restaurant;
-* only ledger points under an asked key enter the range sort, so the sort
-  grows with the cancelled orders, not with the whole ledger;
-* tier membership and the NULL-amount fallback come from per-key summaries
-  joined on unique keys.
+All tiers are computed without pairing orders with ledger lines (see
+``careops.functions.nearest``), and the ledger is only read, never copied:
+
+* the listed orders come first; the ledger is cut to their restaurants and,
+  for each, to the dates its orders can reach (one row per restaurant), and
+  reduced to one row per ``(restaurant, day)`` with the smallest rate;
+* those rows decide membership: an order with a usable line on its own day
+  is tier 1, else one within a week is tier 2.  Only the restaurants of the
+  orders left over are looked up over all dates (tier 3); an order without
+  any line is tier 4 (a plain anti-join);
+* each order asks only what decides its tier — its own day, the week's days,
+  or the restaurant — and only ledger lines under an asked key are reduced
+  to points of the range sort, so the sort grows with the cancelled orders;
+* an ask carries its tier and the smallest rate under its key (the fallback
+  where no line has an amount), so one aggregate per order settles it.
+
+The ledger meets only written relations, whose size in bytes the planner
+knows: small ones are broadcast to the ledger scan, others shuffled.
 
 ``commission_tier(k)`` exposes one tier as the warehouse's per-tier table.
 """
@@ -44,7 +48,7 @@ from careops.functions.commission import (
     fixed_com,
     perc_com,
 )
-from careops.functions.materialize import checkpoint
+from careops.functions.materialize import written
 from careops.functions.nearest import nearest_points
 from careops.functions.predicates import not_in
 
@@ -78,162 +82,95 @@ def _choice(s: Column, hit: str) -> Column:
     return F.when(c.isNotNull(), F.struct(F.abs(c["value"] - s).alias("diff"), c["payload"].alias("rate")))
 
 
-def commission_match(
-    orders_alcohol: DataFrame,
-    ledger: DataFrame,
-    materialize: bool = True,
-    tiers: Sequence[int] = (1, 2, 3, 4),
-) -> DataFrame:
+def commission_match(orders_alcohol: DataFrame, ledger: DataFrame, tiers: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
     """``orders, commission_rate, commission_rank`` (rank '1'..'4') per order.
 
     Only orders settled at one of ``tiers`` are returned; tiers not asked
-    for skip their nearest-value work (tier 4 needs none).  ``materialize``
-    checkpoints the narrow per-order input, the ledger summary and the
-    day-level asks, each read by several branches of the plan (the
-    nearest-value pass always pins its own ranges).
+    for skip their lookups.  The listed orders, their days with a line, the
+    asks and the lines of tier-3 restaurants are written once each.
     """
     tiers = set(tiers)
     lines = usable_ledger(ledger)
     orders = orders_alcohol.select(
         "orders", "restaurant_id", F.to_date("created_at").alias("day"), "subtotal"
     ).distinct()
-    if materialize:
-        orders = checkpoint(orders)
-
-    # One pass over the ledger: the smallest rate per (restaurant, day, net),
-    # NULL day / net kept.  The lookups below are small aggregates of it.
-    summary = lines.groupBy("restaurant_id", "day", "net").agg(F.min("commission_rate").alias("rate"))
-    if materialize:
-        summary = checkpoint(summary)
-    # Any usable line per key (NULL amounts included) and its smallest rate:
-    # decides tier membership and the all-NULL-diff fallback.  One row per
-    # key, so joining on it never multiplies rows.
-    any_day = summary.filter(F.col("day").isNotNull()).groupBy("restaurant_id", "day").agg(
-        F.min("rate").alias("any_rate")
+    if tiers == {4}:  # no usable line at all for the restaurant: nothing to match
+        return _unmatched(orders, lines.select("restaurant_id").distinct())
+    orders = written(orders)
+
+    # The days with a usable line, over the dates that a restaurant's orders reach.
+    reach = 0 if tiers == {1} else WEEK_DAYS
+    day_key = ["restaurant_id", "day"]
+    spans = orders.groupBy("restaurant_id").agg(
+        F.date_sub(F.min("day"), reach).alias("_from"), F.date_add(F.max("day"), reach).alias("_to")
     )
-    any_rest = summary.groupBy("restaurant_id").agg(F.min("rate").alias("any_rate"))
-    ids = orders.select("orders").distinct()
-
-    if tiers <= {4}:
-        # No usable line at all for the restaurant: nothing to match.
-        default = orders.join(any_rest, "restaurant_id", "left_anti").select("orders").distinct()
-        return default.select("orders", F.lit(DEFAULT_RATE_TEXT).alias("commission_rate"), F.lit("4").alias("commission_rank"))
-
-    # Day-level asks: (restaurant, d + offset) for offsets −7 … 7, kept only
-    # where the restaurant has a usable line that day.  An order with an
-    # offset-0 ask is settled at tier 1, one with only other asks at tier 2.
-    level_day = F.lit(ANY_DAY).cast("date")
-    asks = (
-        orders.select(
-            "orders", "restaurant_id", "subtotal", "day",
-            F.explode(F.sequence(F.lit(-WEEK_DAYS), F.lit(WEEK_DAYS))).alias("offset"),
-        )
-        .select(
-            "orders", "offset", "restaurant_id", F.date_add("day", F.col("offset")).alias("day"), "subtotal",
-        )
-        .join(any_day, ["restaurant_id", "day"])
-        .select(F.lit(0).alias("level"), "restaurant_id", "day", "orders", "offset", "subtotal", "any_rate")
-    )
-    if materialize:
-        asks = checkpoint(asks)  # read for membership, the queries and the point filter
-    same_day = F.col("offset") == 0
-    # Per order (at most 15 asks): is any ask on its own day?  A window keeps
-    # the asks and their order-level flag in one partitioning.
-    per_order = Window.partitionBy("orders")
-    asks = asks.withColumn("_tier1", F.max(same_day).over(per_order))
-    member = asks.groupBy("orders").agg(
-        F.max("_tier1").alias("_tier1"),
-        F.min(F.when(same_day, F.col("any_rate"))).alias("t1_any"),
-        F.min("any_rate").alias("t2_any"),
-    )
-    # Tier 3 only decides orders with no usable line within a week (the
-    # cascade never looks further for the others).
-    rest_asks = (
-        orders.join(member.select("orders"), "orders", "left_anti")
-        .join(any_rest, "restaurant_id")
-        .select(
-            F.lit(1).alias("level"), "restaurant_id", level_day.alias("day"), "orders",
-            F.lit(None).cast("int").alias("offset"), "subtotal", "any_rate",
-        )
-    )
-    third = rest_asks.select("orders", F.col("any_rate").alias("t3_any"))
-
-    # Each order asks only what decides its own tier: tier-1 orders their
-    # same-day key, tier-2 orders the week's keys, tier-3 orders the
-    # restaurant key.
-    deciding = asks
-    parts = []
-    if 1 in tiers:
-        parts.append(deciding.filter(F.col("_tier1") & same_day))
-    if 2 in tiers:
-        parts.append(deciding.filter(~F.col("_tier1")))
-    day_asks = None
-    for part in parts:
-        part = part.drop("_tier1")
-        day_asks = part if day_asks is None else day_asks.unionByName(part)
-    queries = None
-    if day_asks is not None:
-        queries = day_asks
-    if 3 in tiers:
-        queries = rest_asks if queries is None else queries.unionByName(rest_asks)
-
-    m = ids.join(member, "orders", "left").join(third, "orders", "left")
-    rank = (
-        F.when(F.col("t1_any").isNotNull(), "1")
-        .when(F.col("t2_any").isNotNull(), "2")
-        .when(F.col("t3_any").isNotNull(), "3")
-        .otherwise("4")
+    any_day = written(
+        lines.join(spans, "restaurant_id").filter(F.col("day").between(F.col("_from"), F.col("_to")))
+        .groupBy(*day_key).agg(F.min("commission_rate").alias("any_rate"))
     )
-    fallback = (
-        F.when(F.col("t1_any").isNotNull(), F.col("t1_any"))
-        .when(F.col("t2_any").isNotNull(), F.col("t2_any"))
-        .otherwise(F.col("t3_any"))
+    wanted = orders.select(
+        "orders", "restaurant_id", "subtotal", "day",
+        F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("offset"),
+    ).withColumn("day", F.date_add("day", F.col("offset")))
+
+    # An order with a line on its own day asks for that day alone (tier 1),
+    # others for every day of the week that has one (tier 2).
+    own = F.col("offset") == 0
+    settled_own = F.max(own).over(Window.partitionBy("orders"))
+    day_asks = written(
+        wanted.join(any_day, day_key)
+        .withColumn("tier", F.when(settled_own, 1).otherwise(2))
+        .filter(own | (F.col("tier") == 2))
+        .select(F.lit(0).alias("level"), *day_key, "orders", "offset", "subtotal", "any_rate", "tier")
     )
-    m = m.select("orders", rank.alias("commission_rank"), fallback.alias("_any")).filter(
-        F.col("commission_rank").isin([str(t) for t in sorted(tiers)])
+    asks = day_asks.filter(F.col("tier").isin(sorted(tiers)))
+    points = (
+        lines.filter(F.col("net").isNotNull())
+        .join(asks.select(*day_key).distinct(), day_key, "left_semi")
+        .groupBy(*day_key, "net").agg(F.min("commission_rate").alias("rate"))
+        .select(F.lit(0).alias("level"), *day_key, "net", "rate")
     )
-    if queries is None:  # only tier 4 among the requested ones needs no match
-        near_best = None
-    else:
-        queries = queries.withColumn(
-            "ask", F.concat_ws(":", F.col("orders").cast("string"), F.col("level").cast("string"), F.col("offset").cast("string"))
+    unsettled = None
+    if tiers & {3, 4}:
+        # Orders without a line within a week look over all dates.
+        far = orders.join(day_asks.select("orders"), "orders", "left_anti")
+        far_lines = written(
+            lines.join(far.select("restaurant_id").distinct(), "restaurant_id", "left_semi")
+            .groupBy("restaurant_id", "net").agg(F.min("commission_rate").alias("rate"))
         )
-        # Only ledger points some order asks about enter the range sort: the
-        # ledger is far larger than the list of cancelled orders.
-        point_sets = []
-        if day_asks is not None:
-            by_day = summary.filter(F.col("net").isNotNull() & F.col("day").isNotNull())
-            keys = day_asks.select("restaurant_id", "day").distinct()
-            point_sets.append(
-                by_day.join(keys, ["restaurant_id", "day"], "left_semi")
-                .select(F.lit(0).alias("level"), "restaurant_id", "day", "net", "rate")
-            )
+        any_rest = far_lines.groupBy("restaurant_id").agg(F.min("rate").alias("any_rate"))
+        level_day = F.lit(ANY_DAY).cast("date").alias("day")
         if 3 in tiers:
-            by_rest = summary.filter(F.col("net").isNotNull()).groupBy("restaurant_id", "net").agg(
-                F.min("rate").alias("rate")
-            )
-            point_sets.append(
-                by_rest.join(rest_asks.select("restaurant_id").distinct(), "restaurant_id", "left_semi")
-                .select(F.lit(1).alias("level"), "restaurant_id", level_day.alias("day"), "net", "rate")
-            )
-        points = point_sets[0] if len(point_sets) == 1 else point_sets[0].unionByName(point_sets[1])
-        near_all = nearest_points(
-            points, queries, ["level", "restaurant_id", "day"],
-            point_value="net", point_payload="rate", query_id="ask", query_value="subtotal",
-            carry=["orders"],
-        )
-        s = F.col("subtotal")
-        # Structs compare field by field: the smallest (diff, rate) is the match.
-        near_best = near_all.groupBy("orders").agg(
-            F.min(_best([_choice(s, "prev"), _choice(s, "next")])).alias("_near")
-        )
-        m = m.join(near_best, "orders", "left")
-
-    rate = F.coalesce(F.col("_near.rate"), F.col("_any")) if near_best is not None else F.col("_any")
-    return m.select(
-        "orders",
-        F.when(F.col("commission_rank") == "4", F.lit(DEFAULT_RATE_TEXT)).otherwise(rate).alias("commission_rate"),
-        "commission_rank",
+            asks = asks.unionByName(far.join(any_rest, "restaurant_id").select(
+                F.lit(1).alias("level"), "restaurant_id", level_day, "orders",
+                F.lit(None).cast("int").alias("offset"), "subtotal", "any_rate", F.lit(3).alias("tier"),
+            ))
+            points = points.unionByName(far_lines.filter(F.col("net").isNotNull()).select(
+                F.lit(1).alias("level"), "restaurant_id", level_day, "net", "rate",
+            ))
+        if 4 in tiers:
+            unsettled = _unmatched(far, any_rest)
+
+    ask = F.concat_ws(":", *[F.col(c).cast("string") for c in ("orders", "level", "offset")])
+    near = nearest_points(
+        points, asks.withColumn("ask", ask), ["level", "restaurant_id", "day"],
+        point_value="net", point_payload="rate", query_id="ask", query_value="subtotal",
+        carry=["orders", "tier", "any_rate"],
+    )
+    s = F.col("subtotal")
+    # Structs compare field by field: the smallest (diff, rate) is the match.
+    matched = near.groupBy("orders").agg(
+        F.min("tier").cast("string").alias("commission_rank"),
+        F.min("any_rate").alias("_any"),
+        F.min(_best([_choice(s, "prev"), _choice(s, "next")])).alias("_near"),
+    ).select("orders", F.coalesce(F.col("_near.rate"), F.col("_any")).alias("commission_rate"), "commission_rank")
+    return matched if unsettled is None else matched.unionByName(unsettled)
+
+
+def _unmatched(orders: DataFrame, restaurants: DataFrame) -> DataFrame:
+    """Tier 4: the orders of restaurants that are not among ``restaurants``."""
+    return orders.join(restaurants, "restaurant_id", "left_anti").select("orders").distinct().select(
+        "orders", F.lit(DEFAULT_RATE_TEXT).alias("commission_rate"), F.lit("4").alias("commission_rank")
     )
 
 
@@ -249,14 +186,14 @@ def with_rates(match: DataFrame) -> DataFrame:
     )
 
 
-def commission_combined(orders_alcohol: DataFrame, ledger: DataFrame, materialize: bool = True) -> DataFrame:
+def commission_combined(orders_alcohol: DataFrame, ledger: DataFrame) -> DataFrame:
     """One commission row per order with its tier (B20–B23 together)."""
-    return with_rates(commission_match(orders_alcohol, ledger, materialize))
+    return with_rates(commission_match(orders_alcohol, ledger))
 
 
-def commission_tier(orders_alcohol: DataFrame, ledger: DataFrame, tier: int, materialize: bool = True) -> DataFrame:
+def commission_tier(orders_alcohol: DataFrame, ledger: DataFrame, tier: int) -> DataFrame:
     """B20 (tier 1), B21 (2), B22 (3), B23 (4): the orders settled at one tier.
 
     Computes only what that tier needs (tier 4 is a plain anti-join).
     """
-    return with_rates(commission_match(orders_alcohol, ledger, materialize, tiers=(tier,)))
+    return with_rates(commission_match(orders_alcohol, ledger, tiers=(tier,)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from careops.functions.materialize import checkpoint
+from careops.functions.materialize import written
 from careops.operators import alcohol, commission, contacts, payments, retention, service
 from careops.plans.params import Params
 from careops.sources.catalog import Sources
@@ -155,7 +155,7 @@ def alcohol_totals(src: Sources, p: Params, materialize: bool = True) -> DataFra
     # second scan of the items table.
     tp = true_positives(src, p)
     if materialize:
-        tp = checkpoint(tp)
+        tp = written(tp)
     fn = alcohol.alcohol_false_negatives(
         src.items, src.order_list, tp, p.not_alcohol_categories, p.not_alcohol_prefix
     )
@@ -184,5 +184,5 @@ def commission_tier(src: Sources, p: Params, tier: int) -> DataFrame:
 
 def payment_adjustment(src: Sources, p: Params) -> DataFrame:
     # Read by the commission match and by the final join: write it once.
-    oa = checkpoint(orders_alcohol(src, p))
+    oa = written(orders_alcohol(src, p))
     return payments.payment_adjustment(commission.commission_combined(oa, src.ledger), oa)

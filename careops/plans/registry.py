@@ -159,11 +159,11 @@ def oracle_sql(p: Params = TESTDATA) -> dict[str, str]:
         "alcohol_order_totals": o.alcohol_totals(),
         "order_adjustments": o.adjustments(),
         "orders_with_alcohol": o.orders_alcohol(),
-        "commission_same_day": o.commission("t1"),
-        "commission_fortnight": o.commission("t2"),
-        "commission_anytime": o.commission("t3"),
-        "commission_default": o.commission("t4"),
-        "commission_combined": o.commission("combined"),
+        "commission_same_day": o.commission(1),
+        "commission_fortnight": o.commission(2),
+        "commission_anytime": o.commission(3),
+        "commission_default": o.commission(4),
+        "commission_combined": o.commission(),
         "payment_adjustment": o.payment(),
     }
     return present_sql({k: full(v) for k, v in sql.items()})

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from careops.functions.materialize import recorded
 from careops.plans import compositions as C
+from careops.plans import registry
 from careops.plans.params import TESTDATA
 from careops.sources.testdata import testdata_sources
 from tests.conftest import SF_SMALL, rows
@@ -55,7 +58,10 @@ def _plan(df) -> str:
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_no_cartesian_or_python_udf(spark, name):
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    # The relations written while the query is built count as well as the final plan.
+    with recorded() as cut:
+        df = E.queries()[name](spark, SF_SMALL)
+    plan = "\n".join(map(_plan, [*cut, df] if name in registry.queries() else [df]))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in plan, f"{name}: {bad}"
 
@@ -119,20 +125,40 @@ def _unique_side(node) -> bool:
     return node.nodeName() == "Aggregate"
 
 
-def test_commission_plan_has_no_order_ledger_pairing(spark):
-    # A join on the restaurant key alone would pair every order with every
-    # ledger line of its restaurant.  Every restaurant-keyed join must also
-    # be keyed by day/level/partition id, or have a one-row-per-key side.
-    df = E.queries()["commission_combined"](spark, SF_SMALL)
-    plan = df._jdf.queryExecution().optimizedPlan()
-    checked = 0
-    for node in _nodes(plan):
+def _restaurant_joins(df) -> list[tuple[str, bool]]:
+    """Joins of ledger rows on the restaurant key, and whether each is free of pairing.
+
+    A join on the restaurant key alone pairs every order with every ledger
+    line of its restaurant.  It must also be keyed by day, level or partition
+    id, only filter, or have a side with one row per key.
+    """
+    found = []
+    for node in _nodes(df._jdf.queryExecution().optimizedPlan()):
         if node.nodeName() != "Join" or not node.condition().isDefined():
             continue
         cond = node.condition().get().toString()
-        if "restaurant_id" not in cond:
+        ledger = any(
+            re.search(r"\b(commission_rate|restaurant_order_net|net|rate|any_rate)#", side.output().toString())
+            for side in (node.left(), node.right())
+        )
+        if "restaurant_id" not in cond or not ledger:
             continue
-        checked += 1
-        narrow = any(k in cond for k in ("day#", "level#", "_pid#"))
-        assert narrow or _unique_side(node.left()) or _unique_side(node.right()), cond
-    assert checked > 0
+        keyed = re.search(r"\b(day|level|_pid)#\d+L? (=|<=>) (day|level|_pid)#", cond) is not None
+        filters = node.joinType().toString() in ("LeftSemi", "LeftAnti")
+        found.append((cond, keyed or filters or _unique_side(node.left()) or _unique_side(node.right())))
+    return found
+
+
+def test_commission_plan_has_no_order_ledger_pairing(spark):
+    with recorded() as cut:
+        df = E.queries()["commission_combined"](spark, SF_SMALL)
+    joins = [j for frame in [*cut, df] for j in _restaurant_joins(frame)]
+    # the dates of a restaurant, its days with a line, asked points, tier-3 lines
+    assert len(cut) >= 5 and len(joins) >= 4
+    bad = [cond for cond, fine in joins if not fine]
+    assert not bad, bad
+
+
+def test_a_pairing_join_is_found(spark, src):
+    orders = src.orders.select("restaurant_id", "id")
+    assert [fine for _, fine in _restaurant_joins(orders.join(src.ledger, "restaurant_id"))] == [False]
