@@ -4,6 +4,8 @@ A tokenizer that splits at spaces first gives the same ids whether a text is
 encoded whole or cut at those places.  Texts are cut there, distinct chunks
 are encoded once and looked up after that.  Which cuts hold is found from the
 tokenizer's own pre-tokenizer; any other tokenizer encodes whole texts.
+Added tokens ('<|endoftext|>'), which the tokenizer looks for in the text
+before anything else, are set apart first.
 """
 
 from __future__ import annotations
@@ -51,7 +53,13 @@ class Encoder:
                 p["pattern"].get("Regex", "") for p in pre["pretokenizers"] if p.get("type") == "Split").replace("[^\\s", "["):
             self.cut = self._at_spaces  # white space is never part of a token
         else:
-            self.cut = lambda text: [text] if text else []
+            self.cut = self._whole
+        added = spec.get("added_tokens") or []
+        self.added = sorted((t["content"] for t in added if t["content"]), key=len, reverse=True)
+        self.apart = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
+        if any(t.get(x) for t in added for x in ("normalized", "single_word", "lstrip", "rstrip")) or any(
+                c.isspace() for t in self.added for c in t):  # found in other ways than as they stand
+            self.cut, self.line, self.added = self._whole, None, []
         self._reset()
 
     @classmethod
@@ -60,6 +68,19 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    @staticmethod
+    def _whole(text: str) -> list[str]:
+        return [text] if text else []
+
+    def _chunks(self, text: str) -> list[str]:
+        """Chunks of a text; added tokens are chunks, and what stands between them is cut like a text of its own."""
+        if not any(t in text for t in self.added):
+            return self.cut(text)
+        out = []
+        for k, part in enumerate(self.apart.split(text)):
+            out += [part] if k % 2 else self.cut(part) if part else []
+        return out
+
     @staticmethod
     def _before_spaces(text: str) -> list[str]:
         """Cut before runs of white space that start with a space, around single line ends, before marks after letters.
@@ -75,16 +96,16 @@ class Encoder:
         text = _LINE.sub(_CUT + "\n" + _CUT, text.replace(" ", _CUT + " "))
         return _MARK.sub("\0\\g<0>", text).split(_CUT)
 
-    @staticmethod
-    def _at_spaces(text: str) -> list[str]:
+    def _at_spaces(self, text: str) -> list[str]:
         """Cut at spaces and line ends, and between a letter and a mark; lower case first where that is safe.
 
         Up to U+024F lower case goes character by character, so it may come
-        before the tokenizer's own normalisation.
+        before the tokenizer's own normalisation, unless it makes an added token.
         """
         text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
         if text.isascii() or max(text) < "\u0250":
-            text = text.lower()
+            low = text.lower()
+            text = text if any(t in low for t in self.added) else low
         return _MARK.sub(r" \g<0>", text).split(" ")
 
     def _reset(self) -> None:
@@ -149,7 +170,7 @@ class Encoder:
         """(ids of all texts end to end, number of ids of each text); null counts as empty."""
         if len(self.index) > CACHE_CHUNKS:
             self._forget()
-        cut = [self.cut(t) if t else [] for t in texts]
+        cut = [self._chunks(t) if t else [] for t in texts]
         chunks = [c for part in cut for c in part]
         found = list(map(self.index.get, chunks))
         new = list({c for c, k in zip(chunks, found) if k is None})

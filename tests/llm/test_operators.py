@@ -269,6 +269,21 @@ def test_encoder_equals_whole_texts():
         assert all(e.ids == flat[at[i]:at[i + 1]].tolist() for i, e in enumerate(whole))
 
 
+def test_encoder_keeps_added_tokens():
+    from careops.llm.encode import Encoder
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext |>", "<|", "|>", " ", "  ", "\n", "\t", "é", "İ", "\0", "a",
+             "Word", "it's", "!", "12"]
+    texts = ["see <|endoftext|> here", "<|endoftext|>", *["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)]]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        flat, sizes = Encoder(tokenizer(name)).encode(texts)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        whole = Tokenizer.from_file(tokenizer(name)).encode_batch_fast(texts, add_special_tokens=False)
+        assert all(e.ids == flat[at[i]:at[i + 1]].tolist() for i, e in enumerate(whole))
+
+
 def test_pair_lm(docs):
     from careops.llm.ngram_lm import score_texts
 
