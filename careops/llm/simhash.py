@@ -246,25 +246,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: in
     texts are read whole.  An empty table gives no rows.  Other columns are ignored.
     """
     fps = checkpoint(simhash(docs, shingle, seed, id_col, text_col))
-    classes = checkpoint(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    comp = components(fingerprint_links(classes.select("fp"), radius, blocks))
-    lowest = classes.join(comp, classes.fp == comp.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root"))
+    lowest = _rooted(fps, radius, blocks)
     ids = lowest.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = lowest.join(ids, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The documents that stay: one of each near-duplicate group, that with the smallest doc_id.
+def _rooted(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """``(fp, least, root)`` per fingerprint of stored ``fps(id, fp)``: its smallest id and its group's root fingerprint."""
+    classes = checkpoint(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    comp = components(fingerprint_links(classes.select("fp"), radius, blocks))
+    return classes.join(comp, classes.fp == comp.node, "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("root"))
+
+
+def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42, blocks: int = 6) -> DataFrame:
+    """The documents that stay: exactly one row of each near-duplicate group.
 
-    Of rows that repeat that doc_id the one with the smallest text hash stays
-    (a null id is an id like any other).  Columns are those of ``docs``.
+    It is the row with the smallest doc_id (nulls last), then the smallest
+    text hash; of rows equal in both, that with the smallest hash of all
+    columns.  Columns are those of ``docs``.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    roots = near_duplicates(docs, shingle, radius).filter(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__k")).distinct()
-    kept = docs.withColumn("__k", key).join(roots, "__k", "left_semi")
-    first = Window.partitionBy("__k").orderBy(F.xxhash64("text"))
-    return kept.withColumn("__r", F.row_number().over(first)).filter("__r = 1").select(*docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    fps = checkpoint(simhash(docs.select(key.alias("key"), "text"), shingle, seed, "key"))
+    first = _rooted(fps, radius, blocks).groupBy("root").agg(F.min("least").alias("k")).select(
+        F.col("k.id").alias("__id"), F.col("k.h").alias("__h2"))
+    kept = docs.withColumn("__h", F.xxhash64("text")).join(
+        first, (F.col("__h") == F.col("__h2")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    equal = Window.partitionBy("doc_id", "__h").orderBy(
+        F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
+    return kept.withColumn("__r", F.row_number().over(equal)).filter("__r = 1").select(*docs.columns)

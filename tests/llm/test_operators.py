@@ -117,6 +117,23 @@ def test_simhash(docs):
     assert ranked(near_duplicates(docs).collect()) == ranked(want)
 
 
+def test_keep_first_keeps_one_row_of_every_group(spark):
+    from careops.llm.simhash import keep_first, near_duplicates
+
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(80))
+    a, b, c = text(), text(), text()
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "y"), (6, b, "x"), (None, c, "x"), (None, c, "x"), (9, c, "x"),
+            (7, None, "x"), (None, "", "x")]
+    rows += [(None, text(), "x") for _ in range(8)] + [(5, text(), "x") for _ in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = [tuple(r) for r in keep_first(docs).collect()]
+    ids = {a: 3, b: 5, c: 9, None: 7}
+    want = list(ids.items()) + [(t, i) for i, t, _ in rows[10:]]
+    assert ranked((t, i) for i, t, _ in kept) == ranked(want)
+    assert len(kept) == len({r.fingerprint for r in near_duplicates(docs).collect()})
+
+
 def test_bit_sliced_pairs_equal_popcounts():
     from careops.llm.simhash import close_pairs
 
