@@ -7,15 +7,16 @@ batch.  From there on only packed arrays move:
 * Word counts.  Each batch sends its distinct words, cut by hash range, to
   the ranges; a range adds up the training counts and answers every batch.
   A batch sends a word once however often it holds it, so no word is hot.
-* Word pairs.  In the same way each range adds up the training pairs and
-  writes its segment of the filter: a pair seen c times is inserted as
-  (pair, 1) ... (pair, q), q = 1 + floor(log2 c).  A reader probes (pair, 1),
-  (pair, 2), ... until one is missing and gets q back.
-* Scoring.  The filter, bounded by ``max_bytes``, is broadcast; each batch is
-  joined to its answers (no shuffle of the stored side).
+* Word pairs.  In the same way each batch sends its distinct pairs; a range
+  adds up the training pairs and builds its segment of the filter: a pair
+  seen c times is inserted as (pair, 1) ... (pair, q), q = 1 + floor(log2 c).
+  For every asked pair it probes (pair, 1), (pair, 2), ... until one is
+  missing and answers every batch with q.
+* Scoring.  Each batch is joined to its answers (no shuffle of the stored
+  side); only the model's constants are broadcast.
 
-A pair is kept if it occurs at least ``min_count`` times; a filter that would
-exceed ``max_bytes`` takes the next power of two instead.
+A pair is kept if it occurs at least ``min_count`` times, whatever the size
+of the corpus: the filter's segments stay in their ranges.
 
 The probability of word w after u mixes the pair and the word model.  With r
 the share of training words after contexts as frequent as u (by powers of
@@ -49,7 +50,6 @@ _KEEP = ~_U(0xFF)  # hashes of pairs travel as their upper 56 bits
 END = int(mix(np.array([0x5EED], _U))[0])  # hash of the end token
 BATCH_BYTES = 6 << 20
 RANGE_ENTRIES = 2_000_000
-MAX_BYTES = 64 << 20
 BITS_PER_KEY = 14.4
 PROBES = 10
 LEVELS = 64
@@ -73,7 +73,7 @@ def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _encoded(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
-    """One row per batch of texts: batch, ids, held, sizes, vocab, words, seen, n_vocab, n_train."""
+    """One row per batch of texts: batch, ids, held, sizes, vocab, words, seen, n_vocab, n_tokens."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +105,12 @@ def _encoded(docs: DataFrame, train: Column, id_col: str, text_col: str) -> Data
                     pa.array([number]), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i)),
                     pa.array([shrink(held)]), pa.array([shrink(sizes.astype(np.int32))]), pa.array([shrink(vocab)]),
                     pa.array([shrink(back.astype(np.uint32))]), pa.array([shrink(seen.astype(np.uint32))]),
-                    pa.array([len(vocab)], pa.int64()), pa.array([int(learn.sum())], pa.int64())],
-                    names=["batch", "ids", "held", "sizes", "vocab", "words", "seen", "n_vocab", "n_train"])
+                    pa.array([len(vocab)], pa.int64()), pa.array([len(tokens)], pa.int64())],
+                    names=["batch", "ids", "held", "sizes", "vocab", "words", "seen", "n_vocab", "n_tokens"])
                 number += 1
 
     schema = (f"batch long, ids array<{kind}>, held binary, sizes binary, vocab binary, words binary, seen binary, "
-              "n_vocab long, n_train long")
+              "n_vocab long, n_tokens long")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (~train).alias("held")).mapInArrow(run, schema)
 
 
@@ -195,75 +195,97 @@ def _segment(keys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int, int
     return np.packbits(out, bitorder="little"), bits, inserted
 
 
-def _pair_segments(batches: DataFrame, n: int, min_count: int) -> DataFrame:
-    """Per range and threshold: filter segment, and counts by context level and by pair level."""
+def _probe(pairs: np.ndarray, body: np.ndarray, bits: int) -> np.ndarray:
+    """Level q that a segment holds for each pair, 0 for none."""
+    level = np.zeros(len(pairs), np.uint8)
+    live = np.arange(len(pairs))
+    for q in range(1, LEVELS - 1):
+        alive = np.arange(len(live))
+        for at in _positions(pairs[live], q, _U(bits)):
+            at = at[alive]
+            byte = body[(at >> _U(3)).astype(np.int64)]
+            alive = alive[((byte >> (at & _U(7)).astype(np.uint8)) & 1).astype(bool)]
+        live = live[alive]
+        if not len(live):
+            break
+        level[live] = q
+    return level
+
+
+def _batch_pairs(vocab: np.ndarray, words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct pair hashes, ascending; a token of each; number of each token's pair)."""
+    return np.unique(_pair_hash(vocab[before], vocab[words]), return_index=True, return_inverse=True)
+
+
+def _pair_answers(batches: DataFrame, n: int, min_count: int) -> DataFrame:
+    """(batch, range, levels, ...): the filter's level of each batch's pairs, in hash order.
+
+    One row of each range also holds its segment's bits, bits set, and counts
+    by context level and by pair level.
+    """
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
-            for held, sizes, vocab, words, counts in zip(*(row.column(c).to_pylist() for c in range(5))):
+            for number, held, sizes, vocab, words, counts in zip(*(row.column(c).to_pylist() for c in range(6))):
                 held, sizes = grow(held, bool), grow(sizes, np.int32).astype(np.int64)
                 vocab, words, counts = grow(vocab, _U), grow(words, np.uint32), np.concatenate([grow(x, _U) for x in counts])
-                end = int(np.searchsorted(vocab, _U(END)))
-                before = _contexts(words, sizes, end)
-                learn = np.repeat(~held, sizes)
-                u, w = before[learn], words[learn]
-                pairs, at, seen = np.unique(_pair_hash(vocab[u], vocab[w]), return_index=True, return_counts=True)
-                level = _level(np.maximum(counts[u[at]], _U(1))).astype(np.uint8)
+                before = _contexts(words, sizes, int(np.searchsorted(vocab, _U(END))))
+                pairs, at, back = _batch_pairs(vocab, words, before)
+                seen = np.bincount(back[np.repeat(~held, sizes)], minlength=len(pairs))
+                level = _level(np.maximum(counts[before[at]], _U(1))).astype(np.uint8)
                 edges = np.searchsorted(_ranges(pairs, n), np.arange(n + 1))
                 own = np.flatnonzero(np.diff(edges))
                 cut = [slice(edges[r], edges[r + 1]) for r in own]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(own, pa.int32()), pa.array([shrink(pairs[c] >> _U(8)) for c in cut], pa.binary()),
+                    pa.array([number] * len(own), pa.int64()), pa.array(own, pa.int32()),
+                    pa.array([shrink(pairs[c] >> _U(8)) for c in cut], pa.binary()),
                     pa.array([shrink(seen[c].astype(np.uint32)) for c in cut], pa.binary()),
-                    pa.array([shrink(level[c]) for c in cut], pa.binary())], names=["r", "pairs", "seen", "level"])
+                    pa.array([shrink(level[c]) for c in cut], pa.binary())], names=["batch", "r", "pairs", "seen", "level"])
 
-    def build(table: pa.Table) -> pa.Table:
-        rows = []
+    def answer(table: pa.Table) -> pa.Table:
+        out = []
         ranges = table.column("r").to_numpy()
         for r in np.unique(ranges):
             own = table.filter(pa.array(ranges == r))
-            pairs = np.concatenate([grow(x, _U) << _U(8) for x in own.column("pairs").to_pylist()])
+            asked = [grow(x, _U) << _U(8) for x in own.column("pairs").to_pylist()]
+            edges = np.cumsum([0, *map(len, asked)])
+            pairs, at, back = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
             seen = np.concatenate([grow(x, np.uint32) for x in own.column("seen").to_pylist()])
-            level = np.concatenate([grow(x, np.uint8) for x in own.column("level").to_pylist()])
-            order = np.argsort(pairs, kind="stable")
-            pairs, seen, level = pairs[order], seen[order], level[order]
-            first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-            total = np.add.reduceat(seen.astype(np.int64), first)
-            pairs, level = pairs[first], level[first]
+            level = np.concatenate([grow(x, np.uint8) for x in own.column("level").to_pylist()])[at]
+            total = np.bincount(back, seen, len(pairs)).astype(np.int64)
             quantised = _level(total) + 1
-            every = np.bincount(level, total, LEVELS)
-            threshold = min_count
-            while True:
-                keep, alone = total >= threshold, total > threshold
-                body, bits, keys = _segment(pairs[keep], quantised[keep])
-                rows.append((int(r), threshold, body.tobytes(), bits, keys, every,
-                             np.bincount(level[keep], total[keep], LEVELS), np.bincount(level[alone], total[alone], LEVELS),
-                             np.bincount(quantised[keep], minlength=LEVELS).astype(float),
-                             np.bincount(quantised[keep], total[keep], LEVELS)))
-                threshold = 1 << int(threshold).bit_length()
-                if not keep.any() or threshold > 1 << 40:
-                    break
-        return pa.table({name: list(col) for name, col in zip(
-            ["r", "threshold", "body", "bits", "keys", "every", "kept", "alone", "pairs", "mass"], zip(*rows))})
-
-    asked = batches.select("held", "sizes", "vocab", "words", "counts").mapInArrow(
-        ask, "r int, pairs binary, seen binary, level binary")
-    out = "r long, threshold long, body binary, bits long, keys long, " + ", ".join(
+            keep, alone = total >= min_count, total > min_count
+            body, bits, _ = _segment(pairs[keep], quantised[keep])
+            found = _probe(pairs, body, bits)
+            stats = {"bits": bits, "filled": int(np.bitwise_count(body).sum()), "every": np.bincount(level, total, LEVELS),
+                     "kept": np.bincount(level[keep], total[keep], LEVELS),
+                     "alone": np.bincount(level[alone], total[alone], LEVELS),
+                     "pairs": np.bincount(quantised[keep], minlength=LEVELS).astype(float),
+                     "mass": np.bincount(quantised[keep], total[keep], LEVELS)}
+            none = [None] * (len(asked) - 1)
+            out.append(pa.table({
+                "batch": own.column("batch"), "r": own.column("r"),
+                "levels": pa.array([shrink(found[back[a:b]]) for a, b in zip(edges, edges[1:])], pa.binary()),
+                **{name: pa.array([x, *none], pa.int64() if isinstance(x, int) else pa.list_(pa.float64()))
+                   for name, x in stats.items()}}))
+        return pa.concat_tables(out)
+
+    asked = batches.select("batch", "held", "sizes", "vocab", "words", "counts").mapInArrow(
+        ask, "batch long, r int, pairs binary, seen binary, level binary")
+    out = "batch long, r int, levels binary, bits long, filled long, " + ", ".join(
         f"{c} array<double>" for c in ("every", "kept", "alone", "pairs", "mass"))
-    return asked.repartition("r").sortWithinPartitions("r").mapInArrow(
-        lambda b: grouped(b, ["r"], build, rows=1), out)
+    return asked.repartition("r").sortWithinPartitions("r", "batch").mapInArrow(
+        lambda b: grouped(b, ["r"], answer, rows=1), out)
 
 
 class PairModel:
-    """The broadcast filter (at most ``max_bytes``) and the model's few constants."""
-
-    def __init__(self, spark: SparkSession, segments: DataFrame, n_ranges: int, words: int, distinct: int, max_bytes: int):
-        self.n_ranges, self.words, self.distinct = n_ranges, words, distinct
-        sizes = segments.groupBy("threshold").agg(F.sum(F.ceil(F.col("bits") / 8)).alias("bytes")).collect()
-        fits = sorted(r.threshold for r in sizes if r.bytes <= max_bytes)
-        self.threshold = fits[0] if fits else None
-        chosen = segments.filter(F.col("threshold") == F.lit(self.threshold if fits else -1))
+    """The model's few constants, of the same size for every corpus."""
+
+    def __init__(self, answers: DataFrame, words: int, distinct: int, min_count: int):
+        self.words, self.distinct, self.threshold = words, distinct, min_count
         names = ("every", "kept", "alone", "pairs", "mass")
+        chosen = answers.filter(F.col("bits").isNotNull())
+        bits, filled = chosen.agg(F.sum("bits"), F.sum("filled")).first()
         zipped = chosen.select(F.posexplode(F.arrays_zip(*names)).alias("at", "x")).groupBy("at").agg(
             *[F.sum(f"x.{c}").alias(c) for c in names]).collect()
         every, kept, alone, pairs, mass = (np.zeros(LEVELS) for _ in names)
@@ -274,48 +296,23 @@ class PairModel:
         self.share = kept / np.maximum(every, 1)
         self.alone = alone / np.maximum(every, 1)
         self.mean = mass / np.maximum(pairs, 1)
-        rows = chosen.select("r", "bits", "body").collect()  # bounded by max_bytes
-        self.bits = np.zeros(n_ranges, _U)
-        self.start = np.zeros(n_ranges, np.int64)
-        parts, at = [], 0
-        for row in sorted(rows, key=lambda x: x.r):
-            self.bits[row.r], self.start[row.r] = row.bits, at
-            parts.append(np.frombuffer(bytes(row.body), np.uint8))
-            at += len(parts[-1])
-        self.filter = np.concatenate(parts) if parts else np.zeros(1, np.uint8)
-        fill = float(np.bitwise_count(self.filter).sum()) / max(1.0, float(self.bits.sum()))
-        lowest = 1 + int(np.log2(self.threshold)) if fits else 1
+        self.lowest = 1 + int(np.log2(min_count))
         # A false pair must pass every probe of its lowest level and those below.
-        self.false_mass = distinct * fill ** (PROBES * lowest) * (self.mean[lowest] if fits else 0)
-
-    def counts(self, pairs: np.ndarray) -> np.ndarray:
-        """Mean training count of each pair's level, 0 for pairs that are not held."""
-        level = np.zeros(len(pairs), np.int64)
-        live = np.arange(len(pairs))
-        ranges = _ranges(pairs, self.n_ranges)
-        live = live[self.bits[ranges] > 0]
-        for q in range(1, LEVELS - 1):
-            own = ranges[live]
-            alive = np.arange(len(live))
-            for at in _positions(pairs[live], q, self.bits[own]):
-                at = at[alive]
-                byte = self.filter[self.start[own[alive]] + (at >> _U(3)).astype(np.int64)]
-                alive = alive[((byte >> (at & _U(7)).astype(np.uint8)) & 1).astype(bool)]
-            live = live[alive]
-            if not len(live):
-                break
-            level[live] = q
-        lowest = int(np.log2(self.threshold)) + 1 if self.threshold else LEVELS
-        return np.where(level >= lowest, self.mean[np.minimum(level, LEVELS - 1)], 0.0)
-
-    def log_probability(self, vocab, counts, before, words) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 of the word model, log10 of the pair model) for each word."""
+        fill = (filled or 0) / max(1, bits or 0)
+        self.false_mass = distinct * fill ** (PROBES * self.lowest) * self.mean[self.lowest]
+
+    def counts(self, levels: np.ndarray) -> np.ndarray:
+        """Mean training count of each level, 0 for pairs that are not held."""
+        return np.where(levels >= self.lowest, self.mean[levels], 0.0)
+
+    def log_probability(self, levels, counts, before, words) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 of the word model, log10 of the pair model) for each word; ``levels`` are those of its pair."""
         base = (counts + 1.0) / (self.words + self.distinct + 1.0)
         cu, cw = counts[before], counts[words]
         # A kept pair needs both its words at least as often.
-        may = np.flatnonzero((cu >= (self.threshold or np.inf)) & (cw >= (self.threshold or np.inf)))
+        may = np.flatnonzero((cu >= self.threshold) & (cw >= self.threshold))
         pair = np.zeros(len(words))
-        pair[may] = np.minimum(self.counts(_pair_hash(vocab[before[may]], vocab[words[may]])), np.minimum(cu[may], cw[may]))
+        pair[may] = np.minimum(self.counts(levels[may]), np.minimum(cu[may], cw[may]))
         level = _level(np.maximum(cu, 1))
         share, alone = self.share[level], self.alone[level]
         ratio = np.where(share > 0, alone / np.where(share > 0, share, 1), 0)
@@ -324,7 +321,7 @@ class PairModel:
         return np.log10(base)[words], np.log10(np.maximum(mixed, base[words] * 1e-3))
 
 
-def score_texts(docs: DataFrame, train: Column | None = None, min_count: int = 2, max_bytes: int = MAX_BYTES,
+def score_texts(docs: DataFrame, train: Column | None = None, min_count: int = 2,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -339,7 +336,7 @@ def score_texts(docs: DataFrame, train: Column | None = None, min_count: int = 2
     kind = dict(docs.dtypes)[id_col]
     train = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
     batches = _bucketed(_encoded(docs, train, id_col, text_col), "batch")
-    size = batches.agg(F.sum("n_vocab"), F.sum("n_train")).first()
+    size = batches.agg(F.sum("n_vocab"), F.sum("n_tokens")).first()
     n_words = max(1, -(-(size[0] or 0) // RANGE_ENTRIES))
     n_pairs = max(1, -(-(size[1] or 0) // RANGE_ENTRIES))
     answers = stored(_word_answers(batches, n_words), "lm-answers")
@@ -348,20 +345,25 @@ def score_texts(docs: DataFrame, train: Column | None = None, min_count: int = 2
     per_batch = answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("r", "counts"))).alias("a")).select(
         "batch", F.col("a.counts").alias("counts"))
     known = batches.join(per_batch.hint("merge"), "batch")
-    segments = stored(_pair_segments(known, n_pairs, min_count), "lm-segments")
-    held_model = spark.sparkContext.broadcast(PairModel(spark, segments, n_pairs, total, distinct, max_bytes))
+    pair_answers = stored(_pair_answers(known, n_pairs, min_count), "lm-pairs")
+    held_model = spark.sparkContext.broadcast(PairModel(pair_answers, total, distinct, min_count))
+    per_batch = pair_answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("r", "levels"))).alias("a")).select(
+        "batch", F.col("a.levels").alias("levels"))
+    known = known.join(per_batch.hint("merge"), "batch")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held_model.value
         for row in rows:
             for i in range(row.num_rows):
                 ids = row.column(0).slice(i, 1).flatten()
-                held, sizes, vocab, words, counts = (row.column(c)[i].as_py() for c in range(1, 6))
+                held, sizes, vocab, words, counts, levels = (row.column(c)[i].as_py() for c in range(1, 7))
                 held, sizes = grow(held, bool), grow(sizes, np.int32).astype(np.int64)
                 vocab, words = grow(vocab, _U), grow(words, np.uint32).astype(np.int64)
                 counts = np.concatenate([grow(x, _U) for x in counts]).astype(np.float64)
                 before = _contexts(words, sizes, int(np.searchsorted(vocab, _U(END))))
-                base, pair = model.log_probability(vocab, counts, before, words)
+                _, _, back = _batch_pairs(vocab, words, before)
+                levels = np.concatenate([grow(x, np.uint8) for x in levels])[back]
+                base, pair = model.log_probability(levels, counts, before, words)
                 begin = np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays([
                     ids, pa.array(held), pa.array(sizes), pa.array(np.add.reduceat((counts[words] > 0).astype(np.int64), begin)),
@@ -369,7 +371,7 @@ def score_texts(docs: DataFrame, train: Column | None = None, min_count: int = 2
                     pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(pair, begin))],
                     names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return known.select("ids", "held", "sizes", "vocab", "words", "counts").mapInArrow(
+    return known.select("ids", "held", "sizes", "vocab", "words", "counts", "levels").mapInArrow(
         run, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     ).withColumnRenamed("id", id_col)
 

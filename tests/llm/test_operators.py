@@ -318,6 +318,23 @@ def test_pair_lm(docs):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_pair_lm_gathers_no_pairs(docs, spark, monkeypatch):
+    import pickle
+
+    from careops.llm import ngram_lm
+
+    sizes, sc = [], type(spark.sparkContext)
+    real = sc.broadcast
+    monkeypatch.setattr(sc, "broadcast", lambda self, value: sizes.append(len(pickle.dumps(value))) or real(self, value))
+    ngram_lm.score_texts(docs.filter("doc_id < 3"))
+    once = {(r.doc_id, round(r.base_score, 6)): r.score for r in ngram_lm.score_texts(docs).collect()}
+    assert abs(sizes[0] - sizes[1]) < 64  # the same for every corpus
+    monkeypatch.setattr(ngram_lm, "RANGE_ENTRIES", 200)
+    cut = {(r.doc_id, round(r.base_score, 6)): r.score for r in ngram_lm.score_texts(docs).collect()}
+    assert once.keys() == cut.keys()  # only the filter's false positives differ with the ranges
+    assert all(abs(once[k] - cut[k]) <= 0.02 * abs(once[k]) + 0.5 for k in once)
+
+
 def test_language_id(docs, spark):
     from careops.llm.langid import fit_languages, predict_languages
 
