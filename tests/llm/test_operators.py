@@ -353,6 +353,22 @@ def test_language_id(docs, spark):
     assert {r.lang_pred for r in predict_languages(df, nothing).collect()} == {"und"}
 
 
+def test_language_rejection(spark):
+    from careops.llm.langid import fit_languages, predict_languages
+
+    rows = [(i, ("abc fed " if i % 2 else "xyz wvu ") * 20, ["fr", "en"][i % 2]) for i in range(20)]
+    rows += [(30, "abc fed " * 3 + "qrs tmn " * 12, None), (31, "ßßß", None), (32, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_languages(df)
+    every = {r.doc_id: r for r in predict_languages(df, model).collect()}
+    got = {r.doc_id: r for r in predict_languages(df, model, reject_below=0.9).collect()}
+    assert every[30].lang_pred != "und" and every[31].lang_pred != "und"
+    for i, r in got.items():
+        assert r.score == every[i].score
+        assert r.lang_pred == (every[i].lang_pred if r.score >= 0.9 else "und")
+    assert all(got[i].lang_pred == "und" for i in (30, 31, 32)) and all(got[i].lang_pred != "und" for i in range(20))
+
+
 def test_quality(docs, spark):
     from careops.llm.quality import fit_quality, keep_good, score_quality
 
