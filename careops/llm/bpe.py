@@ -142,18 +142,16 @@ class Merges:
             y = np.where(undo_left, y, self.first[y])
         return apart
 
-    def propose(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, token) of the greedy longest matches from the start of a run of words' symbols.
-
-        A word's last symbol is one that no token continues, so matches never cross words.
-        """
+    def propose(self, symbols: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, token) of the greedy longest matches in words end to end; ``stop`` is the end of each place's word."""
         n = len(symbols)
         best, reach = symbols.copy(), np.ones(n, np.int64)
         live = np.arange(n)
         node = self._root[symbols]
         depth = 1
         while True:
-            live, node = live[live + depth < n], node[live + depth < n]
+            inside = live + depth < stop[live]
+            live, node = live[inside], node[inside]
             if not len(live):
                 break
             key = node * self.size + symbols[live + depth]
@@ -209,7 +207,7 @@ class Merges:
         ends = np.cumsum(sizes)
         symbols = self.inner[data]
         symbols[ends - 1] = self.last[data[ends - 1]]
-        places, tokens = self.propose(symbols)
+        places, tokens = self.propose(symbols, np.repeat(ends, sizes))
         word = np.searchsorted(ends, places, "right")
         beside = np.flatnonzero(word[1:] == word[:-1])
         wrong = beside[~self.stays_apart(tokens[beside], tokens[beside + 1])]
