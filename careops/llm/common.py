@@ -34,6 +34,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def with_row(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and all of a caller's columns as one struct ``row``, so that no name of theirs meets one of ours."""
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from (row, text): ``text`` replaced, n_chars, where there is one, counted anew."""
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back (cuts the lineage, compressed)."""
     spark = df.sparkSession
@@ -65,4 +78,4 @@ def slices(offsets: np.ndarray, size: int):
 
 
 __all__ = ["ARROW_BYTES", "byte_column", "checkpoint", "id_remainder", "python_batches", "scratch_path", "slices",
-           "stored"]
+           "stored", "with_row", "with_text"]

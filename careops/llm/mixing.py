@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careops.llm.common import checkpoint
+from careops.llm.common import checkpoint, with_row, with_text
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
@@ -186,24 +186,25 @@ def mix(docs: DataFrame, seed: int = 7, block: int = BLOCK_WORDS, shard: int = S
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix as documents: for each pass over a document a row with the words taken in it.
 
-    Columns are those of ``docs``; n_chars, where there is one, is counted
-    anew.  Rows equal in doc_id and text stand for each other.
+    Columns are those of ``docs``, whatever their names; n_chars, where there
+    is one, is counted anew.  Rows equal in doc_id and text stand for each
+    other.  Null, empty and word-less texts are never taken; texts of any
+    length are taken block by block; a null source is a source and a null
+    doc_id an id; an empty table gives no rows.
     """
     _, pieces = mix(docs, seed)
     taken = pieces.groupBy("doc_id", "text_hash", "sid", "off").agg(
-        F.array_sort(F.collect_list(F.struct("start", "words", "times"))).alias("__p"),
-        F.max("times").alias("__m"))
-    taken = taken.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__m").cast("int"))))
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.filter(
-        "__p", lambda p: p["times"] >= F.col("__pass")).alias("__p"))
-    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    once = keyed.filter(F.col("text").isNotNull()).dropDuplicates(["doc_id", "__h"])
-    out = once.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (once["__h"] == taken["__h"])).drop(taken["__h"])
-    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+        F.array_sort(F.collect_list(F.struct("start", "words", "times"))).alias("p"),
+        F.max("times").alias("m"))
+    taken = taken.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
+    taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("text_hash").alias("taken_h"), F.filter(
+        "p", lambda p: p["times"] >= F.col("pass")).alias("p"))
+    keyed = with_row(docs, "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    once = keyed.filter(F.col("row.text").isNotNull()).dropDuplicates(["doc_id", "h"])
+    out = once.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("h") == F.col("taken_h")))
+    words = F.regexp_extract_all("row.text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     # explode of a one-element array keeps the words from being split anew for each piece.
-    out = out.withColumn("__w", F.explode(F.array(words))).withColumn("text", F.rtrim(F.concat_ws("", F.flatten(F.transform(
-        "__p", lambda p: F.slice("__w", p["start"].cast("int") + 1, p["words"].cast("int")))))))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    out = out.withColumn("w", F.explode(F.array(words))).withColumn("text", F.rtrim(F.concat_ws("", F.flatten(F.transform(
+        "p", lambda p: F.slice("w", p["start"].cast("int") + 1, p["words"].cast("int")))))))
+    return with_text(out.select("row", "text"), docs)
 

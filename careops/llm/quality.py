@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from careops.llm.common import byte_column, id_remainder, python_batches, slices
+from careops.llm.common import byte_column, id_remainder, python_batches, slices, with_row
 from careops.llm.textscan import Rolling, lower_ascii, word_spans
 
 SAMPLE_ROWS = 40_000
@@ -213,15 +214,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None,
                 id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees:
     """Fit on labelled rows: ``train`` filters the ids, labels other than 0 and 1 (null too) are left out.
 
-    At most about ``sample`` labelled rows are used, chosen by a hash of the
-    id, all of them if there are fewer.  An id labelled both ways counts with
-    each label.
+    At most about ``sample`` (id, label) pairs are used, chosen by a hash of
+    the id, all of them if there are fewer; only they reach the driver.  An id
+    labelled both ways counts with each label.  Of rows that repeat an id one
+    counts, that with the least statistics; rows with a null id are left out.
+    Null and empty texts have the statistics of a text without any byte; very
+    long texts are read whole.  Without labels every score is one half.
+    Other columns are ignored.
     """
     python_batches(docs.sparkSession)
     marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if train is not None:
         marked = marked.filter(train)
-    marked = marked.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    marked = marked.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
     share = min(1.0, sample / max(1, marked.count()))
 
     def chosen(df: DataFrame, column: str) -> DataFrame:
@@ -230,7 +235,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None,
         return df.filter(F.pmod(F.xxhash64(F.col(column), F.lit("quality")), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     part = chosen(docs.filter(F.col(id_col).isNotNull()).filter(train) if train is not None else docs, id_col)
-    rows = _features(part, id_col, text_col).join(chosen(marked, "id"), "id").select("x", "y").toPandas()
+    rows = _features(part, id_col, text_col).join(chosen(marked, "id"), "id").groupBy("id", "y").agg(
+        F.min("x").alias("x")).select("x", "y").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(-1, FEATURES)
     y = rows["y"].to_numpy(float)
     order = np.lexsort((*x.T, y))  # the same model whatever the order of arrival
@@ -259,9 +265,8 @@ def score_quality(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_co
                 [*batch.columns[1:], pa.array(np.concatenate(scores))], names=[*batch.schema.names[1:], "score"])
 
     cols = list(dict.fromkeys([id_col, *keep]))
-    schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in cols)
-    given = docs.select(F.col(text_col).alias("__text"), *cols)
-    return given.mapInArrow(run, f"{schema}, score double")
+    schema = StructType([docs.schema[c] for c in cols]).add("score", "double")
+    return docs.select(F.col(text_col).alias("__text"), *cols).mapInArrow(run, schema)
 
 
 def train_split() -> Column:
@@ -270,7 +275,12 @@ def train_split() -> Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents whose score reaches ``threshold``, with the columns of ``docs``."""
+    """The documents whose score reaches ``threshold``, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts are scored like a text without any byte, texts of any
+    length whole.  Null ids, ties and repeated rows are scored row by row; an
+    empty table gives no rows.
+    """
     model = fit_quality(docs, labels, train_split())
-    scored = score_quality(docs, model, keep=docs.columns)
-    return scored.filter(F.col("score") >= threshold).select(*docs.columns)
+    scored = score_quality(with_row(docs, "text"), model, id_col="row")
+    return scored.filter(F.col("score") >= threshold).select("row.*")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from careops.llm.blocks import block_pairs, grouped
-from careops.llm.common import byte_column, checkpoint, python_batches, slices
+from careops.llm.common import byte_column, checkpoint, python_batches, slices, with_row
 from careops.llm.components import components
 from careops.llm.textscan import lower_ascii, word_spans
 
@@ -266,14 +266,16 @@ def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 4
 
     It is the row with the smallest doc_id (nulls last), then the smallest
     text hash; of rows equal in both, that with the smallest hash of all
-    columns.  Columns are those of ``docs``.
+    columns.  Null, empty and word-less texts form one group; texts of any
+    length are read whole; an empty table gives no rows.  Columns are those of
+    ``docs``, whatever their names.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
     fps = checkpoint(simhash(docs.select(key.alias("key"), "text"), shingle, seed, "key"))
     first = _rooted(fps, radius, blocks).groupBy("root").agg(F.min("least").alias("k")).select(
-        F.col("k.id").alias("__id"), F.col("k.h").alias("__h2"))
-    kept = docs.withColumn("__h", F.xxhash64("text")).join(
-        first, (F.col("__h") == F.col("__h2")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    equal = Window.partitionBy("doc_id", "__h").orderBy(
-        F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
-    return kept.withColumn("__r", F.row_number().over(equal)).filter("__r = 1").select(*docs.columns)
+        F.col("k.id").alias("first_id"), F.col("k.h").alias("first_h"))
+    kept = with_row(docs, "doc_id", F.xxhash64("text").alias("h")).join(
+        first, (F.col("h") == F.col("first_h")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    equal = Window.partitionBy("doc_id", "h").orderBy(
+        F.xxhash64(*[F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind]))
+    return kept.withColumn("r", F.row_number().over(equal)).filter("r = 1").select("row.*")
