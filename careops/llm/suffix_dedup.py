@@ -35,9 +35,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from careops.functions.ordering import row_number_within
 from careops.llm.blocks import grouped
-from careops.llm.common import byte_column, python_batches, slices, stored
+from careops.llm.common import byte_column, python_batches, slices, stored, with_row, with_text
 from careops.llm.textscan import Rolling
 
 GRAM = 64
@@ -316,16 +318,34 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "first", id_c
     return spans.distinct().groupBy("id", "h").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _with_spans(rows: DataFrame, spans: DataFrame, first: bool) -> DataFrame:
+    """(row, spans, whole) of ``rows(id, h, row)``; ``whole``: a later one of rows that are equal in id and text."""
+    marks = spans.select(F.col("id").alias("span_id"), F.col("h").alias("span_h"), "spans")
+    same = (F.col("h") == F.col("span_h")) & F.col("id").eqNullSafe(F.col("span_id"))
+    copies = None
+    if first:
+        copies = stored(rows.groupBy("id", "h").count().filter("count > 1").select(
+            F.col("id").alias("copy_id"), F.col("h").alias("copy_h")), "copies")
+        copies = None if copies.isEmpty() else copies
+    marked = rows.join(marks, same, "left")
+    if copies is None:
+        return marked.select("row", "spans", F.lit(False).alias("whole"))
+    again = (F.col("h") == F.col("copy_h")) & F.col("id").eqNullSafe(F.col("copy_id"))
+    alone = marked.join(copies, again, "left_anti").select("row", "spans", F.lit(False).alias("whole"))
+    # The first of equal rows is treated by its spans; which one that is among them does not matter.
+    numbered = row_number_within(rows.join(copies, again, "left_semi"), ["id", "h"], ["row"], out="place")
+    return alone.union(numbered.join(marks, same, "left").select("row", "spans", (F.col("place") > 1).alias("whole")))
+
+
+def _keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    keyed = docs.withColumn("__h", F.xxhash64(text))
-    marks = spans.select(F.col("id").alias("__id"), F.col("h").alias("__h2"), F.col("spans").alias("__spans"))
-    return keyed.join(marks, (F.col("__h") == F.col("__h2")) & F.col(id_col).eqNullSafe(F.col("__id")), "left").drop(
-        "__h", "__h2", "__id")
+    return with_row(docs, F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
 
 
-def _removed(spans: pa.ListScalar, size: int) -> list[tuple[int, int]]:
+def _removed(spans: pa.ListScalar, whole: bool, size: int) -> list[tuple[int, int]]:
     """Merged removed runs, ascending."""
+    if whole:
+        return [(0, size)] if size else []
     if spans is None or not len(spans):
         return []
     s = np.sort(np.array([x["s"] for x in spans], np.int64))
@@ -349,19 +369,21 @@ def dedup_digest(docs: DataFrame, length: int = 400, keep: str = "none", id_col:
 
     Null and empty texts have no bytes; texts below ``length`` bytes stay
     whole; texts of any size are read whole.  Repeated rows are copies of each
-    other; null ids are ids; an empty table gives no rows; other columns are
+    other: with ``keep="first"`` one of them is the first and the others go
+    whole.  Null ids are ids; an empty table gives no rows; other columns are
     ignored, whatever their names.
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = _with_spans(given, repeated_spans(given, length, keep, "id", "text", **options), "id", "text")
+    rows = _with_spans(_keyed_rows(given, "id", "text"), repeated_spans(given, length, keep, "id", "text", **options),
+                       keep == "first").select("row.id", "row.text", "spans", "whole")
     kind = dict(given.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
+            for text, spans, whole in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 raw = (text.as_py() or "").encode()
-                runs = _removed(spans, len(raw))
+                runs = _removed(spans, whole, len(raw))
                 out.append((len(raw), sum(b - a for a, b in runs), len(runs),
                             hashlib.sha256(_kept(raw, runs)).hexdigest()))
             n, removed, pieces, sha = zip(*out) if out else ((), (), (), ())
@@ -369,37 +391,35 @@ def dedup_digest(docs: DataFrame, length: int = 400, keep: str = "none", id_col:
                 batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(pieces, pa.int64()),
                 pa.array(sha, pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.select("id", "text", "__spans").mapInArrow(
+    return rows.mapInArrow(
         run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def dedup_documents(docs: DataFrame, length: int = 400, keep: str = "first", **options) -> DataFrame:
-    """The documents with repeated strings taken out of ``text``, columns as in ``docs``.
+    """The documents with repeated strings taken out of ``text``, columns as in ``docs``, whatever their names.
 
     A character that loses some of its bytes goes as a whole; n_chars, where
-    there is one, is counted anew.  A text that loses everything stays, empty.
+    there is one, is counted anew.  A text that loses everything stays, empty;
+    of rows equal in doc_id and text one keeps its text with ``keep="first"``.
+    Null and empty texts, and texts below ``length`` bytes, stay; texts of any
+    size are read whole; null ids are ids; an empty table gives no rows.
     """
-    rows = _with_spans(docs, repeated_spans(docs, length, keep, **options), "doc_id", "text")
-    marked = rows.withColumn("__text", F.struct("text", "__spans")).select("__text", *docs.columns)
-    schema = marked.drop("__text").schema
+    rows = _with_spans(_keyed_rows(docs, "doc_id", "text"), repeated_spans(docs, length, keep, **options),
+                       keep == "first")
+    schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            pair = batch.column(0)
             texts = []
-            for text, spans in zip(pair.field(0), pair.field(1).to_pylist()):
-                if not spans:
+            for text, spans, whole in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if text.as_py() is None or not (spans or whole):
                     texts.append(text.as_py())
                     continue
                 raw = text.as_py().encode()
-                texts.append(_kept(raw, _removed(spans, len(raw))).decode("utf-8", "ignore"))
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns[1:], names=batch.schema.names[1:])
-
-    out = marked.mapInArrow(run, schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+                texts.append(_kept(raw, _removed(spans, whole, len(raw))).decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+
+    # The old text goes to Python once, beside the row without it.
+    bare = F.col("row").withField("text", F.lit(None).cast("string"))
+    return with_text(rows.select(bare.alias("row"), F.col("row.text").alias("text"), "spans", "whole").mapInArrow(
+        run, schema), docs)
