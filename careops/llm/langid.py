@@ -112,7 +112,16 @@ class LanguageModel:
 def fit_languages(docs: DataFrame, train: Column | None = None, sample: int = SAMPLE_PER_LANGUAGE,
                   centroids: int = CENTROIDS, id_col: str = "doc_id", text_col: str = "text",
                   lang_col: str = "lang") -> LanguageModel:
-    """Fit on rows with text and language; ``train`` filters them further."""
+    """Fit on rows with text and language; ``train`` filters them further.
+
+    Document frequencies cover all such rows.  The centroids are those of
+    ``sample`` different (id, text) pairs a language at most, the ones with
+    the smallest hashes, so that a repeated id or row counts once; only they
+    meet in one task a language.  Rows with a null id count for the
+    frequencies alone.  Empty texts weigh nothing; very long texts are read
+    whole; a language without any n-gram has no centroid; an empty table
+    teaches nothing.  Other columns are ignored.
+    """
     spark = docs.sparkSession
     python_batches(spark)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -136,15 +145,17 @@ def fit_languages(docs: DataFrame, train: Column | None = None, sample: int = SA
         df[row.slot] = row.n
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + 0.01
 
-    # A bounded number of ids for each language, those with the smallest hashes.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("lang")), "id")
-    chosen = known.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    chosen = chosen.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample).select("id").distinct()
-    texts = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(
-        F.broadcast(chosen), "id", "left_semi")  # at most `sample` ids a language
+    # A bounded number of (id, text) pairs for each language, those with the smallest hashes.
+    keyed = known.filter(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"),
+        F.col(text_col).alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("lang")), "id", "h")
+    chosen = keyed.select("lang", "id", "h").distinct().withColumn("r", F.row_number().over(order)).filter(
+        F.col("r") <= sample).select("lang", "id", "h")
+    texts = keyed.join(chosen, ["lang", "id", "h"], "left_semi").dropDuplicates(["lang", "id", "h"])
 
     def centers(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["id", "text"]).head(2 * sample)
+        frame = frame.sort_values(["id", "h"])
         parts = []
         column = pa.array(frame["text"], pa.string())
         data, offsets = byte_column(column)
