@@ -50,7 +50,9 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from careops.llm.packing import Capacity, pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), Capacity(tokens=2048))
+    # Documents and attention take part in the choice; neither capacity can cost a sequence.
+    capacity = Capacity(tokens=2048, documents=2048, attention=2048 ** 2)
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity)
 
 
 def op6_pair_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
