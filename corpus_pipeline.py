@@ -19,6 +19,10 @@ from careops.llm.suffix_dedup import dedup_documents
 from careops.session import configure
 
 
+# Bytes of a repeat: below those of any fifty words of prose (234 at least, 314 in the middle, in the test tables).
+REPEAT_BYTES = 200
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
@@ -30,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of strings of 400 bytes are taken out of the texts; the first copy stays."""
-    return dedup_documents(docs, length=400, keep="first")
+    """Later copies of strings of ``REPEAT_BYTES`` bytes are taken out of the texts; the first copy stays."""
+    return dedup_documents(docs, length=REPEAT_BYTES, keep="first")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +45,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents and their places in sequences of 2048 tokens."""
-    return pack_documents(docs, tokenizer("word_bpe_49k.json"), Capacity(tokens=2048))
+    capacity = Capacity(tokens=2048, documents=2048, attention=2048 ** 2)
+    return pack_documents(docs, tokenizer("word_bpe_49k.json"), capacity)
 
 
 STAGES = [
