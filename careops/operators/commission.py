@@ -8,24 +8,27 @@ rate text is not a commission ('Free Trial', 'Redelivery', '0', NULL) are
 ignored.  Among equally near lines the smallest rate text wins; lines with
 a NULL net amount are used only when no line with an amount exists.
 
-All tiers are computed without pairing orders with ledger lines (see
-``careops.functions.nearest``), and the ledger is only read, never copied:
-
-* the listed orders come first; the ledger is cut to their restaurants and,
-  for each, to the dates its orders can reach (one row per restaurant), and
-  reduced to one row per ``(restaurant, day)`` with the smallest rate;
-* those rows decide membership: an order with a usable line on its own day
-  is tier 1, else one within a week is tier 2.  Only the restaurants of the
-  orders left over are looked up over all dates (tier 3); an order without
-  any line is tier 4 (a plain anti-join);
-* each order asks only what decides its tier — its own day, the week's days,
-  or the restaurant — and only ledger lines under an asked key are reduced
-  to points of the range sort, so the sort grows with the cancelled orders;
-* an ask carries its tier and the smallest rate under its key (the fallback
-  where no line has an amount), so one aggregate per order settles it.
-
-The ledger meets only written relations, whose size in bytes the planner
-knows: small ones are broadcast to the ledger scan, others shuffled.
+All tiers come out of one sort of ledger points and asks, without pairing
+orders with ledger lines:
+
+* *Blocks.*  Days are cut into short blocks, each day with a place of its
+  own in its block.  The 15 days that an order can reach lie in three or four
+  blocks, so it asks in those, not on 15 days.
+* *Points.*  The ledger is read once, cut to the listed restaurants before it
+  is shuffled (a broadcast or, for a long list, Spark's runtime Bloom filter
+  in front of the scan), and combined to one row, with the smallest rate, for
+  each (restaurant, block, place, net); for lines of any date these rows are
+  combined again to (restaurant, net).
+* *Asks* are combined as well: orders with the same restaurant, date and
+  subtotal ask once.
+* *Sort.*  Points and asks of a (restaurant, block) are sorted by amount, and
+  running windows keep, for each place, the last point below and the next one
+  above; an ask reads off its own day's place (tier 1) and all places that it
+  reaches (tier 2).  Tier 3 is the same sweep with one place for all dates.  A
+  sorted group holds at most one row for each place and different amount,
+  however many lines and orders a busy restaurant has.
+
+Only the listed orders are written; everything else is one lazy plan.
 
 ``commission_tier(k)`` exposes one tier as the warehouse's per-tier table.
 """
@@ -49,13 +52,14 @@ from careops.functions.commission import (
     perc_com,
 )
 from careops.functions.materialize import written
-from careops.functions.nearest import nearest_points
 from careops.functions.predicates import not_in
 
 WEEK_DAYS = 7
-# The day key of restaurant-level (any date) lookups; the level column keeps
-# it apart from real dates.
-ANY_DAY = "1900-01-01"
+# Days of a block: longer blocks mean fewer asks of an order and more windows for every row.
+BLOCK_DAYS = 5
+EPOCH = "1970-01-01"
+_POINT, _ASK = 0, 1
+_ASK_KEY = ("restaurant_id", "block", "day", "subtotal")
 
 
 def usable_ledger(ledger: DataFrame) -> DataFrame:
@@ -67,104 +71,153 @@ def usable_ledger(ledger: DataFrame) -> DataFrame:
     )
 
 
-def _best(candidates: list[Column]) -> Column:
-    """Smallest ``(diff, rate)`` struct among candidates; NULL candidates skipped.
+def _day_number(day: Column) -> Column:
+    return F.datediff(day, F.lit(EPOCH).cast("date"))
 
-    A near candidate always has a non-NULL diff; the all-NULL-diff case is
-    the separate ``any_rate`` fallback, so NULL ordering never matters here.
+
+def ledger_points(lines: DataFrame, span: int) -> DataFrame:
+    """``restaurant_id, block, place, net, rate``: the smallest rate by place in a block of ``span`` days and amount.
+
+    Lines without a date are at a NULL block and place.
     """
-    return F.least(*candidates)
+    number = _day_number(F.col("day"))
+    return lines.groupBy(
+        "restaurant_id",
+        F.floor(number / span).cast("int").alias("block"),
+        F.pmod(number, F.lit(span)).cast("int").alias("place"),
+        "net",
+    ).agg(F.min("commission_rate").alias("rate"))
 
 
-def _choice(s: Column, hit: str) -> Column:
-    """``(diff, rate)`` of a prev/next neighbour struct column (NULL if none)."""
+def order_asks(orders: DataFrame, span: int, reach: int) -> DataFrame:
+    """``restaurant_id, block, day, subtotal, low, high, own``: each different ask in each block that it reaches.
+
+    ``low``..``high`` are the places of the block within ``reach`` days of
+    the date, ``own`` the date's own place where it lies in the block, else
+    NULL.  Orders without a date ask nothing here.
+    """
+    number = _day_number(F.col("day"))
+    start = F.col("block") * span
+    own = number - start
+    blocks = F.sequence(F.floor((number - reach) / span).cast("int"), F.floor((number + reach) / span).cast("int"))
+    different = orders.filter(F.col("restaurant_id").isNotNull() & F.col("day").isNotNull()).select(
+        "restaurant_id", "day", "subtotal").distinct()
+    return different.withColumn("block", F.explode(blocks)).select(
+        "restaurant_id", "block", "day", "subtotal",
+        F.greatest(number - reach - start, F.lit(0)).alias("low"),
+        F.least(number + reach - start, F.lit(span - 1)).alias("high"),
+        F.when((own >= 0) & (own < span), own).alias("own"),
+    )
+
+
+def _nearer(s: Column, hit: str) -> Column:
+    """``(diff, rate)`` of a neighbour column; NULL where there is none or the ask has no amount."""
     c = F.col(hit)
-    return F.when(c.isNotNull(), F.struct(F.abs(c["value"] - s).alias("diff"), c["payload"].alias("rate")))
+    return F.when(c.isNotNull() & s.isNotNull(), F.struct(F.abs(c["net"] - s).alias("diff"), c["rate"].alias("rate")))
+
 
+def answers(points: DataFrame, asks: DataFrame, span: int) -> DataFrame:
+    """Each different ask with the rates of its own day and of all places that it reaches.
 
-def commission_match(orders_alcohol: DataFrame, ledger: DataFrame, tiers: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
+    ``own_near``, ``near``: ``(diff, rate)`` of the nearest point with an
+    amount, NULL if there is none; ``own_any``, ``any``: the smallest rate of
+    any point, NULL if there is no point at all.
+    """
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    net, money = dict(points.dtypes)["net"], dict(asks.dtypes)["subtotal"]
+    p = points.select(
+        "restaurant_id", "block", F.lit(_POINT).alias("kind"), F.col("net").alias("x"), "place", "rate",
+        null("day", "date"), null("subtotal", money), null("low", "int"), null("high", "int"), null("own", "int"),
+    )
+    q = asks.select("restaurant_id", "block", "day", "subtotal", "low", "high", "own").distinct().select(
+        "restaurant_id", "block", F.lit(_ASK).alias("kind"), F.col("subtotal").cast(net).alias("x"), null("place", "int"),
+        null("rate", "string"), "day", "subtotal", "low", "high", "own",
+    )
+    group = Window.partitionBy("restaurant_id", "block")
+    below = group.orderBy(F.col("x").asc_nulls_first(), F.col("kind").asc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    above = group.orderBy(F.col("x").desc_nulls_last(), F.col("kind").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    places = range(span)
+    here = lambda j: (F.col("kind") == _POINT) & (F.col("place") == j)
+    point = lambda j: F.when(
+        here(j) & F.col("x").isNotNull(), F.struct(F.col("x").alias("net"), F.col("rate").alias("rate")))
+    swept = p.unionByName(q).select(
+        "*",
+        *[F.last(point(j), ignorenulls=True).over(below).alias(f"prev{j}") for j in places],
+        *[F.last(point(j), ignorenulls=True).over(above).alias(f"next{j}") for j in places],
+        *[F.min(F.when(here(j), F.col("rate"))).over(group).alias(f"any{j}") for j in places],
+    ).filter(F.col("kind") == _ASK)
+    # Structs compare field by field: the smallest (diff, rate) is the match.
+    near = F.array(*[F.least(_nearer(F.col("x"), f"prev{j}"), _nearer(F.col("x"), f"next{j}")) for j in places])
+    found = F.array(*[F.col(f"any{j}") for j in places])
+    reached = lambda values: F.array_min(F.slice(values, F.col("low") + 1, F.col("high") - F.col("low") + 1))
+    own = lambda values: F.when(F.col("own").isNotNull(), F.get(values, F.col("own")))
+    return swept.select(*_ASK_KEY, own(near).alias("own_near"), own(found).alias("own_any"),
+                        reached(near).alias("near"), reached(found).alias("any"))
+
+
+def _told(orders: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``orders`` with what was found for their key, NULL where nothing was (NULL amounts are a key like any other)."""
+    renamed = found.select(*[F.col(c).alias(f"k_{c}") for c in keys], *[c for c in found.columns if c not in keys])
+    same = F.col(keys[0]) == F.col(f"k_{keys[0]}")
+    for c in keys[1:]:
+        same = same & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    return orders.join(renamed, same, "left").drop(*[f"k_{c}" for c in keys])
+
+
+def commission_match(
+    orders_alcohol: DataFrame, ledger: DataFrame, tiers: Sequence[int] = (1, 2, 3, 4), materialize: bool = True
+) -> DataFrame:
     """``orders, commission_rate, commission_rank`` (rank '1'..'4') per order.
 
-    Only orders settled at one of ``tiers`` are returned; tiers not asked
-    for skip their lookups.  The listed orders, their days with a line, the
-    asks and the lines of tier-3 restaurants are written once each.
+    Only orders settled at one of ``tiers`` are returned; tiers not asked for
+    skip what only they need.  ``materialize`` writes the listed orders,
+    which are read several times; a caller whose ``orders_alcohol`` is stored
+    already passes False.
     """
     tiers = set(tiers)
     lines = usable_ledger(ledger)
     orders = orders_alcohol.select(
-        "orders", "restaurant_id", F.to_date("created_at").alias("day"), "subtotal"
+        "orders", "restaurant_id", F.to_date("created_at").alias("day"), F.col("subtotal"), F.lit(1).alias("listed")
     ).distinct()
     if tiers == {4}:  # no usable line at all for the restaurant: nothing to match
         return _unmatched(orders, lines.select("restaurant_id").distinct())
-    orders = written(orders)
-
-    # The days with a usable line, over the dates that a restaurant's orders reach.
+    if materialize:
+        orders = written(orders)
     reach = 0 if tiers == {1} else WEEK_DAYS
-    day_key = ["restaurant_id", "day"]
-    spans = orders.groupBy("restaurant_id").agg(
-        F.date_sub(F.min("day"), reach).alias("_from"), F.date_add(F.max("day"), reach).alias("_to")
-    )
-    any_day = written(
-        lines.join(spans, "restaurant_id").filter(F.col("day").between(F.col("_from"), F.col("_to")))
-        .groupBy(*day_key).agg(F.min("commission_rate").alias("any_rate"))
-    )
-    wanted = orders.select(
-        "orders", "restaurant_id", "subtotal", "day",
-        F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("offset"),
-    ).withColumn("day", F.date_add("day", F.col("offset")))
-
-    # An order with a line on its own day asks for that day alone (tier 1),
-    # others for every day of the week that has one (tier 2).
-    own = F.col("offset") == 0
-    settled_own = F.max(own).over(Window.partitionBy("orders"))
-    day_asks = written(
-        wanted.join(any_day, day_key)
-        .withColumn("tier", F.when(settled_own, 1).otherwise(2))
-        .filter(own | (F.col("tier") == 2))
-        .select(F.lit(0).alias("level"), *day_key, "orders", "offset", "subtotal", "any_rate", "tier")
-    )
-    asks = day_asks.filter(F.col("tier").isin(sorted(tiers)))
-    points = (
-        lines.filter(F.col("net").isNotNull())
-        .join(asks.select(*day_key).distinct(), day_key, "left_semi")
-        .groupBy(*day_key, "net").agg(F.min("commission_rate").alias("rate"))
-        .select(F.lit(0).alias("level"), *day_key, "net", "rate")
-    )
-    unsettled = None
+    span = min(BLOCK_DAYS, 2 * reach + 1)
+
+    # Lines of other restaurants never reach a shuffle: a short list is broadcast; in front of a join with a long
+    # one Spark puts a Bloom filter of it (it wants a comparison on the list: ``listed``, which always holds).
+    listed = orders.filter(F.col("listed") >= 1).select("restaurant_id")
+    points = ledger_points(lines.join(listed, "restaurant_id", "left_semi"), span)
+    week = answers(points, order_asks(orders, span, reach), span).groupBy("restaurant_id", "day", "subtotal").agg(
+        F.min("own_near").alias("near1"), F.min("own_any").alias("any1"),
+        F.min("near").alias("near2"), F.min("any").alias("any2"))
+    told = _told(orders, week, ["restaurant_id", "day", "subtotal"])
+    none = F.lit(None)
     if tiers & {3, 4}:
-        # Orders without a line within a week look over all dates.
-        far = orders.join(day_asks.select("orders"), "orders", "left_anti")
-        far_lines = written(
-            lines.join(far.select("restaurant_id").distinct(), "restaurant_id", "left_semi")
-            .groupBy("restaurant_id", "net").agg(F.min("commission_rate").alias("rate"))
-        )
-        any_rest = far_lines.groupBy("restaurant_id").agg(F.min("rate").alias("any_rate"))
-        level_day = F.lit(ANY_DAY).cast("date").alias("day")
-        if 3 in tiers:
-            asks = asks.unionByName(far.join(any_rest, "restaurant_id").select(
-                F.lit(1).alias("level"), "restaurant_id", level_day, "orders",
-                F.lit(None).cast("int").alias("offset"), "subtotal", "any_rate", F.lit(3).alias("tier"),
-            ))
-            points = points.unionByName(far_lines.filter(F.col("net").isNotNull()).select(
-                F.lit(1).alias("level"), "restaurant_id", level_day, "net", "rate",
-            ))
-        if 4 in tiers:
-            unsettled = _unmatched(far, any_rest)
-
-    ask = F.concat_ws(":", *[F.col(c).cast("string") for c in ("orders", "level", "offset")])
-    near = nearest_points(
-        points, asks.withColumn("ask", ask), ["level", "restaurant_id", "day"],
-        point_value="net", point_payload="rate", query_id="ask", query_value="subtotal",
-        carry=["orders", "tier", "any_rate"],
-    )
-    s = F.col("subtotal")
-    # Structs compare field by field: the smallest (diff, rate) is the match.
-    matched = near.groupBy("orders").agg(
-        F.min("tier").cast("string").alias("commission_rank"),
-        F.min("any_rate").alias("_any"),
-        F.min(_best([_choice(s, "prev"), _choice(s, "next")])).alias("_near"),
-    ).select("orders", F.coalesce(F.col("_near.rate"), F.col("_any")).alias("commission_rate"), "commission_rank")
-    return matched if unsettled is None else matched.unionByName(unsettled)
+        # The same points without their dates: the ledger's exchange is used again.
+        undated = points.groupBy("restaurant_id", "net").agg(F.min("rate").alias("rate")).select(
+            "restaurant_id", F.lit(0).alias("block"), F.lit(0).alias("place"), "net", "rate")
+        asks = orders.filter(F.col("restaurant_id").isNotNull()).select("restaurant_id", "subtotal").distinct().select(
+            "restaurant_id", F.lit(0).alias("block"), none.cast("date").alias("day"), "subtotal", F.lit(0).alias("low"),
+            F.lit(0).alias("high"), none.cast("int").alias("own"))
+        ever = answers(undated, asks, 1).select(
+            "restaurant_id", "subtotal", F.col("near").alias("near3"), F.col("any").alias("any3"))
+        told = _told(told, ever, ["restaurant_id", "subtotal"])
+    else:
+        told = told.withColumn("near3", none.cast(told.schema["near2"].dataType)).withColumn("any3", none.cast("string"))
+    best = told.groupBy("orders").agg(*[F.min(f"{c}{k}").alias(f"{c}{k}") for k in (1, 2, 3) for c in ("near", "any")])
+    rank, rate = F.lit("4"), F.lit(DEFAULT_RATE_TEXT)
+    for k in (3, 2, 1):  # a lower tier wins wherever it has a line
+        rank = F.when(F.col(f"any{k}").isNotNull(), F.lit(str(k))).otherwise(rank)
+        rate = F.when(F.col(f"any{k}").isNotNull(), F.coalesce(F.col(f"near{k}")["rate"], F.col(f"any{k}"))).otherwise(rate)
+    matched = best.select("orders", rate.alias("commission_rate"), rank.alias("commission_rank"))
+    return matched.filter(F.col("commission_rank").isin([str(t) for t in sorted(tiers)]))
 
 
 def _unmatched(orders: DataFrame, restaurants: DataFrame) -> DataFrame:
@@ -186,9 +239,9 @@ def with_rates(match: DataFrame) -> DataFrame:
     )
 
 
-def commission_combined(orders_alcohol: DataFrame, ledger: DataFrame) -> DataFrame:
+def commission_combined(orders_alcohol: DataFrame, ledger: DataFrame, materialize: bool = True) -> DataFrame:
     """One commission row per order with its tier (B20–B23 together)."""
-    return with_rates(commission_match(orders_alcohol, ledger))
+    return with_rates(commission_match(orders_alcohol, ledger, materialize=materialize))
 
 
 def commission_tier(orders_alcohol: DataFrame, ledger: DataFrame, tier: int) -> DataFrame:

@@ -40,6 +40,22 @@ def order_adjustments(adjustments: DataFrame, order_list: DataFrame) -> DataFram
     )
 
 
+def settled_orders(
+    order_list: DataFrame, orders: DataFrame, restaurants: DataFrame, statuses: Sequence[str] = SETTLED_STATUSES
+) -> DataFrame:
+    """Listed settled orders of known restaurants: ``orders, created_at, restaurant_id``, names, ``subtotal``.
+
+    All that the commission match needs to know of an order; ``subtotal`` is
+    the order's text subtotal as ``decimal(10,2)``.
+    """
+    sub = orders.filter(F.col("status").isin(list(statuses))).select(
+        F.col("id").alias("orders"), "created_at", "restaurant_id", F.col("subtotal").cast("decimal(10,2)").alias("subtotal")
+    )
+    listed = order_list.select("orders")  # a semi-join: repeated ids change nothing
+    names = restaurants.select("restaurant_id", "restaurant_name", "restaurant_company")
+    return sub.join(listed, "orders", "left_semi").join(names, "restaurant_id")
+
+
 def orders_with_alcohol(
     order_list: DataFrame,
     order_adj: DataFrame,
@@ -54,16 +70,10 @@ def orders_with_alcohol(
     ``alcohol_cost`` is 0 for orders without alcohol; ``subtotal`` is the
     order's text subtotal as ``decimal(10,2)``.
     """
-    listed = order_list.select("orders")  # a semi-join: repeated ids change nothing
-    sub = orders.filter(F.col("status").isin(list(statuses))).select(
-        F.col("id").alias("orders"), "created_at", "restaurant_id", "subtotal"
-    )
-    rm = restaurants.select("restaurant_id", "restaurant_name", "restaurant_company")
     df = (
-        sub.join(listed, "orders", "left_semi")
+        settled_orders(order_list, orders, restaurants, statuses)
         .join(order_adj.select("orders", "adjustment_cost"), "orders", "left")
         .join(alcohol.select(F.col("order_id").alias("orders"), "order_total"), "orders", "left")
-        .join(rm, "restaurant_id")
     )
     return df.select(
         "orders",
@@ -73,7 +83,7 @@ def orders_with_alcohol(
         "restaurant_id",
         "restaurant_name",
         "restaurant_company",
-        F.col("subtotal").cast("decimal(10,2)").alias("subtotal"),
+        "subtotal",
         F.coalesce(F.col("order_total"), F.lit(0)).cast(MONEY).alias("alcohol_cost"),
     ).distinct()
 
