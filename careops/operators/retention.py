@@ -12,16 +12,19 @@ Scale notes:
 * contact sources are deduplicated with a partial (map-side) aggregate;
 * self-serve claims are pre-aggregated to one ``(order_id, count)`` row per
   order before the flag join, so a hot order never moves its duplicates;
-* the activity join reads orders reduced to distinct ``(user_id, day)``
-  inside the only date span that can match, so a user with millions of
-  orders contributes at most one row per day.
+* the activity join reads one row per customer, an array of order days
+  combined map-side from a bit mask per window of days, so a user with
+  millions of orders sends a few small rows and the join multiplies nothing;
+* a cohort row's return weeks are a bit mask (bit w - 1 for week w).  Reports
+  count users from masks: one row per user and cohort, no distinct over
+  (cohort, week, user).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careops.functions.predicates import is_true, ts_between
@@ -143,30 +146,38 @@ def cohort_contact_flags(
     return replicate_rows(df.select(*out, copies), "_copies")
 
 
-def retention_activity(
+def return_weeks(
     flags: DataFrame,
     orders: DataFrame,
     horizon_weeks: int = 12,
     exclusive: bool = False,
     cohort_window: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Distinct ``(user_id, cohort, flags..., week_round)`` of return orders.
+    """One row per ``(user_id, cohort, flags...)`` with ``weeks``, the bit mask of return weeks (bit w - 1: week w).
 
     A return order has a delivery date strictly after the first order date
-    and at most ``horizon_weeks`` weeks after it; ``week_round`` is
-    ``ceil(days / 7)`` (1..horizon).  Users who never came back do not
-    appear (the warehouse's WHERE turns its LEFT JOIN into an inner one).
+    and at most ``horizon_weeks`` weeks after it; its week is
+    ``ceil(days / 7)`` (1..horizon).  Users who never came back do not appear
+    (the warehouse's WHERE turns its LEFT JOIN into an inner one).
     ``exclusive`` drops users flagged both ways.  ``cohort_window`` (the
     first-order window) lets the orders scan be cut to the only dates that
     can match.
+
+    Both sides are combined to one row per user before their only exchange
+    (different flag rows; different order days), the join multiplies nothing,
+    and the masks need no further exchange.
     """
+    if not 1 <= horizon_weeks <= 62:
+        raise ValueError("a mask holds 1 to 62 weeks")
     flag_cols = [c for c in FLAGS if c in flags.columns]
     horizon_days = 7 * horizon_weeks
-    # Deduplicated before any shuffle (partial aggregate), so a flag row
-    # repeated many times (B05 keeps claim multiplicity) never moves as copies.
-    cc = flags.select("user_id", "cohort", *flag_cols, "first_order_date").distinct()
+    # A flag row repeated many times (B05 keeps claim multiplicity) is one entry of its user's set.
+    cc = flags.filter(F.col("user_id").isNotNull())
     if exclusive:
         cc = cc.filter(sum(F.col(c) for c in flag_cols) < 2)
+    users = cc.groupBy("user_id").agg(
+        F.collect_set(F.struct("cohort", *flag_cols, "first_order_date")).alias("_flags")
+    )
 
     day = F.to_date("delivered_at")
     o = orders.select("user_id", "delivered_at")
@@ -174,43 +185,78 @@ def retention_activity(
         lo = F.to_date(F.lit(cohort_window[0]).cast("timestamp_ntz"))
         hi = F.date_add(F.to_date(F.lit(cohort_window[1]).cast("timestamp_ntz")), horizon_days)
         o = o.filter((day > lo) & (day <= hi))
-    days = o.select(F.col("user_id").alias("_uid"), day.alias("_day")).distinct()
-
-    gap = F.datediff(F.col("_day"), F.col("first_order_date"))
-    joined = cc.join(
-        days,
-        (cc["user_id"] == days["_uid"])
-        & (days["_day"] > cc["first_order_date"])
-        & (days["_day"] <= F.date_add(cc["first_order_date"], horizon_days)),
+    days = o.filter(F.col("user_id").isNotNull()).groupBy(F.col("user_id").alias("_uid")).agg(
+        F.collect_set(day).alias("_days")
     )
-    return joined.select(
-        "user_id",
-        "cohort",
-        *flag_cols,
-        F.ceil(gap / F.lit(7)).cast("bigint").alias("week_round"),
-    ).distinct()
+
+    one = F.lit(1).cast("long")
+
+    def week_bit(mask: Column, d: Column) -> Column:
+        gap = F.datediff(d, F.col("_f.first_order_date"))
+        week = F.floor((gap + 6) / 7).cast("int")  # ceil(gap / 7) of a positive gap
+        bit = F.call_function("shiftleft", one, week - 1)
+        return F.when((gap > 0) & (gap <= horizon_days), mask.bitwiseOR(bit)).otherwise(mask)
+
+    joined = users.join(days, users["user_id"] == days["_uid"]).select(
+        "user_id", "_days", F.explode("_flags").alias("_f")
+    )
+    masks = joined.select(
+        "user_id", *[F.col(f"_f.{c}").alias(c) for c in ("cohort", *flag_cols)],
+        F.aggregate("_days", F.lit(0).cast("long"), week_bit).alias("_weeks"),
+    ).filter(F.col("_weeks") != 0)
+    return masks.groupBy("user_id", "cohort", *flag_cols).agg(F.bit_or("_weeks").alias("weeks"))
+
+
+def week_bits(weeks: str, horizon_weeks: int) -> Column:
+    """The weeks of a mask, as an array of numbers."""
+    return F.filter(
+        F.sequence(F.lit(1).cast("long"), F.lit(horizon_weeks).cast("long")),
+        lambda w: F.call_function("shiftright", F.col(weeks), (w - 1).cast("int")).bitwiseAND(1) == 1,
+    )
+
+
+def retention_activity(
+    flags: DataFrame,
+    orders: DataFrame,
+    horizon_weeks: int = 12,
+    exclusive: bool = False,
+    cohort_window: tuple[str, str] | None = None,
+) -> DataFrame:
+    """Distinct ``(user_id, cohort, flags..., week_round)`` of return orders (see ``return_weeks``)."""
+    masks = return_weeks(flags, orders, horizon_weeks, exclusive, cohort_window)
+    rest = [c for c in masks.columns if c != "weeks"]
+    return masks.select(*rest, F.explode(week_bits("weeks", horizon_weeks)).alias("week_round"))
+
+
+def _users(masks: DataFrame, flag: str, value: int) -> DataFrame:
+    """``user_id, cohort, weeks`` for one flag value: a user counts once in a cohort."""
+    return masks.filter(F.col(flag) == value).groupBy("user_id", "cohort").agg(F.bit_or("weeks").alias("weeks"))
 
 
-def retained_users(activity: DataFrame, flag: str, value: int) -> DataFrame:
-    """Distinct users per (cohort, week_round) for one flag value."""
+def retained_users(masks: DataFrame, flag: str, value: int, horizon_weeks: int = 12) -> DataFrame:
+    """Distinct users per (cohort, week_round) for one flag value, from ``return_weeks``.
+
+    Each week is one sum over the masks, combined before the exchange.
+    """
+    weeks = range(1, horizon_weeks + 1)
+    bit = lambda w: F.call_function("shiftright", F.col("weeks"), F.lit(w - 1)).bitwiseAND(1)
+    sums = _users(masks, flag, value).groupBy("cohort").agg(*[F.sum(bit(w)).alias(f"_w{w}") for w in weeks])
+    counts = F.array(*[
+        F.struct(F.col(f"_w{w}").alias("retained_users"), F.lit(w).cast("long").alias("week_round")) for w in weeks
+    ])
     return (
-        activity.filter(F.col(flag) == value)
-        .groupBy("cohort", "week_round")
-        .agg(F.count_distinct("user_id").alias("retained_users"))
-        .select("cohort", "retained_users", "week_round")
+        sums.select("cohort", F.explode(counts).alias("_c"))
+        .select("cohort", "_c.retained_users", "_c.week_round")
+        .filter(F.col("retained_users") > 0)
         .orderBy("cohort", "week_round")
     )
 
 
-def cohort_totals(activity: DataFrame, flag: str, value: int, with_cohort: bool = True) -> DataFrame:
-    """Distinct returning users per cohort for one flag value.
+def cohort_totals(masks: DataFrame, flag: str, value: int, with_cohort: bool = True) -> DataFrame:
+    """Distinct returning users per cohort for one flag value, from ``return_weeks``.
 
     Counts users who came back at least once, not the cohort size.
     ``with_cohort=False`` drops the cohort column (still grouped by it).
     """
-    df = (
-        activity.filter(F.col(flag) == value)
-        .groupBy("cohort")
-        .agg(F.count_distinct("user_id").alias("cohort_total"))
-    )
+    df = _users(masks, flag, value).groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_total"))
     return df.select("cohort_total", "cohort").orderBy("cohort") if with_cohort else df.select("cohort_total")

@@ -67,44 +67,46 @@ def activity(
     two_flags: bool,
     exclusive: bool = False,
     contact_window: tuple[str, str] | None = None,
+    masks: bool = False,
 ) -> DataFrame:
+    """B06 rows, or with ``masks`` one row per user with the mask of return weeks, which the reports count from."""
     f = flags(src, p, cohorts, two_flags, keep_duplicates=False, contact_window=contact_window)
-    return retention.retention_activity(
-        f, src.orders, p.horizon_weeks, exclusive=exclusive, cohort_window=window
-    )
+    build = retention.return_weeks if masks else retention.retention_activity
+    return build(f, src.orders, p.horizon_weeks, exclusive=exclusive, cohort_window=window)
 
 
 # The four original retention analyses: (retained report, totals report).
 def retention_day(src: Sources, p: Params) -> tuple[DataFrame, DataFrame]:
     act = activity(
-        src, p, day_cohorts(src, p), p.day_window, two_flags=False, contact_window=p.day_contact_window
+        src, p, day_cohorts(src, p), p.day_window, two_flags=False, contact_window=p.day_contact_window,
+        masks=True,
     )
     return (
-        retention.retained_users(act, "cs_contact", 0),
+        retention.retained_users(act, "cs_contact", 0, p.horizon_weeks),
         retention.cohort_totals(act, "cs_contact", 0),
     )
 
 
 def retention_core_zone(src: Sources, p: Params) -> tuple[DataFrame, DataFrame]:
-    act = activity(src, p, week_cohorts(src, p, "core_zone"), p.week_window, two_flags=False)
+    act = activity(src, p, week_cohorts(src, p, "core_zone"), p.week_window, two_flags=False, masks=True)
     return (
-        retention.retained_users(act, "cs_contact", 1),
+        retention.retained_users(act, "cs_contact", 1, p.horizon_weeks),
         retention.cohort_totals(act, "cs_contact", 0),
     )
 
 
 def retention_self_serve(src: Sources, p: Params) -> tuple[DataFrame, DataFrame]:
-    act = activity(src, p, week_cohorts(src, p, "plain"), p.week_window, two_flags=True, exclusive=True)
+    act = activity(src, p, week_cohorts(src, p, "plain"), p.week_window, two_flags=True, exclusive=True, masks=True)
     return (
-        retention.retained_users(act, "self_serve", 1),
+        retention.retained_users(act, "self_serve", 1, p.horizon_weeks),
         retention.cohort_totals(act, "self_serve", 1),
     )
 
 
 def retention_geo(src: Sources, p: Params) -> tuple[DataFrame, DataFrame]:
-    act = activity(src, p, week_cohorts(src, p, "geo"), p.week_window, two_flags=True)
+    act = activity(src, p, week_cohorts(src, p, "geo"), p.week_window, two_flags=True, masks=True)
     return (
-        retention.retained_users(act, "cs_contact", 0),
+        retention.retained_users(act, "cs_contact", 0, p.horizon_weeks),
         retention.cohort_totals(act, "cs_contact", 1, with_cohort=False),
     )
 
@@ -172,17 +174,20 @@ def orders_alcohol(src: Sources, p: Params, materialize: bool = True) -> DataFra
     )
 
 
-# The commission match reads four columns of the enriched orders; Catalyst
-# prunes the alcohol and adjustment branches, so they stay lazy here.
+def settled(src: Sources, p: Params) -> DataFrame:
+    return payments.settled_orders(src.order_list, src.orders, src.restaurants)
+
+
+# The commission match asks nothing about alcohol or adjustments, so items and adjustments are not read for it.
 def commission_combined(src: Sources, p: Params) -> DataFrame:
-    return commission.commission_combined(orders_alcohol(src, p, materialize=False), src.ledger)
+    return commission.commission_combined(settled(src, p), src.ledger)
 
 
 def commission_tier(src: Sources, p: Params, tier: int) -> DataFrame:
-    return commission.commission_tier(orders_alcohol(src, p, materialize=False), src.ledger, tier)
+    return commission.commission_tier(settled(src, p), src.ledger, tier)
 
 
 def payment_adjustment(src: Sources, p: Params) -> DataFrame:
-    # Read by the commission match and by the final join: write it once.
-    oa = written(orders_alcohol(src, p))
-    return payments.payment_adjustment(commission.commission_combined(oa, src.ledger), oa)
+    # Read by the commission match and by the final join: the one relation that is written.
+    oa = written(orders_alcohol(src, p, materialize=False))
+    return payments.payment_adjustment(commission.commission_combined(oa, src.ledger, materialize=False), oa)

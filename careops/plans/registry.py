@@ -60,8 +60,9 @@ def _retention_flags(src, p, two_flags: bool):
     return C.flags(src, p, C.week_cohorts(src, p, "plain"), two_flags=two_flags)
 
 
-def _retention_activity(src, p, exclusive: bool):
-    return C.activity(src, p, C.week_cohorts(src, p, "plain"), p.week_window, two_flags=True, exclusive=exclusive)
+def _retention_activity(src, p, exclusive: bool, masks: bool = False):
+    return C.activity(
+        src, p, C.week_cohorts(src, p, "plain"), p.week_window, two_flags=True, exclusive=exclusive, masks=masks)
 
 
 def _spark_queries() -> dict[str, Callable]:
@@ -79,8 +80,9 @@ def _spark_queries() -> dict[str, Callable]:
         "cohort_contact_flags_contact_only": lambda s, p: _retention_flags(s, p, two_flags=False),
         "retention_activity": lambda s, p: _retention_activity(s, p, exclusive=False),
         "retention_activity_exclusive": lambda s, p: _retention_activity(s, p, exclusive=True),
-        "retained_users": lambda s, p: R.retained_users(_retention_activity(s, p, False), "cs_contact", 0),
-        "cohort_totals": lambda s, p: R.cohort_totals(_retention_activity(s, p, False), "cs_contact", 0),
+        "retained_users": lambda s, p: R.retained_users(
+            _retention_activity(s, p, False, masks=True), "cs_contact", 0, p.horizon_weeks),
+        "cohort_totals": lambda s, p: R.cohort_totals(_retention_activity(s, p, False, masks=True), "cs_contact", 0),
         # the four retention analyses
         "retention_day_retained": lambda s, p: C.retention_day(s, p)[0],
         "retention_day_totals": lambda s, p: C.retention_day(s, p)[1],

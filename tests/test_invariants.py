@@ -105,10 +105,15 @@ def test_first_orders_limit_before_shuffle(spark):
     assert "row_number(), 1, Partial" in plan  # top-1 per customer before the exchange
 
 
-def test_distinct_count_expands_before_grouping(spark):
-    plan = _plan(E.queries()["retained_users"](spark, SF_SMALL))
-    assert "partial_count(distinct user_id" in plan
-    assert "keys=[cohort#" in plan and "week_round#" in plan and "user_id#" in plan
+def test_reports_count_from_masks_without_distinct(spark, src):
+    """Flags and order days are combined by user before their only exchange; masks and users need none."""
+    plan = _plan(C.retention_geo(src, TESTDATA)[0])
+    assert "distinct" not in plan and "partial_collect_set" in plan and "partial_bit_or" in plan
+    below = plan[plan.index("collect_set"):]
+    assert below.count("hashpartitioning(user_id#") >= 2
+    # Above the two collected sides: one exchange for the cohorts' sums and one for the order of the report.
+    above = plan[:plan.index("collect_set")]
+    assert above.count("Exchange") <= 2
 
 
 def _nodes(node):
@@ -129,8 +134,8 @@ def _restaurant_joins(df) -> list[tuple[str, bool]]:
     """Joins of ledger rows on the restaurant key, and whether each is free of pairing.
 
     A join on the restaurant key alone pairs every order with every ledger
-    line of its restaurant.  It must also be keyed by day, level or partition
-    id, only filter, or have a side with one row per key.
+    line of its restaurant.  It must also be keyed by the day or amount of an
+    ask, only filter, or have a side with one row per key.
     """
     found = []
     for node in _nodes(df._jdf.queryExecution().optimizedPlan()):
@@ -138,12 +143,12 @@ def _restaurant_joins(df) -> list[tuple[str, bool]]:
             continue
         cond = node.condition().get().toString()
         ledger = any(
-            re.search(r"\b(commission_rate|restaurant_order_net|net|rate|any_rate)#", side.output().toString())
+            re.search(r"\b(commission_rate|restaurant_order_net|net|rate|near\d|any\d)#", side.output().toString())
             for side in (node.left(), node.right())
         )
         if "restaurant_id" not in cond or not ledger:
             continue
-        keyed = re.search(r"\b(day|level|_pid)#\d+L? (=|<=>) (day|level|_pid)#", cond) is not None
+        keyed = re.search(r"\b(k_)?(day|subtotal)#\d+L? (=|<=>) (k_)?(day|subtotal)#", cond) is not None
         filters = node.joinType().toString() in ("LeftSemi", "LeftAnti")
         found.append((cond, keyed or filters or _unique_side(node.left()) or _unique_side(node.right())))
     return found
@@ -153,8 +158,8 @@ def test_commission_plan_has_no_order_ledger_pairing(spark):
     with recorded() as cut:
         df = E.queries()["commission_combined"](spark, SF_SMALL)
     joins = [j for frame in [*cut, df] for j in _restaurant_joins(frame)]
-    # the dates of a restaurant, its days with a line, asked points, tier-3 lines
-    assert len(cut) >= 5 and len(joins) >= 4
+    # the listed restaurants cut the ledger; orders meet their answers of the week and of any date
+    assert len(cut) == 1 and len(joins) >= 3
     bad = [cond for cond, fine in joins if not fine]
     assert not bad, bad
 
