@@ -6,6 +6,9 @@ holds a true positive and is not on a second exclusion list (false
 negatives).  The alcohol cost of an order is the sum of quantity × unit
 price over both sets.
 
+``alcohol_totals_one_scan`` gives the totals (B17) of both sets from one
+scan of the items.
+
 Scale notes: the order list only filters items, so it is applied as a
 semi-join; the planner chooses its form from the sizes in bytes.  The category
 set of the true positives is a distinct projection (one row per category).
@@ -78,3 +81,47 @@ def alcohol_order_totals(true_positives: DataFrame, false_negatives: DataFrame)
     return both.groupBy("order_id").agg(
         F.sum(F.col("oi_quantity") * F.col("oi_unit_price")).cast("decimal(18,2)").alias("order_total")
     )
+
+
+def alcohol_totals_one_scan(
+    items: DataFrame,
+    order_list: DataFrame,
+    misflagged_categories: Sequence[str],
+    not_alcohol_categories: Sequence[str],
+    not_alcohol_prefix: str | None = None,
+) -> DataFrame:
+    """B17 from the items: what ``alcohol_order_totals`` of B15 and B16 gives, with one scan.
+
+    Every line that can count (flagged outside the mis-flagged categories, or
+    unflagged outside the second list) is read and made distinct once, then
+    summed by order and category, evidence (a true positive) apart from
+    candidates.  Those sums are small; the categories that have evidence come
+    out of them and decide which candidates' sums count.  Both readers of the
+    sums share the exchange below them.
+    """
+    category = F.col("mi_menu_category_name")
+    evidence = is_true("mi_alcohol") & not_in("mi_menu_category_name", misflagged_categories)
+    candidate = is_false("mi_alcohol") & not_in("mi_menu_category_name", not_alcohol_categories)
+    if not_alcohol_prefix is not None:
+        candidate = candidate & ~category.startswith(not_alcohol_prefix)
+    lines = listed_items(items, order_list).filter(evidence | candidate).select(*ITEM_COLUMNS).distinct()
+    cost = F.col("oi_quantity") * F.col("oi_unit_price")
+    sums = lines.groupBy("order_id", "mi_menu_category_name").agg(
+        F.sum(F.when(F.col("mi_alcohol"), cost)).alias("_flagged"),
+        F.sum(F.when(~F.col("mi_alcohol"), cost)).alias("_other"),
+        F.count(F.when(F.col("mi_alcohol"), 1)).alias("_evidence"),
+        F.count(F.when(~F.col("mi_alcohol"), 1)).alias("_candidates"),
+    )
+    known = sums.filter(F.col("_evidence") > 0).select(category.alias("_category")).distinct()
+    joined = sums.join(known, category == F.col("_category"), "left")
+    counted = F.col("_category").isNotNull() & (F.col("_candidates") > 0)
+    part = F.struct(F.col("_flagged").alias("a"), F.when(counted, F.col("_other")).alias("b"))
+    return (
+        joined.filter((F.col("_evidence") > 0) | counted)
+        .select("order_id", part.alias("_p"))
+        .groupBy("order_id")
+        .agg(F.sum("_p.a").alias("_a"), F.sum("_p.b").alias("_b"))
+        .select("order_id", F.when(
+            F.col("_a").isNotNull() | F.col("_b").isNotNull(),
+            F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))).cast("decimal(18,2)").alias("order_total"))
+    )

@@ -15,32 +15,49 @@ from careops.plans.params import Params
 from careops.sources.catalog import Sources
 
 
+# What the analyses read of each relation; only these columns are checked and scanned.
+_FIRST_ORDERS = ("user_id", "id", "delivered_at", "order_rank_user")
+_RETURNS = ("user_id", "delivered_at")
+_SETTLED = ("id", "created_at", "restaurant_id", "subtotal", "status")
+
+
+def _use(src: Sources, name: str, *columns: str) -> DataFrame:
+    return src.use(name, *columns) if isinstance(src, Sources) else getattr(src, name)
+
+
 # ----------------------------------------------------------------- retention
 def week_cohorts(src: Sources, p: Params, variant: str = "plain") -> DataFrame:
     start, end = p.week_window
     if variant == "plain":
-        return retention.first_order_cohort_week(src.orders, start, end, p.week_offset)
+        return retention.first_order_cohort_week(_use(src, "orders", *_FIRST_ORDERS), start, end, p.week_offset)
     if variant == "core_zone":
         return retention.first_order_cohort_week(
-            src.orders, start, end, p.core_zone_week_offset, zones=src.zones
+            _use(src, "orders", *_FIRST_ORDERS, "zone_id"), start, end, p.core_zone_week_offset, zones=src.zones
         )
     if variant == "geo":
         return retention.first_order_cohort_week(
-            src.orders, start, end, p.week_offset, countries=p.geo_countries, cities=p.geo_cities
+            _use(src, "orders", *_FIRST_ORDERS, "country_name", "city_name"), start, end, p.week_offset,
+            countries=p.geo_countries, cities=p.geo_cities
         )
     raise ValueError(variant)
 
 
 def day_cohorts(src: Sources, p: Params) -> DataFrame:
-    return retention.first_order_cohort_day(src.orders, *p.day_window)
+    return retention.first_order_cohort_day(_use(src, "orders", *_FIRST_ORDERS), *p.day_window)
 
 
 def contacted(src: Sources, p: Params, window: tuple[str, str] | None = None) -> DataFrame:
-    return retention.contacted_orders(src.calls, src.chats, src.emails, *(window or p.contact_window), lob=p.lob)
+    return retention.contacted_orders(
+        _use(src, "calls", "order_id", "origin_lob", "start_timestamp"),
+        _use(src, "chats", "order_id", "lob", "chat_timestamp"),
+        _use(src, "emails", "order_id", "lob", "created_at"),
+        *(window or p.contact_window), lob=p.lob,
+    )
 
 
 def self_served(src: Sources, p: Params) -> DataFrame:
-    return retention.self_serve_orders(src.claims, *p.contact_window)
+    return retention.self_serve_orders(
+        _use(src, "claims", "order_id", "is_self_serve_claim", "claim_time"), *p.contact_window)
 
 
 def flags(
@@ -72,7 +89,7 @@ def activity(
     """B06 rows, or with ``masks`` one row per user with the mask of return weeks, which the reports count from."""
     f = flags(src, p, cohorts, two_flags, keep_duplicates=False, contact_window=contact_window)
     build = retention.return_weeks if masks else retention.retention_activity
-    return build(f, src.orders, p.horizon_weeks, exclusive=exclusive, cohort_window=window)
+    return build(f, _use(src, "orders", *_RETURNS), p.horizon_weeks, exclusive=exclusive, cohort_window=window)
 
 
 # The four original retention analyses: (retained report, totals report).
@@ -151,31 +168,24 @@ def false_negatives(src: Sources, p: Params) -> DataFrame:
     )
 
 
-def alcohol_totals(src: Sources, p: Params, materialize: bool = True) -> DataFrame:
-    # The true positives (alcohol lines only: small) feed both the category
-    # set of the false negatives and the totals; writing them once saves a
-    # second scan of the items table.
-    tp = true_positives(src, p)
-    if materialize:
-        tp = written(tp)
-    fn = alcohol.alcohol_false_negatives(
-        src.items, src.order_list, tp, p.not_alcohol_categories, p.not_alcohol_prefix
+def alcohol_totals(src: Sources, p: Params) -> DataFrame:
+    return alcohol.alcohol_totals_one_scan(
+        src.items, src.order_list, p.misflagged_categories, p.not_alcohol_categories, p.not_alcohol_prefix
     )
-    return alcohol.alcohol_order_totals(tp, fn)
 
 
 def adjustments(src: Sources, p: Params) -> DataFrame:
     return payments.order_adjustments(src.adjustments, src.order_list)
 
 
-def orders_alcohol(src: Sources, p: Params, materialize: bool = True) -> DataFrame:
+def orders_alcohol(src: Sources, p: Params) -> DataFrame:
     return payments.orders_with_alcohol(
-        src.order_list, adjustments(src, p), src.orders, alcohol_totals(src, p, materialize), src.restaurants
+        src.order_list, adjustments(src, p), _use(src, "orders", *_SETTLED), alcohol_totals(src, p), src.restaurants
     )
 
 
 def settled(src: Sources, p: Params) -> DataFrame:
-    return payments.settled_orders(src.order_list, src.orders, src.restaurants)
+    return payments.settled_orders(src.order_list, _use(src, "orders", *_SETTLED), src.restaurants)
 
 
 # The commission match asks nothing about alcohol or adjustments, so items and adjustments are not read for it.
@@ -189,5 +199,5 @@ def commission_tier(src: Sources, p: Params, tier: int) -> DataFrame:
 
 def payment_adjustment(src: Sources, p: Params) -> DataFrame:
     # Read by the commission match and by the final join: the one relation that is written.
-    oa = written(orders_alcohol(src, p, materialize=False))
+    oa = written(orders_alcohol(src, p))
     return payments.payment_adjustment(commission.commission_combined(oa, src.ledger, materialize=False), oa)

@@ -10,7 +10,11 @@ from careops.sources.schemas import check_columns
 
 
 class Sources:
-    """Lazily built, column-checked relations.
+    """Lazily built relations, checked for the columns that are read and their types.
+
+    ``src.orders`` / ``src["orders"]`` is the whole relation, all columns
+    checked; ``src.use("orders", "id", ...)`` checks and reads only the named
+    ones, so a table that lacks columns of other analyses still serves.
 
     Each entry is a DataFrame or a zero-argument factory returning one; the
     factory runs once, on first use, and only builds a logical plan (no job).
@@ -20,13 +24,19 @@ class Sources:
         self._factories = dict(relations)
         self._built: dict[str, DataFrame] = {}
 
-    def __getitem__(self, name: str) -> DataFrame:
+    def _raw(self, name: str) -> DataFrame:
         if name not in self._built:
             item = self._factories[name]
-            df = item() if callable(item) else item
-            self._built[name] = check_columns(name, df)
+            self._built[name] = item() if callable(item) else item
         return self._built[name]
 
+    def __getitem__(self, name: str) -> DataFrame:
+        return check_columns(name, self._raw(name))
+
+    def use(self, name: str, *columns: str) -> DataFrame:
+        """The named columns of a relation, checked."""
+        return check_columns(name, self._raw(name), columns).select(*columns)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
