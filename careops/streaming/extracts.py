@@ -3,10 +3,10 @@
 The call and chat extracts (B09, B10) are filters and projections, so the
 batch operators apply unchanged to a streaming DataFrame: each micro-batch
 of newly landed source files is filtered and appended to the sink.  The
-contacted-order set (B03) is kept incrementally by deduplicating order ids.
-There is no watermark: the filter on the contact window already bounds the
-state to the ids of that window, and no contact can come too late.  Progress lives in the checkpoint location (shared storage), so a
-restarted query resumes where it stopped.
+contacted-order set (B03) is kept incrementally by deduplicating order ids;
+given a lateness, its state ends with the contact window (``state.once_in``).
+Progress lives in the checkpoint location (shared storage), so a restarted
+query resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from careops.functions.predicates import ts_between
 from careops.operators import contacts
+from careops.streaming.state import marked, once_in
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
@@ -72,21 +73,28 @@ def contacted_orders_stream(
     start: str,
     end: str,
     lob: str = "Customer",
+    lateness: str | None = None,
 ) -> DataFrame:
     """B03 as a streaming DataFrame: each contacted order id emitted once.
 
-    The state holds the order ids contacted between ``start`` and ``end``,
-    whenever and in whatever order their records arrive.
+    The state holds the order ids contacted between ``start`` and ``end``.
+    Without ``lateness`` it stays for ever, and records count whenever they
+    arrive.  With it (``"2 days"``) it is dropped once all three streams have
+    come that far past the window; a record that arrives still later is not
+    counted.
     """
+    timed = ["_event_time"] if lateness else []
 
     def pick(df: DataFrame, lob_col: str, ts_col: str) -> DataFrame:
+        if lateness:  # a filter on the event time itself stays above the watermark, which every row moves
+            df, ts_col = marked(df, ts_col, lateness), timed[0]
         return df.filter(
             (F.col(lob_col) == lob) & F.col("order_id").isNotNull() & ts_between(ts_col, start, end)
-        ).select("order_id")
+        ).select("order_id", *timed)
 
     contacts_ = (
         pick(calls, "origin_lob", "start_timestamp")
         .unionByName(pick(chats, "lob", "chat_timestamp"))
         .unionByName(pick(emails, "lob", "created_at"))
     )
-    return contacts_.dropDuplicates(["order_id"])
+    return once_in(contacts_, ["order_id"], start, end) if lateness else contacts_.dropDuplicates(["order_id"])
