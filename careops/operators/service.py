@@ -50,8 +50,9 @@ def good_csat_calls(
     start: str,
     end: str,
     excluded_countries: Sequence[str] = (),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Answered good-CSAT calls in the window with their bucket flags (not deduplicated)."""
+    """Answered good-CSAT calls in the window with their bucket flags (not deduplicated), and the columns ``keep``."""
     buckets = _bucket_flags()
     good = F.when(is_true("csat_good"), 1).otherwise(0).alias("good")
     bad = F.when(is_true("csat_bad"), 1).otherwise(0).alias("bad")
@@ -60,7 +61,7 @@ def good_csat_calls(
         & is_true("csat_good")
         & is_true("was_answered")
         & ts_between("start_timestamp", start, end)
-    ).select("call_guid", *[c.alias(n) for n, c in buckets.items()], good, bad)
+    ).select("call_guid", *[c.alias(n) for n, c in buckets.items()], good, bad, *keep)
 
 
 def bucket_totals(per_call: DataFrame) -> DataFrame:

@@ -85,6 +85,17 @@ def _replace_path(df: DataFrame, target: str, partition_by: Sequence[str]) -> No
         raise OSError(f"cannot rename {target}.new-{mark} into place")
 
 
+def store_by_user(df: DataFrame, name: str, buckets: int, key: str = "user_id") -> DataFrame:
+    """Store a relation in buckets of ``key``, sorted by it, as a catalog table; returns the table.
+
+    Orders and flags that are stored so are combined and joined by user
+    without an exchange (``retention.return_weeks``).  Both need the same
+    number of buckets.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def current_version(spark: SparkSession, name: str) -> str | None:
     """The folder that a replaced table's name points at."""
     files = spark.table(name).inputFiles()

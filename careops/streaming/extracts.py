@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from careops.functions.predicates import ts_between
 from careops.operators import contacts
-from careops.streaming.state import marked, once_in
+from careops.streaming.state import EVENT, marked, once_in
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
@@ -83,7 +83,7 @@ def contacted_orders_stream(
     come that far past the window; a record that arrives still later is not
     counted.
     """
-    timed = ["_event_time"] if lateness else []
+    timed = [EVENT] if lateness else []
 
     def pick(df: DataFrame, lob_col: str, ts_col: str) -> DataFrame:
         if lateness:  # a filter on the event time itself stays above the watermark, which every row moves

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_EVENT, _WINDOW = "_event_time", "_window"
+EVENT, _WINDOW = "_event_time", "_window"
 
 
 def marked(df: DataFrame, ts_col: str, lateness: str) -> DataFrame:
@@ -23,7 +23,7 @@ def marked(df: DataFrame, ts_col: str, lateness: str) -> DataFrame:
     All rows move the watermark, also those after the window: they are what
     tells that it is over.
     """
-    return df.withColumn(_EVENT, F.col(ts_col).cast("timestamp")).withWatermark(_EVENT, lateness)
+    return df.withColumn(EVENT, F.col(ts_col).cast("timestamp")).withWatermark(EVENT, lateness)
 
 
 def once_in(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
@@ -31,7 +31,7 @@ def once_in(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFra
     first, last = (dt.datetime.fromisoformat(x).replace(tzinfo=dt.timezone.utc) for x in (start, end))
     days = (last - first).days + 2  # the end instant itself belongs to the window
     offset = int(first.timestamp()) % (days * 86400)
-    window = F.window(_EVENT, f"{days} days", startTime=f"{offset} seconds")
+    window = F.window(EVENT, f"{days} days", startTime=f"{offset} seconds")
     # A row is dropped as late only when its window is over, so lateness inside the window costs nothing.
     unique = df.withColumn(_WINDOW, window).dropDuplicates([*keys, _WINDOW])
-    return unique.drop(_WINDOW, _EVENT)
+    return unique.drop(_WINDOW, EVENT)

@@ -56,3 +56,36 @@ def test_state_is_empty_after_the_end(spark):
     land(spark, base, "calls", (6, "2018-05-01 10:00:00"))  # after the end and its lateness: no longer counted
     assert run(spark, base) == 0
     assert spark.read.parquet(f"{base}/out").count() == 5
+
+
+def test_call_totals_keep_no_calls_after_the_end(spark):
+    from careops.operators import service
+    from careops.streaming.service import answer_time_buckets_stream
+
+    base = tempfile.mkdtemp(prefix="careops-stream-", dir="/tmp")
+    flags = [f"was_ans_in_{n}s" for n in (15, 30, 45, 60, 90, 120, 300)]
+
+    def land_calls(*records):
+        df = spark.createDataFrame([(g, t) for g, t in records], "call_guid long, t string")
+        df.select("call_guid", F.col("t").cast("timestamp_ntz").alias("start_timestamp"), F.lit("X").alias("origin_country_name"),
+                  *[F.lit(True).alias(c) for c in ("csat_good", "was_answered", *flags)], F.lit(False).alias("csat_bad")
+                  ).coalesce(1).write.mode("append").parquet(f"{base}/in")
+
+    def totals():
+        calls = spark.read.parquet(f"{base}/in")
+        stream = S.read_stream(spark, f"{base}/in", calls.schema, max_files=1)
+        name = f"totals_{len(calls.inputFiles())}"
+        q = (answer_time_buckets_stream(stream, *WINDOW, lateness="1 day").writeStream.outputMode("complete")
+             .format("memory").queryName(name).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+        q.awaitTermination(240)
+        held = [o["numRowsTotal"] for o in q.lastProgress["stateOperators"] if "dedup" in o["operatorName"].lower()]
+        return rows(spark.table(name)), held
+
+    land_calls((1, "2018-04-05 10:00:00"), (1, "2018-04-05 10:00:00"), (2, "2018-06-30 10:00:00"), (3, "2018-07-02 10:00:00"))
+    got, held = totals()
+    assert got == rows(service.answer_time_buckets(spark.read.parquet(f"{base}/in"), *WINDOW)) and held == [2]
+    for day in ("20", "21"):
+        land_calls((9, f"2018-07-{day} 10:00:00"))
+        got, held = totals()
+    assert held == [0]
+    assert got == rows(service.answer_time_buckets(spark.read.parquet(f"{base}/in"), *WINDOW))
