@@ -38,9 +38,10 @@ from careops.llm.perfect_hash import PerfectHash
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SCALE = 1_000_000_000
-SHARD_TERMS = 1 << 15
+SHARD_TERMS = 1 << 13
 HELD_TERMS = 400_000  # distinct terms that a task of a pass over the texts holds before it hands them on
-HELD_SLOTS = 4 << 20  # slots of dense arrays that a task of the recount holds
+HELD_SLOTS = 8 << 20  # slots of dense arrays that a task of the recount holds
+MERGED_TASKS = 1024  # tasks of the recount whose counts are added up first
 BROADCAST_BYTES = 32 << 20
 SOURCE_BLOCK = 256
 PIECE_SLOTS = 4096
@@ -166,51 +167,95 @@ def shard_keys(shards: DataFrame) -> DataFrame:
     return shards.select("lang", "shard", "body").mapInArrow(run, "lang string, shard int, slot int, item string")
 
 
+def _counted(batch: pa.RecordBatch) -> Iterator[tuple[str, str, Counter]]:
+    """Term counts of each (language, source) of a batch, in parts of bounded size."""
+    held: dict[tuple[str, str], Counter] = {}
+    size = 0
+    for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2)):
+        counts = held.setdefault((lang, source), Counter())
+        for terms in text_terms(text):
+            size -= len(counts)
+            counts.update(terms)
+            size += len(counts)
+            if size > HELD_TERMS:
+                yield from ((*k, c) for k, c in held.items())
+                held, size = {(lang, source): (counts := Counter())}, 0
+    yield from ((*k, c) for k, c in held.items())
+
+
 class _Slots:
-    """Dense counts of every (language, source, shard) that a task has met."""
+    """Dense counts of every (language, source, shard) that a task has met, handed on as (slots, counts) rows."""
+
+    def __init__(self):
+        from pyspark import TaskContext
 
-    def __init__(self, limit: int):
-        self.limit, self.used, self.held = limit, 0, {}
+        self.used, self.held = 0, {}
+        self.salt = TaskContext.get().partitionId() // MERGED_TASKS
 
-    def add(self, lang: str, source: str, shard: int, size: int, slots: np.ndarray, counts: np.ndarray) -> None:
+    def of(self, lang: str, source: str, shard: int, size: int) -> np.ndarray:
         key = (lang, source, shard)
         if key not in self.held:
             self.held[key] = np.zeros(size, np.int64)
             self.used += size
-        np.add.at(self.held[key], slots, counts)
+        return self.held[key]
 
-    def full(self) -> bool:
-        return self.used > self.limit
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
+    def flush(self, least: int = 0) -> Iterator[pa.RecordBatch]:
+        """Everything held, once it is more than ``least`` slots."""
+        if self.used <= least or not self.held:
+            return
         for (lang, source, shard), counts in self.held.items():
-            slots = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(slots), pa.string()), pa.array([source] * len(slots), pa.string()),
-                pa.array([shard] * len(slots), pa.int32()), pa.array(slots, pa.int32()), pa.array(counts[slots])],
-                names=["lang", "source", "shard", "slot", "n"])
+            yield _part(lang, source, shard, self.salt, counts)
         self.held, self.used = {}, 0
 
 
-_SLOTS = "lang string, source string, shard int, slot int, n long"
+_SLOTS = "lang string, source string, shard int, salt int, size int, slots binary, counts binary"
 
 
-def _counted(batch: pa.RecordBatch, langs) -> Iterator[tuple[str, str, Counter]]:
-    """Term counts of each (language, source) of a batch, in parts of bounded size."""
-    held: dict[tuple[str, str], Counter] = {}
-    size = 0
-    for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2)):
-        if lang not in langs:
-            continue
-        counts = held.setdefault((lang, source), Counter())
-        for terms in text_terms(text):
-            size -= len(counts)
-            counts.update(terms)
-            size += len(counts)
-            if size > HELD_TERMS:
-                yield from ((*k, c) for k, c in held.items())
-                held, size = {(lang, source): (counts := Counter())}, 0
-    yield from ((*k, c) for k, c in held.items())
+def _part(lang: str, source: str, shard: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
+    slots = np.flatnonzero(counts)
+    return pa.RecordBatch.from_arrays([
+        pa.array([lang], pa.string()), pa.array([source], pa.string()), pa.array([shard], pa.int32()),
+        pa.array([salt], pa.int32()), pa.array([len(counts)], pa.int32()),
+        pa.array([slots.astype("<u4").tobytes()], pa.binary()),
+        pa.array([counts[slots].astype("<i8").tobytes()], pa.binary())],
+        names=["lang", "source", "shard", "salt", "size", "slots", "counts"])
+
+
+class _Places:
+    """Slots of a language's terms, looked up in its perfect hashes once while a bounded cache holds them."""
+
+    def __init__(self, shards: int):
+        self.shards, self.hashes = shards, {}
+        self.known: dict[bytes, int] = {}
+
+    def put(self, shard: int, body: bytes) -> None:
+        self.hashes[shard] = PerfectHash.load(body)
+
+    def ready(self) -> None:
+        """Shards lie end to end: a term's place is its shard's first place and its slot."""
+        sizes = [len(self.hashes.get(s, ())) for s in range(self.shards)]
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    def of(self, terms: list[bytes]) -> np.ndarray:
+        """The place of each term, -1 for one that is not kept."""
+        found = list(map(self.known.get, terms))
+        new = list({t for t, k in zip(terms, found) if k is None})
+        if new:
+            if len(self.known) > HELD_TERMS:
+                self.known = {}
+                new = list(set(terms))
+            self.known.update(zip(new, self._look(new).tolist()))
+            found = list(map(self.known.__getitem__, terms))
+        return np.fromiter(found, np.int64, len(found))
+
+    def _look(self, terms: list[bytes]) -> np.ndarray:
+        codes = term_hash(terms)
+        shard, out = shard_of(codes, self.shards), np.full(len(terms), -1, np.int64)
+        for s, own in self.hashes.items():
+            mine = np.flatnonzero(shard == s)
+            at = own.slots([terms[i] for i in mine.tolist()], codes[mine])
+            out[mine] = np.where(at >= 0, at + self.first[s], -1)
+        return out
 
 
 def _broadcast_recount(rows: DataFrame, shards: DataFrame) -> DataFrame:
@@ -219,24 +264,28 @@ def _broadcast_recount(rows: DataFrame, shards: DataFrame) -> DataFrame:
         [tuple(r) for r in shards.select("lang", "shard", "shards", "body").collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: dict[str, dict[int, PerfectHash]] = {}
-        many: dict[str, int] = {}
+        places: dict[str, _Places] = {}
         for lang, shard, number, body in sent.value:
-            hashes.setdefault(lang, {})[shard] = PerfectHash.load(bytes(body))
-            many[lang] = number
-        slots = _Slots(HELD_SLOTS)
+            places.setdefault(lang, _Places(number)).put(shard, bytes(body))
+        for own in places.values():
+            own.ready()
+        slots = _Slots()
         for batch in batches:
-            for lang, source, counts in _counted(batch, hashes):
-                terms, times = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-                codes = term_hash(terms)
-                place = shard_of(codes, many[lang])
-                for shard, own in hashes[lang].items():
-                    mine = np.flatnonzero(place == shard)
-                    at = own.slots([terms[i] for i in mine.tolist()], codes[mine])
-                    hit = at >= 0
-                    slots.add(lang, source, shard, len(own), at[hit], times[mine[hit]])
-                if slots.full():
-                    yield from slots.flush()
+            texts: dict[tuple[str, str], list[bytes]] = {}
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2)):
+                if lang in places:
+                    texts.setdefault((lang, source), []).append(text)
+            for (lang, source), some in texts.items():
+                own = places[lang]
+                for terms in text_terms(b"\n".join(some)):  # a line end is part of no term
+                    at = own.of(terms)
+                    at, times = np.unique(at[at >= 0], return_counts=True)
+                    edges = np.searchsorted(at, own.first)
+                    for s in np.flatnonzero(np.diff(edges)).tolist():
+                        part = slice(edges[s], edges[s + 1])
+                        size = int(own.first[s + 1] - own.first[s])
+                        slots.of(lang, source, s, size)[at[part] - own.first[s]] += times[part]
+                yield from slots.flush(HELD_SLOTS)
         yield from slots.flush()
 
     return rows.mapInArrow(run, _SLOTS)
@@ -246,19 +295,15 @@ def _sent_recount(rows: DataFrame, shards: DataFrame) -> DataFrame:
     """The same counts where the shards are too large to broadcast: batch counts of terms go to their shards."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class Every:
-            def __contains__(self, lang: str) -> bool:
-                return True
-
         for batch in batches:
-            for lang, source, counts in _counted(batch, Every()):
+            for lang, source, counts in _counted(batch):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([lang] * len(counts), pa.string()), pa.array([source] * len(counts), pa.string()),
                     pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
                     names=["lang", "source", "term", "n"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, own, here = _Slots(HELD_SLOTS), None, None
+        slots, own, here = _Slots(), None, None
         for batch in batches:
             lang, shard = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             source, terms = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -273,9 +318,8 @@ def _sent_recount(rows: DataFrame, shards: DataFrame) -> DataFrame:
                     continue  # no kept term has this hash
                 at = own.slots(terms[a:b], term_hash(terms[a:b]))
                 hit = at >= 0
-                slots.add(lang[a], source[a], shard[a], len(own), at[hit], times[a:b][hit])
-                if slots.full():
-                    yield from slots.flush()
+                np.add.at(slots.of(lang[a], source[a], shard[a], len(own)), at[hit], times[a:b][hit])
+                yield from slots.flush(HELD_SLOTS)
         yield from slots.flush()
 
     parts = rows.mapInArrow(count, "lang string, source string, term binary, n long")
@@ -287,11 +331,48 @@ def _sent_recount(rows: DataFrame, shards: DataFrame) -> DataFrame:
         "lang", "shard", F.col("source").asc_nulls_first()).mapInArrow(probe, _SLOTS)
 
 
+def _merged(parts: DataFrame, last: bool) -> DataFrame:
+    """Partial counts of the same (language, source, shard) added up, one dense array at a time.
+
+    The first round adds up what ``MERGED_TASKS`` tasks sent, the last one
+    the sums of those, so that no task reads more than so many rows of a key
+    however hot a source is.
+    """
+    keys = ["lang", "source", "shard", *([] if last else ["salt"])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, salt, total = None, 0, None
+
+        def out() -> pa.RecordBatch:
+            if not last:
+                return _part(*key[:3], salt, total)
+            slots = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([
+                pa.array([key[0]] * len(slots), pa.string()), pa.array([key[1]] * len(slots), pa.string()),
+                pa.array([key[2]] * len(slots), pa.int32()), pa.array(slots, pa.int32()), pa.array(total[slots])],
+                names=["lang", "source", "shard", "slot", "n"])
+
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in ("lang", "source", "shard", "salt", "size")}
+            for i, now in enumerate(zip(*(columns[k] for k in keys))):
+                if now != key:
+                    if key is not None:
+                        yield out()
+                    key, salt, total = now, columns["salt"][i], np.zeros(columns["size"][i], np.int64)
+                at = np.frombuffer(batch.column("slots")[i].as_buffer(), "<u4")
+                total[at] += np.frombuffer(batch.column("counts")[i].as_buffer(), "<i8")
+        if key is not None:
+            yield out()
+
+    schema = "lang string, source string, shard int, slot int, n long" if last else _SLOTS
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def recount(rows: DataFrame, shards: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(lang, source, shard, slot, n): how often each kept term occurs in each source, where it does."""
     size = shards.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("b")).first()["b"]
     parts = _broadcast_recount(rows, shards) if size <= broadcast_bytes else _sent_recount(rows, shards)
-    return parts.groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n"))
+    return _merged(_merged(parts, False), True)
 
 
 def _div(a: Column, b: Column) -> Column:
