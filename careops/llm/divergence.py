@@ -20,9 +20,9 @@ All arithmetic is on integers.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,8 @@ from careops.llm.blocks import grouped
 from careops.llm.common import byte_column, python_batches, stored
 from careops.llm.perfect_hash import PerfectHash
 
-# Bytes of a term: ASCII letters and everything beyond ASCII.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+# Bytes of a term: ASCII letters (in lower case) and everything beyond ASCII; all others become spaces.
+LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 SCALE = 1_000_000_000
 SHARD_TERMS = 1 << 13
 HELD_TERMS = 400_000  # distinct terms that a task of a pass over the texts holds before it hands them on
@@ -64,15 +63,15 @@ def shard_column(term: Column, shards: Column) -> Column:
 
 def text_terms(text: bytes) -> Iterator[list[bytes]]:
     """The terms of a text, in lists of bounded size (a term is never cut)."""
-    low = text.translate(LOWER)
+    low = text.translate(LETTERS)
     at = 0
     while len(low) - at > TEXT_PART:
-        end = at + TEXT_PART
-        inside = TERM.match(low, end)  # to the end of the term that the cut would fall into
-        end = inside.end() if inside else end
-        yield TERM.findall(low, at, end)
+        end = low.find(b" ", at + TEXT_PART)
+        if end < 0:
+            break
+        yield low[at:end].split()
         at = end
-    yield TERM.findall(low, at)
+    yield low[at:].split()
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
@@ -238,15 +237,16 @@ class _Places:
 
     def of(self, terms: list[bytes]) -> np.ndarray:
         """The place of each term, -1 for one that is not kept."""
-        found = list(map(self.known.get, terms))
-        new = list({t for t, k in zip(terms, found) if k is None})
-        if new:
+        out = np.fromiter(map(self.known.get, terms, repeat(-2)), np.int64, len(terms))
+        missing = np.flatnonzero(out == -2)
+        if len(missing):
             if len(self.known) > HELD_TERMS:
                 self.known = {}
-                new = list(set(terms))
+            asked = [terms[i] for i in missing.tolist()]
+            new = list(set(asked))
             self.known.update(zip(new, self._look(new).tolist()))
-            found = list(map(self.known.__getitem__, terms))
-        return np.fromiter(found, np.int64, len(found))
+            out[missing] = np.fromiter(map(self.known.__getitem__, asked), np.int64, len(asked))
+        return out
 
     def _look(self, terms: list[bytes]) -> np.ndarray:
         codes = term_hash(terms)
