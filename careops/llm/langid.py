@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careops.llm.common import byte_column, id_remainder, python_batches, slices
+from careops.llm.common import byte_column, id_remainder, python_batches, slices, stored
 
 DIMENSIONS = 4096
 SAMPLE_PER_LANGUAGE = 400
@@ -152,6 +152,8 @@ def fit_languages(docs: DataFrame, train: Column | None = None, sample: int = SA
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("lang")), "id", "h")
     chosen = keyed.select("lang", "id", "h").distinct().withColumn("r", F.row_number().over(order)).filter(
         F.col("r") <= sample).select("lang", "id", "h")
+    # Written, so that the planner knows its size: a small one is broadcast and no text is shuffled for the join.
+    chosen = stored(chosen, "chosen-texts")
     texts = keyed.join(chosen, ["lang", "id", "h"], "left_semi").dropDuplicates(["lang", "id", "h"])
 
     def centers(frame: pd.DataFrame) -> pd.DataFrame:
