@@ -13,12 +13,15 @@ Sorting every suffix of a corpus would move each byte many times; instead:
 3. Suffix order.  The suffixes of all segments of an anchor are sorted by
    induction: segments are sorted by what follows the anchor, and the order
    of the suffixes one byte longer is the stable sort of the present order by
-   the byte before.  Neighbours in that order with a common prefix of
-   ``length`` form a class.  Inside a class a smaller text position before a
-   suffix (previous smaller) or after it (next smaller) is an earlier match
-   of at least ``length``: a longest-previous-factor value that reaches the
-   limit.  Larger positions give later matches in the same way.
-4. The matched windows of a segment hold for all its occurrences.
+   the byte before.
+4. Longest previous factors.  In that order the earlier suffix that shares
+   most with a suffix is the previous one with a smaller text position or the
+   next one.  Both are found by following links, and the least common prefix
+   on the way is the length of the match; the larger of the two is the
+   longest-previous-factor value.  A window is a later copy where its value
+   reaches ``length``.  The same array over falling positions gives the
+   matches with later places, for ``keep="none"``.
+5. The matched windows of a segment hold for all its occurrences.
 
 An anchor with more than ``group`` different segments is not sorted in one
 task: its windows are compared by 128-bit digests, combined before their
@@ -93,7 +96,49 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
             times)
 
 
-def suffix_classes(group: np.ndarray, bodies: np.ndarray, begin: np.ndarray, rel: np.ndarray, span: np.ndarray,
+def _smaller_before(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Common prefix of each suffix with the previous one in suffix order whose place is smaller (0: none)."""
+    link = np.arange(-1, len(place) - 1)
+    shared = lcp.copy()
+    # All between link[i] and i have larger places than i; shared[i] is the least common prefix on the way.
+    todo = np.flatnonzero(shared > 0)
+    while len(todo):
+        todo = todo[place[link[todo]] > place[todo]]
+        via = link[todo]
+        least, further = np.minimum(shared[todo], shared[via]), link[via]
+        shared[todo], link[todo] = least, further
+        todo = todo[least > 0]
+    return shared
+
+
+def previous_factors(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Longest-previous-factor values of suffixes given in suffix order.
+
+    ``place`` holds their text positions, all different; ``lcp[i]`` the common
+    prefix of suffixes i - 1 and i, ``lcp[0]`` being 0.
+    """
+    before = _smaller_before(place, lcp)
+    after = _smaller_before(place[::-1], np.append(lcp[:1], lcp[:0:-1]))[::-1]
+    return np.maximum(before, after)
+
+
+def _range_minima(values: np.ndarray) -> np.ndarray:
+    """Row k, column i: least of values[i : i + 2**k]."""
+    rows, step = [values], 1
+    while 2 * step <= len(values):
+        wider = rows[-1].copy()
+        wider[:-step] = np.minimum(wider[:-step], rows[-1][step:])
+        rows.append(wider)
+        step *= 2
+    return np.stack(rows)
+
+
+def _least(minima: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    k = np.frexp(end - first)[1] - 1
+    return np.minimum(minima[k, first], minima[k, end - (1 << k)])
+
+
+def suffix_matches(group: np.ndarray, bodies: np.ndarray, begin: np.ndarray, rel: np.ndarray, span: np.ndarray,
                    weight: np.ndarray, place: np.ndarray, length: int, gram: int, keep_first: bool) -> np.ndarray:
     """Matched window starts of each segment: boolean (segments, length - gram + 1), column = start - lo.
 
@@ -111,11 +156,11 @@ def suffix_classes(group: np.ndarray, bodies: np.ndarray, begin: np.ndarray, rel
     order = np.argsort(right.view(f"S{length + 4}").ravel(), kind="stable")
     sorted_right = right[order]
     differs = sorted_right[1:] != sorted_right[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1) - 4, length)
+    common = _range_minima(np.where(differs.any(axis=1), differs.argmax(axis=1) - 4, length))
+    rank = np.empty(m, np.int64)
+    rank[order] = np.arange(m)
     left = group.astype(np.int64)  # class of the bytes between window start and anchor
     matched = np.zeros((m, steps), bool)
-    sorted_by_right = order
-    right_class = np.zeros(m, np.int64)
     for d in range(steps):
         if d:
             alive = order[rel[order] >= d]
@@ -131,17 +176,13 @@ def suffix_classes(group: np.ndarray, bodies: np.ndarray, begin: np.ndarray, rel
         now = order[least[order] <= d]
         if not len(now):
             continue
-        right_class[sorted_by_right[1:]] = np.cumsum(common < length - d)
-        edge = np.ones(len(now), bool)
-        a, b = left[now], right_class[now]
-        edge[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        starts = np.flatnonzero(edge)
-        sizes = np.diff(np.append(starts, len(now)))
-        if keep_first:
-            low = np.repeat(np.minimum.reduceat(place[now], starts), sizes)
-            hit = place[now] > low  # a smaller position stands before or after in the class
-        else:
-            hit = (np.repeat(sizes, sizes) > 1) | (weight[now] > 1)
+        # Neighbours share d bytes and what follows the anchor, or end before the anchor: that counts as nothing.
+        lcp = np.zeros(len(now), np.int64)
+        same = np.flatnonzero(left[now[1:]] == left[now[:-1]])
+        lcp[same + 1] = np.minimum(_least(common, rank[now[same]], rank[now[same + 1]]) + d, length)
+        hit = previous_factors(place[now], lcp) >= length
+        if not keep_first:
+            hit |= (previous_factors(-place[now], lcp) >= length) | (weight[now] > 1)
         rows = now[hit]
         matched[rows, rel[rows] - d] = True
     return matched
@@ -226,7 +267,7 @@ def _sorted_matches(bodies: DataFrame, length: int, gram: int, keep_first: bool)
         by = np.lexsort((digest, group))
         again[by[1:]] = (digest[by[1:]] == digest[by[:-1]]) & (group[by[1:]] == group[by[:-1]])
         own = np.flatnonzero(~again)
-        matched = suffix_classes(
+        matched = suffix_matches(
             group[own], data, offsets[:-1][own], rel[own], table.column("span").to_numpy().astype(np.int64)[own],
             table.column("weight").to_numpy()[own], place[own], length, gram, keep_first)
         row, first, last = _runs(matched)

@@ -74,6 +74,22 @@ def test_suffix_dedup(docs, keep, group):
     assert ranked(got) == ranked(want)
 
 
+def test_previous_factors():
+    from careops.llm.suffix_dedup import previous_factors
+
+    def shared(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab"), n)) for n in (1, 2, 7, 40, 150)] + ["a" * 60, "ab" * 30, "abcde"]
+    for text in texts:
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        lcp = [0] + [shared(text[a:], text[b:]) for a, b in zip(order, order[1:])]
+        got = previous_factors(np.array(order), np.array(lcp))
+        want = [max((shared(text[i:], text[j:]) for j in range(i)), default=0) for i in order]
+        assert got.tolist() == want
+
+
 def xxhash_long(text):
     x = xxhash.xxh64_intdigest((text or "").encode(), 42)
     return x - (1 << 64) if x >> 63 else x
