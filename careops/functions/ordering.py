@@ -16,8 +16,9 @@ spread by sort key:
 5. each row expands back to its copies with consecutive numbers (large
    copy counts are split across tasks).
 
-The partition id is pinned with a checkpoint before two branches read it
-(see ``careops.functions.nearest`` for why).
+Steps 2 to 4 are ``running_total_within``.  The partition id is pinned with a
+checkpoint before two branches read it (see ``careops.functions.nearest`` for
+why).
 """
 
 from __future__ import annotations
@@ -33,6 +34,39 @@ from careops.functions.ranges import range_pieces
 from careops.functions.rows import replicate_rows
 
 
+def running_total_within(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str | Column],
+    value: str,
+    out: str = "running_total",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """``df`` plus ``out`` = sum of ``value`` over the rows of its group up to and with this one, by ``order``.
+
+    ``order`` must tell the rows of a group apart.  NULL is a group of its own.
+    """
+    cols = df.columns
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = range_pieces(df, [*[F.col(g) for g in group], *order_cols], num_partitions)
+    piece = ["_pid", *group]
+    upto = Window.partitionBy(*piece).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = checkpoint(ranged.withColumn("_last", F.sum(value).over(upto)))
+    sizes = local.groupBy(*piece).agg(F.sum(value).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(piece)],
+        F.sum("_n").over(before).alias("_offset"),
+    ).filter(F.col("_offset").isNotNull())
+    # NULL is a group of its own, as in PARTITION BY: join null-safely.
+    same = [local[c].eqNullSafe(offsets[f"_o{i}"]) for i, c in enumerate(piece)]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    offset = F.coalesce(F.col("_offset"), F.lit(0))
+    return local.join(F.broadcast(offsets), cond, "left").select(*cols, (F.col("_last") + offset).alias(out))
+
+
 def row_number_within(
     df: DataFrame,
     group: Sequence[str],
@@ -56,26 +90,8 @@ def row_number_within(
     # Identical rows collapse to one row and a count before any shuffle, so a
     # group of copies never travels as copies; the sort key is then unique.
     distinct_rows = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
-    sort_key = [*[F.col(g) for g in group], *order_cols, *rest]
-    ranged = range_pieces(distinct_rows, sort_key, num_partitions)
-    piece = ["_pid", *group]
-    upto = Window.partitionBy(*piece).orderBy(*order_cols, *rest).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    local = checkpoint(ranged.withColumn("_last", F.sum("_copies").over(upto)))
-    sizes = local.groupBy(*piece).agg(F.sum("_copies").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(piece)],
-        F.sum("_n").over(before).alias("_offset"),
-    ).filter(F.col("_offset").isNotNull())
-    # NULL is a group of its own, as in PARTITION BY: join null-safely.
-    same = [local[c].eqNullSafe(offsets[f"_o{i}"]) for i, c in enumerate(piece)]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    offset = F.coalesce(F.col("_offset"), F.lit(0))
-    first = (F.col("_last") + offset - F.col("_copies") + 1).alias("_first")
-    numbered = local.join(F.broadcast(offsets), cond, "left").select(*cols, "_copies", first)
+    numbered = running_total_within(
+        distinct_rows, group, [*order_cols, *rest], "_copies", "_end", num_partitions
+    ).select(*cols, "_copies", (F.col("_end") - F.col("_copies") + 1).alias("_first"))
     copies = replicate_rows(numbered, "_copies", index_col="_k")
     return copies.select(*cols, (F.col("_first") + F.col("_k")).cast("int").alias(out))

@@ -3,9 +3,10 @@
 Scale notes:
 * the extracts are filter + projection: the date window and flags reach
   the Parquet scan as pushed filters, only the projected columns are read;
-* the transcript joins the event log to the selected chats on ``chat_id``
-  and numbers messages with a range-partitioned row number, so one chat
-  with a third of all messages is still spread over many tasks;
+* the transcript counts messages by chat and instant and numbers these
+  counts, without text, over ranges; the messages then meet them in one
+  exchange by (chat, instant), which is the only one that carries text, so
+  one chat with a third of all messages is still spread over many tasks;
 * ``multi_message_chats`` counts messages per chat with a partial
   aggregate and expands the chat row afterwards instead of joining the
   chat row to every message.
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from careops.functions.ordering import row_number_within
+from careops.functions.materialize import written
+from careops.functions.ordering import row_number_within, running_total_within
 from careops.functions.predicates import exclude_dates, is_false, is_true, ts_between
 from careops.functions.rows import replicate_rows
 
@@ -81,29 +83,57 @@ def chat_extract(
 MESSAGE_ORDER = ("event_timestamp", "message_body", "is_visitor_event", "is_agent_event")
 
 
-def chat_transcript(event_log: DataFrame, chats: DataFrame, split_large_chats: bool = True) -> DataFrame:
+# Messages of one chat at one instant that one task sorts; beyond it they are numbered over ranges.
+INSTANT_MESSAGES = 100_000
+
+
+def chat_transcript(event_log: DataFrame, chats: DataFrame, instant_messages: int = INSTANT_MESSAGES) -> DataFrame:
     """Messages of the selected chats, split by speaker, numbered in time.
 
     Only ``chat.msg`` events are kept, before numbering.  Ties on the event
     time are broken by the message text, then the speaker flags, so the
-    numbering is deterministic.  ``split_large_chats`` numbers with
-    ``row_number_within`` (a chat may span many tasks); ``False`` uses one
-    window per chat, which reuses the join's partitioning but puts each chat
-    in a single task.
+    numbering is deterministic; messages without a time come first.  A chat
+    listed k times has each message k times, with consecutive numbers.
+
+    A message's number is the count of its chat's messages at earlier
+    instants plus its place among those of its own.  The counts are narrow
+    rows; a message's text moves once, to its (chat, instant).  Only chats
+    listed repeatedly, and instants of more than ``instant_messages``, take
+    the longer way over ranges of the text itself.
     """
-    msgs = event_log.filter(F.col("event_type") == "chat.msg").select("chat_id", *MESSAGE_ORDER)
-    ids = chats.select(F.col("chat_id").alias("_chat"))
-    joined = msgs.join(ids, msgs["chat_id"] == ids["_chat"]).drop("_chat")
-    if split_large_chats:
-        numbered = row_number_within(joined, ["chat_id"], MESSAGE_ORDER, out="chat_cum")
-    else:
-        order = Window.partitionBy("chat_id").orderBy(*MESSAGE_ORDER)
-        numbered = joined.withColumn("chat_cum", F.row_number().over(order))
+    at, kind = F.col("event_timestamp"), event_log.schema["event_timestamp"].dataType
+    # Plain equality on (timed, instant) lets the join's exchange serve the window too; a NULL time is one instant.
+    msgs = event_log.filter(F.col("event_type") == "chat.msg").select(
+        "chat_id", at.isNotNull().alias("_timed"), F.coalesce(at, F.lit("1970-01-01").cast(kind)).alias("_instant"),
+        *MESSAGE_ORDER[1:],
+    )
+    instant = ["chat_id", "_timed", "_instant"]
+    ids = chats.groupBy(F.col("chat_id").alias("_chat")).agg(F.count(F.lit(1)).alias("_listed"))
+    counts = msgs.groupBy(*instant).agg(F.count(F.lit(1)).alias("_messages"))
+    counts = counts.join(ids, F.col("chat_id") == F.col("_chat")).select(
+        *instant, "_messages", "_listed", (F.col("_messages") * F.col("_listed")).alias("_rows")
+    )
+    instants = written(
+        running_total_within(counts, ["chat_id"], instant[1:], "_rows", "_upto").select(
+            *instant, "_messages", "_listed", (F.col("_upto") - F.col("_rows")).alias("_before"))
+    )
+    plain = (F.col("_listed") == 1) & (F.col("_messages") <= instant_messages)
+    place = F.row_number().over(Window.partitionBy(*instant).orderBy(*MESSAGE_ORDER[1:]))
+    numbered = msgs.join(instants.filter(plain).select(*instant, "_before"), instant).select(
+        *msgs.columns, (F.col("_before") + place).alias("_number")
+    )
+    others = instants.filter(~plain)
+    if not others.isEmpty():
+        rest = row_number_within(
+            msgs.join(others.select(*instant, "_before", "_listed"), instant), instant, MESSAGE_ORDER[1:], out="_place")
+        first = F.col("_before") + (F.col("_place") - 1) * F.col("_listed") + 1
+        rest = replicate_rows(rest.select(*msgs.columns, first.alias("_first"), "_listed"), "_listed", index_col="_k")
+        numbered = numbered.union(rest.select(*msgs.columns, F.col("_first") + F.col("_k")))
     return numbered.select(
         "chat_id",
         F.when(is_true("is_visitor_event"), F.col("message_body")).alias("customer_chat"),
         F.when(is_true("is_agent_event"), F.col("message_body")).alias("agent_chat"),
-        "chat_cum",
+        F.col("_number").cast("int").alias("chat_cum"),
     )
 
 
