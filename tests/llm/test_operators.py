@@ -437,3 +437,26 @@ def test_pipeline_stages(spark):
         before = after
     rows = corpus_pipeline.STAGES[-1][1](spark, before, SF_SMALL).groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert rows.agg(F.max("n")).first()[0] <= 2048
+
+
+def test_lattice_recall_at_the_query_settings(spark):
+    """Planted pairs at cosine 0.90 to 0.95, in 64 components: at least nine tenths found, and nothing below 0.9."""
+    from careops.llm.lattice_dedup import near_vectors
+
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(800, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.normal(size=base.shape)
+    away -= (away * base).sum(axis=1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9, 0.95, (800, 1))
+    near = cosine * base + np.sqrt(1 - cosine ** 2) * away
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))]
+    out = {r.vec_id: r for r in near_vectors(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()}
+    vectors = np.concatenate([base, near])
+    linked = vectors @ vectors.T >= 0.9
+    np.fill_diagonal(linked, False)
+    wanted, found = int(linked.sum()), sum(r.n_links for r in out.values())
+    assert len(out) == 1600 and 0.9 * wanted <= found <= wanted
+    assert all(out[i].n_links <= linked[i].sum() for i in range(1600))
