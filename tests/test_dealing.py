@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import Decimal as D
+
 import pytest
 from pyspark.sql import functions as F
 
 from careops.functions import dealing
+from careops.operators import alcohol as A
 from careops.operators import commission as M
+from tests.conftest import rows
+from tests.test_alcohol_one_scan import ITEMS
 from tests.test_commission_plan import hot_tables
 from tests.test_commission_property import expected
 
@@ -55,3 +60,15 @@ def test_asks_are_made_distinct_once(spark):
         given.unionAll(given), M.BLOCK_DAYS, M.WEEK_DAYS).count()
     none = M.ledger_points(M.usable_ledger(hot_tables(spark, n=10)[3]), M.BLOCK_DAYS).limit(0)
     assert "Aggregate [" not in _plan(M.answers(none, spark.createDataFrame(asks.collect(), asks.schema), M.BLOCK_DAYS, 6))
+
+
+def test_alcohol_lines_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "ROWS_PER_TASK", 20)
+    lines = [(c, "a", "d", f, o, q, D("1.25")) for c, f in (("Wine", True), ("Wine", False), ("Sides", False), (None, True))
+             for o in (1, 2, None) for q in (1, 2, 2, None)]
+    items = spark.createDataFrame(lines * 5, ITEMS)
+    listed = spark.createDataFrame([(1,), (2,), (2,)], "orders long")
+    got = A.alcohol_totals_one_scan(items, listed, [], ["Sides"], None)
+    assert set(_dealt(_plan(got), "order_id")) == {len(lines) * 5 // 20}
+    tp = A.alcohol_true_positives(items, listed, [])
+    assert rows(got) == rows(A.alcohol_order_totals(tp, A.alcohol_false_negatives(items, listed, tp, ["Sides"], None)))
