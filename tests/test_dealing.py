@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from careops.functions import dealing
 from careops.operators import alcohol as A
 from careops.operators import commission as M
+from careops.operators import payments as P
 from tests.conftest import rows
 from tests.test_alcohol_one_scan import ITEMS
 from tests.test_commission_plan import hot_tables
@@ -72,3 +73,19 @@ def test_alcohol_lines_are_dealt_by_rows(spark, monkeypatch):
     assert set(_dealt(_plan(got), "order_id")) == {len(lines) * 5 // 20}
     tp = A.alcohol_true_positives(items, listed, [])
     assert rows(got) == rows(A.alcohol_order_totals(tp, A.alcohol_false_negatives(items, listed, tp, ["Sides"], None)))
+
+
+def test_enriched_orders_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "ROWS_PER_TASK", 10)
+    listed = spark.createDataFrame([(i % 60,) for i in range(120)], "orders long")
+    orders = spark.createDataFrame(
+        [(i, i % 3, "CANCELLED", "10.00") for i in range(60)] * 2, "id long, restaurant_id long, status string, subtotal string"
+    ).withColumn("created_at", F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"))
+    adjusted = spark.createDataFrame([(i, D("1.00")) for i in range(0, 60, 2)], "orders long, adjustment_cost decimal(18,2)")
+    alcohol = spark.createDataFrame([(i, D("2.00")) for i in range(0, 60, 3)], "order_id long, order_total decimal(18,2)")
+    names = spark.createDataFrame([(i, "r", "c") for i in range(3)],
+                                  "restaurant_id long, restaurant_name string, restaurant_company string")
+    got = P.orders_with_alcohol(listed, adjusted, orders, alcohol, names)
+    assert _dealt(_plan(got), "orders") == [12]
+    assert sorted((r.orders, r.adjustment_flag, r.alcohol_cost) for r in got.collect()) == [
+        (i, "N" if i % 2 else "Y", D("0.00") if i % 3 else D("2.00")) for i in range(60)]
