@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from careops.functions.dealing import dealt, tasks_for
 from careops.sources.catalog import Sources
 
 
@@ -79,8 +80,10 @@ def testdata_sources(spark: SparkSession, sf_dir: str) -> Sources:
         c = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
         # nation is a fixed 25-row domain: a bounded broadcast.
         n = F.broadcast(t("nation").select("n_nationkey", "n_name"))
+        # Dealt by row count: the join below meets these rows, the orders and the order list in one stage.
+        lines = t("lineitem").select("l_orderkey", "l_suppkey")
         restaurant = (
-            t("lineitem")
+            dealt(lines, tasks_for(lines, t("lineitem").count()), "l_orderkey")
             .groupBy("l_orderkey")
             .agg(F.min("l_suppkey").alias("restaurant_id"))
         )

@@ -89,3 +89,44 @@ def test_enriched_orders_are_dealt_by_rows(spark, monkeypatch):
     assert _dealt(_plan(got), "orders") == [12]
     assert sorted((r.orders, r.adjustment_flag, r.alcohol_cost) for r in got.collect()) == [
         (i, "N" if i % 2 else "Y", D("0.00") if i % 3 else D("2.00")) for i in range(60)]
+
+
+def test_what_the_sweeps_found_is_combined_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(dealing, "ROWS_PER_TASK", 40)
+    orders, ledger, oa, led = hot_tables(spark, n=900, seed=8)
+    match = M.commission_match(oa, led)
+    plan = _plan(match)
+    assert _dealt(plan, "restaurant_id", "subtotal", "day") == [4 * 150 // 40]
+    assert _dealt(plan, "orders") == [max(spark.sparkContext.defaultParallelism, -(-150 // 40))]
+    got = {r.orders: (r.commission_rank, r.commission_rate) for r in match.collect()}
+    assert got == expected(orders, ledger)
+
+
+def test_a_long_list_does_not_sort_the_ledger(spark, monkeypatch):
+    orders, ledger, oa, led = hot_tables(spark, n=900, seed=9)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows_per_task, join in ((500_000, "SortMergeJoin"), (40, "ShuffledHashJoin")):
+            monkeypatch.setattr(dealing, "ROWS_PER_TASK", rows_per_task)
+            match = M.commission_match(oa, led)
+            plan = match._jdf.queryExecution().sparkPlan().toString()
+            semi = [x for x in plan.splitlines() if "LeftSemi" in x]
+            assert semi and all(join in x for x in semi)
+            assert {r.orders: (r.commission_rank, r.commission_rate) for r in match.collect()} == expected(orders, ledger)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_lines_of_orders_are_dealt_by_rows(spark, monkeypatch):
+    from careops.sources.testdata import testdata_sources
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    orders = testdata_sources(spark, sf).orders
+    want = rows(orders)
+    monkeypatch.setattr(dealing, "ROWS_PER_TASK", 100)
+    cut = testdata_sources(spark, sf).orders
+    assert _dealt(_plan(cut), "l_orderkey") == [-(-n // 100)]
+    assert rows(cut) == want
+    # Where no one asks for the restaurant, nothing is read for it.
+    assert "l_suppkey" not in _plan(cut.select("id", "user_id"))
