@@ -243,7 +243,7 @@ class SpeculativeEncoder(Encoder):
         if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get(
                 "continuing_subword_prefix") or spec.get("decoder") or spec.get("post_processor"):
             raise ValueError(f"{path}: not a plain byte-pair tokenizer without decoder")
-        self.line = None
+        self.join = None
         self.suffix = model.get("end_of_word_suffix") or ""
         self.merges = Merges(model["vocab"], model["merges"], self.suffix)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}

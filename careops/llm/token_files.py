@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from careops.llm.common import byte_column, python_batches, slices
-from careops.llm.encode import Encoder, with_end
+from careops.llm.encode import CALL_BYTES, Encoder, with_end
 
 BLOCK = 256
 SEGMENT_IDS = 1 << 20
@@ -165,7 +165,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0, id_co
 
         for batch in batches:
             _, offsets = byte_column(batch.column(1))
-            for i, j in slices(offsets, 1 << 20):
+            for i, j in slices(offsets, 2 * CALL_BYTES):
                 some, at = with_end(*encoder.encode(batch.column(1).slice(i, j - i).to_pylist()), end)
                 ids.append(some)
                 lengths.append(np.diff(at))

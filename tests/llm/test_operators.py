@@ -315,6 +315,62 @@ def test_encoder_keeps_added_tokens():
         assert all(e.ids == flat[at[i]:at[i + 1]].tolist() for i, e in enumerate(whole))
 
 
+def test_encoder_in_calls_of_any_size():
+    from careops.llm.encode import Encoder
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    parts = ["\0", "\x01", "\x01 ", "\n", "\n\n", " ", "  ", "\t", "\u3000", "\u0301", "a", "é", "İ", "Σ", "Word", "it's", "1", "!",
+             ". ", "中", "<|endoftext|>", "<|EndOfText|>"]
+    texts = [None, "", "\0", "\x01", " ", *["".join(rng.choices(parts[1:] if i % 3 else parts, k=rng.randint(0, 15))) for i in range(2000)]]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        whole = Tokenizer.from_file(tokenizer(name)).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+        for step in (1, 7, 3000):
+            encoder, got = Encoder(tokenizer(name)), []
+            for i in range(0, len(texts), step):
+                flat, sizes = encoder.encode(texts[i:i + step])
+                got += [part.tolist() for part in np.split(flat, np.cumsum(sizes)[:-1])]
+            assert got == [e.ids for e in whole]
+
+
+def test_encoder_looks_each_chunk_up_once_a_call(monkeypatch):
+    from careops.llm.encode import JOINED, Encoder
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    rng = random.Random(9)
+    words = [" " + "".join(rng.choices("abcdefgh", k=9)) for _ in range(4000)]
+    text = "".join(words * 5)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        given = []
+        encoder, plain = Encoder(tokenizer(name)), Encoder._encoded
+        monkeypatch.setattr(Encoder, "_encoded", lambda self, chunks: (given.extend(chunks), plain(self, chunks))[1])
+        encoder.index = Counted()
+        first = encoder.encode([text])[0]
+        assert Counted.asked <= 2 * (len(set(words)) + 2)  # not for each of the 20,000 words
+        assert len(given) <= len(set(words)) // JOINED + 3  # new words go to the library many in a call
+        Counted.asked = 0
+        assert (encoder.encode([text])[0] == first).all()
+        assert Counted.asked <= len(set(words)) + 2
+        Counted.asked = 0
+        monkeypatch.undo()
+
+
+def test_encoder_without_a_mark_of_its_own(monkeypatch):
+    from careops.llm.encode import Encoder
+
+    encoder = Encoder(tokenizer("word_bpe_49k.json"))
+    other = encoder.tokenizer.encode("the", add_special_tokens=False).ids
+    encoder.join = (" the ", "\x01", other[0])  # as where a word has the mark's id
+    flat, _ = encoder.encode(["of the cat"])
+    assert flat.tolist() == encoder.tokenizer.encode("of the cat", add_special_tokens=False).ids
+
+
 def test_pair_lm(docs):
     from careops.llm.ngram_lm import score_texts
 
