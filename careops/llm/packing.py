@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from careops.llm.common import byte_column, python_batches, slices, stored
-from careops.llm.encode import Encoder, with_end
+from careops.llm.encode import CALL_BYTES, Encoder, with_end
 
 GROUP_PIECES = 16384
 
@@ -95,7 +95,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end: int =
         encoder = Encoder.of(tokenizer)
         for batch in batches:
             _, offsets = byte_column(batch.column(1))
-            for i, j in slices(offsets, 1 << 21):
+            for i, j in slices(offsets, CALL_BYTES):
                 ids, at = with_end(*encoder.encode(batch.column(1).slice(i, j - i).to_pylist()), end)
                 sizes = np.diff(at)
                 pieces = -(-sizes // length)
